@@ -191,8 +191,142 @@ def quality_queries(cfg: PipelineConfig) -> dict[str, str]:
     return q
 
 
+# ------------------------------------------------------------------ EDA on raw
+def eda_queries(cfg: PipelineConfig) -> dict[str, str]:
+    from encore.functions import timeutil as TU
+    from encore.schemas import EXPORT_FIELDS
+
+    k = K(cfg)
+    L = k.lead
+    c = TU.sql_eda_clock("ts", cfg)
+    W = lambda body, extra="": with_stages(cfg, "raw", body, extra)
+    avg_min = R.sql_rround("sum(ms_played)", "count(ms_played) * 60000", 2)
+    hours1 = R.sql_rround("sum(ms_played)", "3600000", 1)
+    min0 = R.sql_rround("sum(ms_played)", "60000", 0)
+    sh = share(k, "count(*)")
+    q: dict[str, str] = {}
+
+    def share_q(col_expr: str, alias: str, where: str = "", extra: str = "", count_name: str = "plays",
+                src: str = "raw") -> str:
+        w = f"WHERE {where}" if where else ""
+        return W(f"SELECT {L} {col_expr} AS {alias}, count(*) AS {count_name}, {sh} AS pct_of_total{extra} "
+                 f"FROM {src} {w} {k.group_with(alias)}")
+
+    days = "date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE))"
+    q["eda_overview"] = W(
+        f"SELECT {L} count(*) AS total_records, min(ts) - INTERVAL {cfg.eda_offset_hours} HOUR AS earliest_play, "
+        f"max(ts) - INTERVAL {cfg.eda_offset_hours} HOUR AS latest_play, {days} AS days_of_data, "
+        f"{R.sql_rround('count(*)', days, 1)} AS avg_plays_per_day FROM raw {k.group}")
+    nulls = ", ".join(f"count_if({n} IS NULL) AS null_{n}" for n, _ in EXPORT_FIELDS)
+    q["eda_null_profile"] = W(
+        f"SELECT {L} {nulls}, "
+        f"{R.sql_pct('count_if(master_metadata_track_name IS NULL)', 'count(*)')} AS pct_null_track_name, "
+        f"{R.sql_pct('count_if(episode_name IS NULL)', 'count(*)')} AS pct_null_episode_name "
+        f"FROM raw {k.group}")
+    ctype = (f"CASE WHEN episode_name IS NOT NULL THEN '{LB.CONTENT_PODCAST}' "
+             f"WHEN master_metadata_track_name IS NOT NULL THEN '{LB.CONTENT_MUSIC}' ELSE '{LB.CONTENT_UNKNOWN}' END")
+    q["eda_content_type"] = share_q(ctype, "content_type",
+                                    extra=f", {min0} AS total_minutes, {avg_min} AS avg_minutes_per_play")
+    a, b = LB.DUPLICATE_LABELS
+    body = (f"SELECT {L} count(*) - count(DISTINCT CAST(ts AS VARCHAR) || master_metadata_track_name || "
+            f"CAST(ms_played AS VARCHAR)) AS a, count(*) - count(DISTINCT CAST(ts AS VARCHAR) || spotify_track_uri) AS b "
+            f"FROM raw {k.group}")
+    q["eda_duplicates"] = W(f"SELECT {L} '{a}' AS check_type, a AS duplicate_count FROM d UNION ALL "
+                            f"SELECT {L} '{b}', b FROM d", f"d AS ({body})")
+    q["eda_by_month"] = W(
+        f"SELECT {L} year({c}) AS year, month({c}) AS month, count(*) AS plays, "
+        f"count(DISTINCT CAST({c} AS DATE)) AS active_days, "
+        f"{R.sql_rround('count(*)', 'count(DISTINCT CAST(ts AS DATE))', 1)} AS avg_plays_per_day, "
+        f"{hours1} AS total_hours FROM raw {k.group_with('year', 'month')}")
+    q["eda_by_weekday"] = W(
+        f"SELECT {L} dayname({c}) AS day_of_week, {TU.sql_day_num(c)} AS day_num, count(*) AS plays, "
+        f"{avg_min} AS avg_minutes_per_play FROM raw {k.group_with('day_of_week', 'day_num')}")
+    q["eda_by_hour"] = share_q(f"hour({c})", "hour", extra=f", {min0} AS total_minutes")
+    q["eda_heatmap"] = W(f"SELECT {L} {TU.sql_day_num(c)} AS day_num, hour({c}) AS hour, count(*) AS plays "
+                         f"FROM raw {k.group_with('day_num', 'hour')}")
+    body = (f"SELECT {L} master_metadata_album_artist_name AS artist, count(*) AS plays, "
+            f"count(DISTINCT master_metadata_track_name) AS unique_tracks, {hours1} AS total_hours, "
+            f"{avg_min} AS avg_minutes_per_play, "
+            f"{R.sql_pct('count_if(skipped)', 'count(*)', 1)} AS skip_rate_pct "
+            f"FROM raw WHERE master_metadata_album_artist_name IS NOT NULL {k.group_with('artist')}")
+    q["eda_top_artists"] = W(top(k, body, "plays DESC, artist ASC", 20,
+                                 f"{L} artist, plays, unique_tracks, total_hours, avg_minutes_per_play, skip_rate_pct"))
+    body = (f"SELECT {L} master_metadata_track_name AS track, master_metadata_album_artist_name AS artist, "
+            f"count(*) AS plays, {avg_min} AS avg_minutes_per_play, "
+            f"min(ts) - INTERVAL {cfg.eda_offset_hours} HOUR AS first_played, "
+            f"max(ts) - INTERVAL {cfg.eda_offset_hours} HOUR AS last_played, {days} AS days_span "
+            f"FROM raw WHERE master_metadata_track_name IS NOT NULL {k.group_with('track', 'artist')}")
+    q["eda_top_tracks"] = W(top(k, body, "plays DESC, track ASC, artist ASC NULLS FIRST", 20,
+                                f"{L} track, artist, plays, avg_minutes_per_play, first_played, last_played, days_span"))
+    body = (f"SELECT {L} master_metadata_album_artist_name AS artist, min(CAST({c} AS DATE)) AS first_discovered, "
+            f"count(*) AS total_plays, count(DISTINCT CAST({c} AS DATE)) AS days_played "
+            f"FROM raw WHERE master_metadata_album_artist_name IS NOT NULL {k.group_with('artist')}")
+    q["eda_artist_discovery"] = W(top(k, body, "first_discovered ASC, artist ASC", 20,
+                                      f"{L} artist, first_discovered, total_plays, days_played"))
+    q["eda_platform"] = share_q("platform", "platform", "platform IS NOT NULL",
+                                f", {hours1} AS total_hours, {avg_min} AS avg_minutes_per_play")
+    q["eda_platform_daypart"] = W(
+        f"SELECT {L} platform, {TU.sql_daypart_eda(f'hour({c})')} AS time_of_day, count(*) AS plays "
+        f"FROM raw WHERE platform IS NOT NULL {k.group_with('platform', 'time_of_day')}")
+    q["eda_country"] = share_q("conn_country", "country", "conn_country IS NOT NULL")
+    lims, lbls = LB.DURATION_LIMITS_MS, LB.DURATION_LABELS
+    bucket = ("CASE " + " ".join(f"WHEN ms_played < {x} THEN '{y}'" for x, y in zip(lims, lbls))
+              + f" ELSE '{lbls[-1]}' END")
+    q["eda_duration_buckets"] = share_q(bucket, "duration_bucket", "ms_played > 0")
+    q["eda_skip"] = share_q("skipped", "skipped", "skipped IS NOT NULL", f", {avg_min} AS avg_minutes_per_play")
+    q["eda_shuffle"] = share_q("shuffle", "shuffle", "shuffle IS NOT NULL",
+                               ", count(DISTINCT master_metadata_album_artist_name) AS unique_artists")
+    for col in ("offline", "incognito_mode", "reason_start", "reason_end"):
+        name = {"incognito_mode": "eda_incognito"}.get(col, f"eda_{col}")
+        q[name] = share_q(col, col, f"{col} IS NOT NULL")
+    body = (f"SELECT {L} CAST({c} AS DATE) AS date, count(*) AS plays, "
+            f"{R.sql_rround('sum(ms_played)', '3600000', 2)} AS hours_listened, "
+            f"count(DISTINCT master_metadata_album_artist_name) AS unique_artists FROM raw {k.group_with('date')}")
+    q["eda_binge_days"] = W(top(k, body, "hours_listened DESC, date ASC", 20,
+                                f"{L} date, plays, hours_listened, unique_artists"))
+    hi, med, var = LB.LOYALTY_LABELS
+    body = (f"SELECT {L} artist, total_plays, unique_tracks, "
+            f"{R.sql_rround('total_plays', 'unique_tracks', 2)} AS loyalty_score, "
+            f"CASE WHEN unique_tracks > 0 AND total_plays > unique_tracks * {LB.LOYALTY_HIGH} THEN '{hi}' "
+            f"WHEN unique_tracks > 0 AND total_plays > unique_tracks * {LB.LOYALTY_MEDIUM} THEN '{med}' "
+            f"ELSE '{var}' END AS listening_pattern FROM ("
+            f"SELECT {L} master_metadata_album_artist_name AS artist, count(*) AS total_plays, "
+            f"count(DISTINCT master_metadata_track_name) AS unique_tracks FROM raw "
+            f"WHERE master_metadata_album_artist_name IS NOT NULL {k.group_with('artist')} "
+            f"HAVING count(*) >= {LB.LOYALTY_MIN_PLAYS})")
+    q["eda_loyalty"] = W(top(k, body, "loyalty_score DESC NULLS LAST, artist ASC", 30,
+                             f"{L} artist, total_plays, unique_tracks, loyalty_score, listening_pattern"))
+    gaps = (f"gaps AS (SELECT {L} date_sub('minute', lag(ts) OVER ({k.part} ORDER BY ts), ts) AS m FROM raw)")
+    gb = (f"CASE WHEN m IS NULL THEN '{LB.GAP_FIRST}' "
+          + " ".join(f"WHEN m <= {x} THEN '{y}'" for x, y in zip(LB.GAP_LIMITS_MIN, LB.GAP_LABELS))
+          + f" ELSE '{LB.GAP_LABELS[-1]}' END")
+    q["eda_gap_buckets"] = W(
+        f"SELECT {L} {gb} AS gap_bucket, count(*) AS occurrences, {sh} AS pct_of_total "
+        f"FROM gaps {k.group_with('gap_bucket')}", gaps)
+    a1, b1, c1 = LB.EDA_COMPLETION_LIMITS_MS
+    l0, l1, l2, l3 = LB.EDA_COMPLETION_LABELS
+    cat = (f"CASE WHEN ms_played < {a1} THEN '{l0}' WHEN ms_played < {b1} THEN '{l1}' "
+           f"WHEN ms_played < {c1} THEN '{l2}' WHEN ms_played >= {c1} THEN '{l3}' END")
+    q["eda_completion"] = share_q(cat, "completion_category",
+                                  "master_metadata_track_name IS NOT NULL AND ms_played > 0")
+    i0, i1, i2, i3 = LB.IMPOSSIBLE_LABELS
+    body = (f"SELECT {L} count_if(ms_played < 0) AS a, "
+            f"count_if(ms_played > {LB.IMPOSSIBLE_MAX_MS} AND master_metadata_track_name IS NOT NULL) AS b, "
+            f"count_if(ts > (now() AT TIME ZONE 'UTC')) AS c, "
+            f"count_if(ts < TIMESTAMP '{LB.IMPOSSIBLE_OLDEST} 00:00:00') AS d FROM raw {k.group}")
+    q["eda_impossible_values"] = W(
+        " UNION ALL ".join(f"SELECT {L} '{lbl}' AS issue, {col} AS count FROM imp"
+                           for lbl, col in ((i0, "a"), (i1, "b"), (i2, "c"), (i3, "d"))),
+        f"imp AS ({body})")
+    q["eda_missing_critical"] = W(
+        f"SELECT {L} '{LB.MISSING_CRITICAL_LABEL}' AS issue, "
+        f"count_if(master_metadata_track_name IS NULL AND episode_name IS NULL) AS count FROM raw {k.group}")
+    return q
+
+
 def build(cfg: PipelineConfig = DEFAULT) -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(stage_queries(cfg))
     out.update(quality_queries(cfg))
+    out.update(eda_queries(cfg))
     return out

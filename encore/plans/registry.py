@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from encore.config import DEFAULT, PipelineConfig
+from encore.plans import eda as EDA
 from encore.plans import quality as Q
 from encore.plans.stages import Stages
 from encore.schemas import SESSION_COLUMNS
@@ -52,6 +53,7 @@ def _quality_fns() -> dict[str, Callable[[Stages], DataFrame]]:
 def stage_functions() -> dict[str, Callable[[Stages], DataFrame]]:
     fns: dict[str, Callable[[Stages], DataFrame]] = {}
     fns.update(_stage_fns())
+    fns.update({n: getattr(EDA, n) for n in EDA.NAMES})
     fns.update(_quality_fns())
     return fns
 
