@@ -324,9 +324,132 @@ def eda_queries(cfg: PipelineConfig) -> dict[str, str]:
     return q
 
 
+# ------------------------------------------------------------------ gold views
+def view_queries(cfg: PipelineConfig) -> dict[str, str]:
+    from encore.functions import timeutil as TU
+
+    k = K(cfg)
+    L = k.lead
+    q: dict[str, str] = {}
+    min_c, hrs_c = R.sql_minutes_c("ms_played"), R.sql_hours_c("ms_played")
+    complete = f"count_if(completion_category = '{LB.COMPLETION_COMPLETE}')"
+    rates = (f"{R.sql_pct('count_if(skipped_flag)', 'count(*)')} AS skip_rate, "
+             f"{R.sql_pct(complete, 'count(*)')} AS completion_rate, "
+             f"{R.sql_pct('count_if(shuffle_flag)', 'count(*)')} AS shuffle_usage_pct")
+    as_of = TU.sql_as_of(cfg)
+    SV = lambda body, extra="": with_stages(cfg, "silver", body, extra)
+    SS = lambda body, extra="": with_stages(cfg, "sessions", body, extra)
+
+    def modes(group: list[str], value: str, alias: str, name: str, src: str = "silver") -> str:
+        return mode_cte(name, src, k.keys + group, value, alias)
+
+    def on(a: str, b: str, cols: list[str]) -> str:
+        return " AND ".join([k.on(a, b)] + [f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in cols])
+
+    g = ["artist_name"]
+    body = (f"SELECT {''.join(f'a.{x}, ' for x in k.keys)} a.artist_name, total_plays, unique_tracks, total_minutes, "
+            f"total_hours, avg_track_duration, first_play_date, last_play_date, days_span, t.preferred_time, "
+            f"skip_rate, completion_rate, shuffle_usage_pct, d.primary_device, devices_used, days_since_last_play "
+            f"FROM agg a JOIN mt t ON {on('a', 't', g)} JOIN md d ON {on('a', 'd', g)}")
+    agg = (f"agg AS (SELECT {L} artist_name, count(*) AS total_plays, count(DISTINCT track_name) AS unique_tracks, "
+           f"{R.sql_from_cents(f'sum({min_c})')} AS total_minutes, {R.sql_from_cents(f'sum({hrs_c})')} AS total_hours, "
+           f"{R.sql_rround(f'sum({min_c})', 'count(*) * 100', 2)} AS avg_track_duration, "
+           f"min(play_date) AS first_play_date, max(play_date) AS last_play_date, "
+           f"date_diff('day', min(play_date), max(play_date)) AS days_span, {rates}, "
+           f"count(DISTINCT device) AS devices_used, date_diff('day', max(play_date), {as_of}) AS days_since_last_play "
+           f"FROM silver {k.group_with('artist_name')} HAVING count(*) >= {cfg.min_artist_plays})")
+    q["view_artist_stats"] = SV(body, ",\n".join([agg, modes(g, "time_of_day", "preferred_time", "mt"),
+                                                  modes(g, "device", "primary_device", "md")]))
+
+    g = ["track_name", "artist_name", "album_name"]
+    agg = (f"agg AS (SELECT {L} track_name, artist_name, album_name, count(*) AS play_count, "
+           f"{R.sql_rround(f'sum({min_c})', '6000', 2)} AS total_hours_listened, "
+           f"{R.sql_rround(f'sum({min_c})', 'count(*) * 100', 2)} AS avg_play_duration, "
+           f"min(play_date) AS first_played, max(play_date) AS last_played, "
+           f"date_diff('day', min(play_date), max(play_date)) AS listening_span_days, {rates}, "
+           f"date_diff('day', max(play_date), {as_of}) AS days_since_last_play "
+           f"FROM silver {k.group_with(*g)} HAVING count(*) >= {cfg.min_track_plays})")
+    body = (f"SELECT {''.join(f'a.{x}, ' for x in k.keys)} a.track_name, a.artist_name, a.album_name, play_count, "
+            f"total_hours_listened, avg_play_duration, first_played, last_played, listening_span_days, "
+            f"t.most_common_time, skip_rate, completion_rate, shuffle_usage_pct, days_since_last_play "
+            f"FROM agg a JOIN mt t ON {on('a', 't', g)}")
+    q["view_track_stats"] = SV(body, ",\n".join([agg, modes(g, "time_of_day", "most_common_time", "mt")]))
+
+    dims = "play_year, play_month, play_day_week, play_hour, time_of_day"
+    wpart = k.part_with("play_year", "play_month", "play_day_week")
+    q["view_temporal_patterns"] = SV(
+        f"SELECT {L} {dims}, count(*) AS total_plays, count(DISTINCT artist_name) AS unique_artists, "
+        f"count(DISTINCT track_name) AS unique_tracks, {R.sql_from_cents(f'sum({min_c})')} AS total_minutes, "
+        f"{R.sql_rround(f'sum({min_c})', 'count(*) * 100', 2)} AS avg_track_duration, "
+        f"{R.sql_rround(f'sum(count(*)) OVER ({wpart})', f'count(*) OVER ({wpart})', 1)} AS avg_plays_per_hour, "
+        f"{rates} FROM silver {k.group_with(*dims.split(', '))}")
+
+    dl = ["session_year", "session_month", "session_day_of_week", "session_start_hour",
+          "session_length_category", "session_type", "engagement_level"]
+    agg = (f"agg AS (SELECT {L} {', '.join(dl)}, count(*) AS session_count, "
+           f"{big('sum(tracks_played)')} AS total_tracks, "
+           f"{R.sql_rround('sum(tracks_played)', 'count(*)', 1)} AS avg_tracks_per_session, "
+           f"{avg_c('session_duration_minutes', 'count(*)', 1)} AS avg_duration_minutes, "
+           f"{R.sql_rround('sum(unique_artists)', 'count(*)', 1)} AS avg_unique_artists, "
+           f"{avg_c('diversity_score', 'count(*)', 3)} AS avg_diversity, "
+           f"{avg_c('weighted_diversity_score', 'count(*)', 3)} AS avg_weighted_diversity, "
+           f"{avg_c('skip_rate', 'count(*)', 2)} AS avg_skip_rate, "
+           f"{avg_c('completion_rate', 'count(*)', 2)} AS avg_completion_rate, "
+           f"{avg_c('shuffle_usage_pct', 'count(*)', 2)} AS avg_shuffle_usage "
+           f"FROM sessions {k.group_with(*dl)})")
+    body = (f"SELECT a.*, m.most_common_device FROM agg a JOIN mdev m ON {on('a', 'm', dl)}")
+    q["view_session_behavior"] = SS(body, ",\n".join(
+        [agg, mode_cte("mdev", "sessions", k.keys + dl, "primary_device", "most_common_device")]))
+
+    wy = f"({k.part} ORDER BY play_year)"
+    agg = (f"y AS (SELECT {L} play_year, count(*) AS total_plays, count(DISTINCT artist_name) AS unique_artists, "
+           f"count(DISTINCT track_name) AS unique_tracks, {big(f'sum({hrs_c})')} AS _h, "
+           f"{R.sql_rround(f'sum({min_c})', 'count(*) * 100', 2)} AS avg_track_duration, {rates} "
+           f"FROM silver {k.group_with('play_year')})")
+    q["view_yearly_trends"] = SV(
+        f"SELECT {L} play_year, total_plays, unique_artists, unique_tracks, {R.sql_from_cents('_h')} AS total_hours, "
+        f"avg_track_duration, skip_rate, completion_rate, shuffle_usage_pct, "
+        f"{R.sql_rround(f'(total_plays - lag(total_plays) OVER {wy}) * 100', f'lag(total_plays) OVER {wy}', 2)} AS pct_yoy_play_count, "
+        f"{R.sql_rround(f'(_h - lag(_h) OVER {wy}) * 100', f'lag(_h) OVER {wy}', 2)} AS pct_yoy_hours_played "
+        f"FROM y", agg)
+
+    def ranked(method: str, with_lead: bool = False) -> str:
+        specs = [(LB.PERIOD_ALL, LB.CONTENT_ARTIST, False, ["artist_name"], cfg.top_all_time),
+                 (LB.PERIOD_YEARLY, LB.CONTENT_ARTIST, True, ["artist_name"], cfg.top_yearly),
+                 (LB.PERIOD_ALL, LB.CONTENT_TRACK, False, ["artist_name", "track_name"], cfg.top_all_time),
+                 (LB.PERIOD_YEARLY, LB.CONTENT_TRACK, True, ["artist_name", "track_name"], cfg.top_yearly)]
+        parts = []
+        for period, content, yearly, group, n in specs:
+            gcols = (["play_year"] if yearly else []) + group
+            part = k.part_with(*(["play_year"] if yearly else []))
+            tie = ", ".join(f"{c} ASC NULLS FIRST" for c in group)
+            order = f"count(*) DESC, {tie}" if method == "row_number" else "count(*) DESC"
+            lead = (f", count(*) - lead(count(*)) OVER ({part} ORDER BY count(*) DESC, {tie}) AS lead_over_next"
+                    if with_lead else "")
+            parts.append(
+                f"SELECT * FROM (SELECT {L} '{period}' AS time_period, "
+                f"{'play_year' if yearly else 'CAST(NULL AS BIGINT)'} AS year, '{content}' AS content_type, "
+                f"artist_name, {'track_name' if 'track_name' in group else 'CAST(NULL AS VARCHAR)'} AS track_name, "
+                f"count(*) AS play_count, {R.sql_from_cents(f'sum({hrs_c})')} AS total_hours, "
+                f"{method}() OVER ({part} ORDER BY {order}) AS rank{lead} "
+                f"FROM silver {k.group_with(*gcols)}) WHERE rank <= {n}")
+        return SV(" UNION ALL ".join(parts))
+
+    q["view_top_content"] = ranked("row_number")
+    q["view_top_content_rank"] = ranked("rank")
+    q["view_top_content_dense_rank"] = ranked("dense_rank")
+    q["view_top_content_lead"] = ranked("row_number", with_lead=True)
+    q["view_artist_tiers"] = SV(
+        f"SELECT {L} artist_name, count(*) AS total_plays, "
+        f"ntile(4) OVER ({k.part} ORDER BY count(*) DESC, artist_name ASC NULLS FIRST) AS play_tier "
+        f"FROM silver {k.group_with('artist_name')}")
+    return q
+
+
 def build(cfg: PipelineConfig = DEFAULT) -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(stage_queries(cfg))
     out.update(quality_queries(cfg))
     out.update(eda_queries(cfg))
+    out.update(view_queries(cfg))
     return out

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from encore.config import DEFAULT, PipelineConfig
 from encore.plans import eda as EDA
 from encore.plans import quality as Q
+from encore.plans import views as V
 from encore.plans.stages import Stages
 from encore.schemas import SESSION_COLUMNS
 
@@ -55,6 +56,7 @@ def stage_functions() -> dict[str, Callable[[Stages], DataFrame]]:
     fns.update(_stage_fns())
     fns.update({n: getattr(EDA, n) for n in EDA.NAMES})
     fns.update(_quality_fns())
+    fns.update({n: getattr(V, n) for n in V.NAMES})
     return fns
 
 
