@@ -446,10 +446,35 @@ def view_queries(cfg: PipelineConfig) -> dict[str, str]:
     return q
 
 
+# ------------------------------------------------------------------ threshold sweep, global variant
+def sweep_query(cfg: PipelineConfig) -> str:
+    k = K(cfg)
+    L = k.lead
+    parts = []
+    for sec in LB.MIN_MS_SWEEP_SECONDS:
+        ms = int(sec * 1000)
+        c = cfg.with_(min_ms=ms)
+        prev = (f"prev AS (SELECT *, lag(play_end_MST) OVER w AS prev_end, lag(device) OVER w AS prev_device, "
+                f"date_diff('second', lag(play_end_MST) OVER w, play_start_MST) AS gap_seconds "
+                f"FROM silver WINDOW w AS ({k.part} ORDER BY {ORDER_SQL}))")
+        body = (f"SELECT CAST({ms} AS BIGINT) AS min_ms, {''.join(f'a.{x}, ' for x in k.keys)} a.rows_kept, "
+                f"coalesce(o.total_overlaps, 0) AS total_overlaps, "
+                f"coalesce(o.severe_same_device_overlaps, 0) AS severe_same_device_overlaps "
+                f"FROM (SELECT {L} count(*) AS rows_kept FROM silver {k.group}) a LEFT JOIN ("
+                f"SELECT {L} count_if(gap_seconds < 0) AS total_overlaps, "
+                f"count_if(gap_seconds < -{c.overlap_seconds} AND device = prev_device) AS severe_same_device_overlaps "
+                f"FROM prev WHERE prev_end IS NOT NULL {k.group}) o ON {k.on('a', 'o')}")
+        parts.append(f"SELECT * FROM ({with_stages(c, 'silver', body, prev)})")
+    return " UNION ALL ".join(parts)
+
+
 def build(cfg: PipelineConfig = DEFAULT) -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(stage_queries(cfg))
     out.update(quality_queries(cfg))
     out.update(eda_queries(cfg))
     out.update(view_queries(cfg))
+    out["dq_min_ms_sweep"] = sweep_query(cfg)
+    if cfg.keys:
+        out["sessions_global"] = stage_queries(cfg.with_(keys=()))["sessions"]
     return out

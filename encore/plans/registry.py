@@ -61,9 +61,14 @@ def stage_functions() -> dict[str, Callable[[Stages], DataFrame]]:
 
 
 def queries(cfg: PipelineConfig = DEFAULT) -> dict[str, Query]:
-    def bind(fn):
-        return lambda spark, sf_dir: fn(Stages(spark, sf_dir, cfg))
-    return {name: bind(fn) for name, fn in stage_functions().items()}
+    def bind(fn, c=cfg):
+        return lambda spark, sf_dir: fn(Stages(spark, sf_dir, c))
+    out = {name: bind(fn) for name, fn in stage_functions().items()}
+    if cfg.keys:
+        # one timeline over all plays, as in a single-user export: exercises the
+        # bucketed carry with no account key
+        out["sessions_global"] = bind(lambda st: st.sessions, cfg.with_(keys=()))
+    return out
 
 
 __all__ = ["queries", "stage_functions", "SESSION_COLUMNS"]
