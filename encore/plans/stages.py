@@ -20,9 +20,14 @@ class Stages:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str | None = None,
-                 cfg: PipelineConfig = DEFAULT, raw: DataFrame | None = None):
+                 cfg: PipelineConfig = DEFAULT, raw: DataFrame | None = None, **tables: DataFrame):
         self.spark, self.sf_dir, self.cfg = spark, sf_dir, cfg
         self._raw = raw
+        # materialized stages (silver, plays_sid, metrics, sessions) replace the lazy ones
+        for name, df in tables.items():
+            if name not in ("silver", "plays_sid", "metrics", "sessions"):
+                raise ValueError(f"unknown stage {name}")
+            self.__dict__[name] = df
 
     @property
     def keys(self) -> list[str]:
