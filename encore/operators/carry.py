@@ -114,3 +114,26 @@ def sessionize_window(plays: DataFrame, cfg: PipelineConfig, order) -> DataFrame
     x = x.withColumn("new_session_flag", gap_flag(F.col("seconds_since_last_play"), cfg))
     return x.withColumn("session_id", F.sum("new_session_flag").over(
         w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+
+
+def lag_carry_where(df: DataFrame, keys, order, cols, conds: dict, cfg: PipelineConfig) -> DataFrame:
+    """For each (name, condition): add struct `prev_<name>` holding `cols` of
+    the last earlier row (in `order`, within keys) on which the condition
+    holds - LAG over the qualifying rows only - for all conditions in one
+    pass (one shuffle, one sort), with the same per-bucket carry as
+    `lag_carry`."""
+    keys, order, cols = list(keys), list(order), list(cols)
+    val = F.struct(*[F.col(c) for c in cols])
+    x = df.withColumn(BUCKET, bucket_of(F.col(order[0]), cfg))
+    w = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    for name, cond in conds.items():
+        x = x.withColumn(f"_in_{name}", F.last(F.when(cond, val), ignorenulls=True).over(w))
+    s = x.groupBy(*keys, BUCKET).agg(*[
+        F.max_by(val, F.when(cond, _order_struct(order))).alias(f"_last_{name}") for name, cond in conds.items()])
+    wb = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    s = s.select(*keys, BUCKET, *[F.last(f"_last_{name}", ignorenulls=True).over(wb).alias(f"_carry_{name}")
+                                  for name in conds])
+    j = x.join(s, on=keys + [BUCKET], how="inner")
+    for name in conds:
+        j = j.withColumn(f"prev_{name}", F.coalesce(F.col(f"_in_{name}"), F.col(f"_carry_{name}")))
+    return j.drop(BUCKET, *[f"_in_{n}" for n in conds], *[f"_carry_{n}" for n in conds])

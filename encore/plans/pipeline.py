@@ -32,6 +32,8 @@ def materialize(spark: SparkSession, raw: DataFrame, out_dir: str, cfg: Pipeline
     """Write silver, plays-with-session-id and sessions tables; return Stages
     that read from them."""
     keys = list(cfg.keys)
+    write_table(raw, f"{out_dir}/raw")
+    raw = spark.read.parquet(f"{out_dir}/raw").select(*raw.columns)
     st = Stages(spark, cfg=cfg, raw=raw)
     write_table(st.silver, f"{out_dir}/silver", partition_by=["play_year"])
     silver = spark.read.parquet(f"{out_dir}/silver").select(

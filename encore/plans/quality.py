@@ -12,18 +12,13 @@ from encore import labels as LB
 from encore.functions import rounding as R
 from encore.functions import timeutil as TU
 from encore.functions.aggregates import count_all
-from encore.operators.carry import lag_carry
+from encore.operators.carry import lag_carry, lag_carry_where
 from encore.operators.shares import join_on_keys, top_n, with_share
 from encore.operators.silver import silver
 from encore.plans.stages import Stages
 from encore.schemas import PLAY_ORDER
 
 
-def _avg(col: str, n: str, digits: int) -> F.Column:
-    """ROUND(AVG(x), digits) for x holding hundredths (k / 100)."""
-    return R.rround(F.sum(R.to_cents(F.col(col))), F.col(n) * 100, digits)
-
-
 # ------------------------------------------------------------------ silver
 def dq_silver_duplicates(st: Stages) -> DataFrame:
     key = F.concat(F.col("play_end_MST").cast("string"), F.col("track_uri"), F.col("ms_played").cast("string"))
@@ -244,18 +239,29 @@ def session_quantiles(st: Stages) -> DataFrame:
 def dq_min_ms_sweep(st: Stages) -> DataFrame:
     """Rows kept and severe same-device overlaps for each candidate min_ms.
 
-    One branch per threshold (a fixed parameter list), unioned; each branch is
-    the silver filter and the overlap count at that threshold.
+    Silver is built once at the lowest threshold (the dedup key contains
+    ms_played, so keeping ms_played >= t afterwards equals cleaning at t).
+    Each play then finds, for every threshold t it passes, the previous play
+    that also passes t - all thresholds in one carry pass - and the counts
+    come out of one aggregate, unpivoted to one row per threshold.
     """
-    parts = []
-    for sec in LB.MIN_MS_SWEEP_SECONDS:
-        ms = int(sec * 1000)
-        cfg = st.cfg.with_(min_ms=ms)
-        sv = silver(st.raw, cfg)
-        kept = sv.groupBy(*st.keys).agg(count_all().alias("rows_kept"))
-        ov = overlap_counts(Stages(st.spark, st.sf_dir, cfg, raw=st.raw), sv)
-        j = join_on_keys(kept, ov, st.keys, "left")
-        parts.append(j.select(F.lit(ms).cast("long").alias("min_ms"), *st.keys, "rows_kept",
-                              F.coalesce("total_overlaps", F.lit(0)).alias("total_overlaps"),
-                              F.coalesce("severe_same_device_overlaps", F.lit(0)).alias("severe_same_device_overlaps")))
-    return reduce(DataFrame.unionByName, parts)
+    lowest = int(min(LB.MIN_MS_SWEEP_SECONDS) * 1000)
+    base = silver(st.raw, st.cfg.with_(min_ms=lowest)).select(*st.keys, *PLAY_ORDER, "device")
+    ms_list = [int(sec * 1000) for sec in LB.MIN_MS_SWEEP_SECONDS]
+    ms = F.col("ms_played")
+    conds = {f"t{m}": ms >= m for m in ms_list}
+    x = lag_carry_where(base, st.keys, PLAY_ORDER, ["play_end_MST", "device"], conds, st.cfg)
+    aggs = []
+    for m in ms_list:
+        prev = F.col(f"prev_t{m}")
+        gap = TU.seconds_between(prev["play_end_MST"], F.col("play_start_MST"))
+        kept = ms >= m
+        aggs += [F.count_if(kept).alias(f"_k{m}"),
+                 F.count_if(kept & prev.isNotNull() & (gap < 0)).alias(f"_o{m}"),
+                 F.count_if(kept & (gap < -st.cfg.overlap_seconds)
+                            & (F.col("device") == prev["device"])).alias(f"_s{m}")]
+    g = x.groupBy(*st.keys).agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(m).cast("long").alias("min_ms"), F.col(f"_k{m}").alias("rows_kept"),
+                              F.col(f"_o{m}").alias("total_overlaps"),
+                              F.col(f"_s{m}").alias("severe_same_device_overlaps")) for m in ms_list])
+    return g.select(*st.keys, F.inline(rows)).filter(F.col("rows_kept") > 0)
