@@ -31,7 +31,7 @@ _EPOCH = "1970-01-01 00:00:00"
 
 @dataclass
 class IngestResult:
-    raw: DataFrame          # RAW schema (account_id + 23 export columns) + source_file
+    raw: DataFrame          # RAW schema (account_id + 23 export columns) + source_file, event_time
     quarantine: DataFrame   # source_file, status, size_chars for files that gave no rows
     report: DataFrame       # source_file, status, records (one row per listed file)
 
@@ -62,8 +62,28 @@ def ingest(spark: SparkSession, files: list[str] | str, account_id: int | None =
     """
     if isinstance(files, str):
         files = discover(files)
-    text = (spark.read.option("wholetext", True).text(files)
+    # wholetext must be passed as the keyword: text()'s own default would override an .option()
+    text = (spark.read.text(files, wholetext=True)
             .select(F.input_file_name().alias("source_file"), F.col("value")))
+    files_df = classify_files(text)
+    raw = records(files_df, account_id)
+
+    quarantine = files_df.filter(F.col("status") != OK).select(
+        "source_file", "status", F.length("value").cast("long").alias("size_chars"))
+    counts = files_df.select("source_file", "status",
+                             F.when(F.col("status") == OK, F.size("_recs")).otherwise(0).cast("long").alias("records"))
+    # files Spark listed but produced no text row (zero-byte files) are reported as empty
+    listed = spark.createDataFrame([(f,) for f in files], "path string").select(
+        F.concat(F.lit("file://"), F.col("path")).alias("source_file"))
+    report = (listed.join(counts, on="source_file", how="full")
+              .select("source_file", F.coalesce("status", F.lit(EMPTY)).alias("status"),
+                      F.coalesce("records", F.lit(0)).cast("long").alias("records")))
+    return IngestResult(raw=raw, quarantine=quarantine, report=report)
+
+
+def classify_files(text: DataFrame) -> DataFrame:
+    """(source_file, value = whole file) -> + _recs (parsed array) and status.
+    Works on batch and streaming DataFrames alike."""
     body = F.trim(F.col("value"))
     parsed = F.from_json(F.col("value"), T.ArrayType(EXPORT_JSON), {"mode": "PERMISSIVE"})
     status = (F.when(body == "", EMPTY)
@@ -71,9 +91,12 @@ def ingest(spark: SparkSession, files: list[str] | str, account_id: int | None =
               .when(F.col("_recs").isNull(), INVALID)
               .when(F.size("_recs") == 0, NO_RECORDS)
               .otherwise(OK))
-    files_df = (text.withColumn("_recs", F.when(body.startswith("["), parsed))
-                .withColumn("status", status))
+    return (text.withColumn("_recs", F.when(body.startswith("["), parsed))
+            .withColumn("status", status))
 
+
+def records(files_df: DataFrame, account_id: int | None = None) -> DataFrame:
+    """Rows of the valid files in the raw schema (+ source_file)."""
     recs = files_df.filter(F.col("status") == OK).select("source_file", F.explode("_recs").alias("r"))
     if account_id is None:
         acct = F.regexp_extract("source_file", r"account_id=(\d+)", 1)
@@ -83,19 +106,8 @@ def ingest(spark: SparkSession, files: list[str] | str, account_id: int | None =
     cols = {n: F.col(f"r.{n}") for n, _ in EXPORT_FIELDS}
     cols["ts"] = _utc_wall(F.col("r.ts"))
     cols["account_id"] = acct
-    raw = recs.select(*[cols[n].cast(RAW[n].dataType).alias(n) for n in RAW_COLUMNS], "source_file")
-
-    quarantine = files_df.filter(F.col("status") != OK).select(
-        "source_file", "status", F.length("value").cast("long").alias("size_chars"))
-    counts = files_df.select("source_file", "status",
-                             F.when(F.col("status") == OK, F.size("_recs")).otherwise(0).cast("long").alias("records"))
-    # files Spark listed but produced no text row (zero-byte files) are reported as empty
-    listed = spark.createDataFrame([(f,) for f in files], "path string").select(
-        F.concat(F.lit("file://"), F.col("path")).alias("source_file"))
-    report = (listed.join(counts, on="source_file", how="full")
-              .select("source_file", F.coalesce("status", F.lit(EMPTY)).alias("status"),
-                      F.coalesce("records", F.lit(0)).cast("long").alias("records")))
-    return IngestResult(raw=raw, quarantine=quarantine, report=report)
+    return recs.select(*[cols[n].cast(RAW[n].dataType).alias(n) for n in RAW_COLUMNS], "source_file",
+                       F.to_timestamp(F.col("r.ts")).alias("event_time"))
 
 
 def summary(report: DataFrame) -> DataFrame:

@@ -23,20 +23,22 @@ def test_six_files(spark, tmp_path):
     _write(tmp_path, "empty.json", "")
     _write(tmp_path, "none.json", "[]")
     _write(tmp_path, "cut.json", '[{"ts":"2022-01-01T10:00:00Z","ms_played":1},{"ts":')
+    _write(tmp_path, "pretty.json", json.dumps([rec, rec], indent=2))   # exports are pretty-printed
     res = ingest(spark, str(tmp_path), account_id=7)
     rep = {r.source_file.rsplit("/", 1)[-1]: (r.status, r.records) for r in res.report.collect()}
     assert rep == {"good.json": ("ok", 2), "accents.json": ("ok", 1), "object.json": ("not_array", 0),
-                   "empty.json": ("empty", 0), "none.json": ("zero_records", 0), "cut.json": ("invalid_json", 0)}
+                   "empty.json": ("empty", 0), "none.json": ("zero_records", 0), "cut.json": ("invalid_json", 0),
+                   "pretty.json": ("ok", 2)}
     raw = res.raw.collect()
-    assert len(raw) == 3
+    assert len(raw) == 5
     assert {r.master_metadata_track_name for r in raw} == {"Song", "Canción ñandú"}
     assert {r.account_id for r in raw} == {7}
     assert all(r.ts == dt.datetime(2022, 1, 1, 10, 0, 0) for r in raw)
-    assert sorted(str(r.shuffle) for r in raw) == ["None", "None", "True"]
+    assert sorted(str(r.shuffle) for r in raw) == ["None", "None", "None", "None", "True"]
     q = {r.source_file.rsplit("/", 1)[-1] for r in res.quarantine.collect()}
     assert {"object.json", "cut.json", "none.json"} <= q
     s = summary(res.report).first()
-    assert (s.files_ok, s.files_total, s.records_total) == (2, 6, 3)
+    assert (s.files_ok, s.files_total, s.records_total) == (3, 7, 5)
 
 
 def test_discover_requires_files(tmp_path):
@@ -59,8 +61,8 @@ def test_round_trip_from_adapter(spark, tmp_path):
         by_acct.setdefault(d.pop("account_id"), []).append(d)
     for a, recs in by_acct.items():
         (tmp_path / f"account_id={a}").mkdir()
-        _write(tmp_path / f"account_id={a}", "history.json", json.dumps(recs, ensure_ascii=False))
+        _write(tmp_path / f"account_id={a}", "history.json", json.dumps(recs, ensure_ascii=False, indent=2))
     files = [str(p) for p in tmp_path.glob("account_id=*/history.json")]
-    back = ingest(spark, files).raw.drop("source_file")
+    back = ingest(spark, files).raw.drop("source_file", "event_time")
     assert back.exceptAll(raw).count() == 0 and raw.exceptAll(back).count() == 0
     assert back.filter(F.col("account_id").isNull()).count() == 0
