@@ -36,6 +36,14 @@ def session_metrics(plays: DataFrame, cfg: PipelineConfig) -> DataFrame:
         count_true(F.col("offline_flag")).alias("offline_plays"),
         most_frequent(F.col("device")).alias("primary_device"),
     )
+    return finish_metrics(g, keys)
+
+
+def finish_metrics(g: DataFrame, keys) -> DataFrame:
+    """Session counters (counts, sums, distinct counts, most used device) ->
+    the rounded session measures. Shared by the batch and streaming paths."""
+    keys = list(keys)
+    n = F.col("tracks_played")
     dur = TU.seconds_between(F.col("session_start"), F.col("session_end"))
     ua = F.col("unique_artists")
     return g.select(

@@ -42,7 +42,12 @@ def deduplicate(df: DataFrame, keys) -> DataFrame:
 def silver(raw: DataFrame, cfg: PipelineConfig) -> DataFrame:
     keys = list(cfg.keys)
     cols = [c for c in RAW_COLUMNS if c != "account_id" or "account_id" in keys]
-    m = deduplicate(music_filter(raw.select(*cols), cfg), keys)
+    return project_silver(deduplicate(music_filter(raw.select(*cols), cfg), keys), cfg)
+
+
+def project_silver(m: DataFrame, cfg: PipelineConfig, extra=()) -> DataFrame:
+    """Raw music plays (one per dedup key) -> the silver columns (+ `extra`)."""
+    keys = list(cfg.keys)
     end = TU.local_clock(F.col("ts"), cfg)
     ms = F.col("ms_played")
     h = TU.hour(end)
@@ -75,4 +80,5 @@ def silver(raw: DataFrame, cfg: PipelineConfig) -> DataFrame:
         R.from_cents(R.minutes_c(ms)).alias("minutes_played"),
         R.from_cents(R.hours_c(ms)).alias("hours_played"),
         completion.alias("completion_category"),
+        *extra,
     )
