@@ -19,7 +19,7 @@ class PipelineConfig:
     gap_seconds: int = 1800
     overlap_seconds: int = 1800
     # bucket used to split each account's timeline for the parallel carry:
-    # "day" or "hour" of play_start
+    # "day", "hour" or "minute" of play_start (bounds the largest task)
     carry_bucket: str = "day"
     # gold view thresholds
     min_artist_plays: int = 5

@@ -31,7 +31,7 @@ def _ids(df):
 
 
 def test_edges_match_expected(spark):
-    for cfg in (DEFAULT, DEFAULT.with_(carry_bucket="hour")):
+    for cfg in (DEFAULT, DEFAULT.with_(carry_bucket="hour"), DEFAULT.with_(carry_bucket="minute")):
         out = sessionize(_plays(spark), cfg, PLAY_ORDER)
         assert _ids(out) == [e[2] for e in EDGES]
 
