@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
+
+from encore import labels as LB
 
 
 @dataclass(frozen=True)
@@ -21,6 +23,13 @@ class PipelineConfig:
     # bucket used to split each account's timeline for the parallel carry:
     # "day", "hour" or "minute" of play_start (bounds the largest task)
     carry_bucket: str = "day"
+    # session classes: length limits (minutes, strict <); type thresholds
+    # (active skip >, shuffle >, variety weighted >, focused weighted <, album completion >);
+    # engagement thresholds (high completion >, high skip <, medium completion >)
+    length_bounds: tuple[float, ...] = LB.LENGTH_LIMITS_MIN
+    type_thresholds: tuple[float, ...] = (LB.ACTIVE_SKIP_GT, LB.SHUFFLE_GT, LB.VARIETY_WEIGHTED_GT,
+                                          LB.FOCUSED_WEIGHTED_LT, LB.ALBUM_COMPLETION_GT)
+    engagement_thresholds: tuple[float, ...] = (LB.HIGH_COMPLETION_GT, LB.HIGH_SKIP_LT, LB.MEDIUM_COMPLETION_GT)
     # gold view thresholds
     min_artist_plays: int = 5
     min_track_plays: int = 3

@@ -64,25 +64,28 @@ def finish_metrics(g: DataFrame, keys) -> DataFrame:
     )
 
 
-def length_category(minutes) -> "F.Column":
-    a, b, c, d = LB.LENGTH_LIMITS_MIN
+def length_category(minutes, bounds=LB.LENGTH_LIMITS_MIN) -> "F.Column":
+    a, b, c, d = bounds
     l0, l1, l2, l3, l4 = LB.LENGTH_LABELS
     return (F.when(minutes < a, l0).when(minutes < b, l1).when(minutes < c, l2)
             .when(minutes < d, l3).otherwise(l4))
 
 
-def session_type(skip, shuffle, weighted, completion) -> "F.Column":
-    return (F.when((skip > LB.ACTIVE_SKIP_GT) & (shuffle > LB.SHUFFLE_GT), LB.TYPE_ACTIVE)
-            .when(shuffle > LB.SHUFFLE_GT, LB.TYPE_DISCOVERY)
-            .when(weighted > LB.VARIETY_WEIGHTED_GT, LB.TYPE_VARIETY)
-            .when((weighted < LB.FOCUSED_WEIGHTED_LT) & (completion > LB.ALBUM_COMPLETION_GT), LB.TYPE_ALBUM)
-            .when(weighted < LB.FOCUSED_WEIGHTED_LT, LB.TYPE_DEEP)
+def session_type(skip, shuffle, weighted, completion, th=None) -> "F.Column":
+    """First match wins, on the rounded rates."""
+    active_skip, shuffle_gt, variety, focused, album = th or PipelineConfig().type_thresholds
+    return (F.when((skip > active_skip) & (shuffle > shuffle_gt), LB.TYPE_ACTIVE)
+            .when(shuffle > shuffle_gt, LB.TYPE_DISCOVERY)
+            .when(weighted > variety, LB.TYPE_VARIETY)
+            .when((weighted < focused) & (completion > album), LB.TYPE_ALBUM)
+            .when(weighted < focused, LB.TYPE_DEEP)
             .otherwise(LB.TYPE_BALANCED))
 
 
-def engagement_level(completion, skip) -> "F.Column":
-    return (F.when((completion > LB.HIGH_COMPLETION_GT) & (skip < LB.HIGH_SKIP_LT), LB.ENGAGEMENT_HIGH)
-            .when(completion > LB.MEDIUM_COMPLETION_GT, LB.ENGAGEMENT_MEDIUM)
+def engagement_level(completion, skip, th=None) -> "F.Column":
+    high_c, high_s, medium_c = th or PipelineConfig().engagement_thresholds
+    return (F.when((completion > high_c) & (skip < high_s), LB.ENGAGEMENT_HIGH)
+            .when(completion > medium_c, LB.ENGAGEMENT_MEDIUM)
             .otherwise(LB.ENGAGEMENT_LOW))
 
 
@@ -95,10 +98,11 @@ def classify(metrics: DataFrame, cfg: PipelineConfig) -> DataFrame:
         TU.month(st).alias("session_month"),
         TU.day_name(st).alias("session_day_of_week"),
         TU.hour(st).alias("session_start_hour"),
-        length_category(F.col("session_duration_minutes")).alias("session_length_category"),
+        length_category(F.col("session_duration_minutes"), cfg.length_bounds).alias("session_length_category"),
         session_type(F.col("skip_rate"), F.col("shuffle_usage_pct"), F.col("weighted_diversity_score"),
-                     F.col("completion_rate")).alias("session_type"),
-        engagement_level(F.col("completion_rate"), F.col("skip_rate")).alias("engagement_level"),
+                     F.col("completion_rate"), cfg.type_thresholds).alias("session_type"),
+        engagement_level(F.col("completion_rate"), F.col("skip_rate"),
+                         cfg.engagement_thresholds).alias("engagement_level"),
     )
     cols = [c for c in SESSION_COLUMNS if c != "account_id" or "account_id" in cfg.keys]
     return out.select(*cols)

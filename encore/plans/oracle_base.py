@@ -136,7 +136,9 @@ def session_ctes(cfg: PipelineConfig) -> str:
     k = K(cfg)
     w = f"({k.part} ORDER BY {ORDER_SQL})"
     n = "tracks_played"
-    a, b, c, d = LB.LENGTH_LIMITS_MIN
+    a, b, c, d = cfg.length_bounds
+    t_skip, t_shuf, t_var, t_foc, t_alb = cfg.type_thresholds
+    e_hc, e_hs, e_mc = cfg.engagement_thresholds
     l0, l1, l2, l3, l4 = LB.LENGTH_LABELS
     return f"""play_gaps AS (
   SELECT *, date_diff('second', lag(play_end_MST) OVER {w}, play_start_MST) AS seconds_since_last_play
@@ -195,14 +197,14 @@ sessions AS (
          ELSE '{l4}' END AS session_length_category,
     primary_device, devices_used, tracks_played, unique_artists, unique_albums, avg_track_duration,
     diversity_score, weighted_diversity_score, shuffle_usage_pct, skip_rate, completion_rate, offline_plays,
-    CASE WHEN skip_rate > {LB.ACTIVE_SKIP_GT} AND shuffle_usage_pct > {LB.SHUFFLE_GT} THEN '{LB.TYPE_ACTIVE}'
-         WHEN shuffle_usage_pct > {LB.SHUFFLE_GT} THEN '{LB.TYPE_DISCOVERY}'
-         WHEN weighted_diversity_score > {LB.VARIETY_WEIGHTED_GT} THEN '{LB.TYPE_VARIETY}'
-         WHEN weighted_diversity_score < {LB.FOCUSED_WEIGHTED_LT} AND completion_rate > {LB.ALBUM_COMPLETION_GT} THEN '{LB.TYPE_ALBUM}'
-         WHEN weighted_diversity_score < {LB.FOCUSED_WEIGHTED_LT} THEN '{LB.TYPE_DEEP}'
+    CASE WHEN skip_rate > {t_skip} AND shuffle_usage_pct > {t_shuf} THEN '{LB.TYPE_ACTIVE}'
+         WHEN shuffle_usage_pct > {t_shuf} THEN '{LB.TYPE_DISCOVERY}'
+         WHEN weighted_diversity_score > {t_var} THEN '{LB.TYPE_VARIETY}'
+         WHEN weighted_diversity_score < {t_foc} AND completion_rate > {t_alb} THEN '{LB.TYPE_ALBUM}'
+         WHEN weighted_diversity_score < {t_foc} THEN '{LB.TYPE_DEEP}'
          ELSE '{LB.TYPE_BALANCED}' END AS session_type,
-    CASE WHEN completion_rate > {LB.HIGH_COMPLETION_GT} AND skip_rate < {LB.HIGH_SKIP_LT} THEN '{LB.ENGAGEMENT_HIGH}'
-         WHEN completion_rate > {LB.MEDIUM_COMPLETION_GT} THEN '{LB.ENGAGEMENT_MEDIUM}'
+    CASE WHEN completion_rate > {e_hc} AND skip_rate < {e_hs} THEN '{LB.ENGAGEMENT_HIGH}'
+         WHEN completion_rate > {e_mc} THEN '{LB.ENGAGEMENT_MEDIUM}'
          ELSE '{LB.ENGAGEMENT_LOW}' END AS engagement_level
   FROM session_metrics
 )"""
