@@ -11,13 +11,9 @@ from encore.plans import eda as EDA
 from encore.plans import quality as Q
 from encore.plans import views as V
 from encore.plans.stages import Stages
-from encore.schemas import SESSION_COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_SILVER_EXTRA = ["seconds_since_last_play"]
-
-
 def _stage_fns() -> dict[str, Callable[[Stages], DataFrame]]:
     def gaps(st):
         return st.plays_sid.select(*st.silver.columns, "seconds_since_last_play")
@@ -71,4 +67,4 @@ def queries(cfg: PipelineConfig = DEFAULT) -> dict[str, Query]:
     return out
 
 
-__all__ = ["queries", "stage_functions", "SESSION_COLUMNS"]
+__all__ = ["queries", "stage_functions"]
