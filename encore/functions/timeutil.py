@@ -22,9 +22,30 @@ def local_clock(ts: Column, cfg: PipelineConfig) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(cfg.tz), ts)
 
 
+# Wall-clock (timestamp_ntz) arithmetic below never goes through the session
+# time zone: date_trunc / date_format / current_timestamp would, and shift wall
+# times that fall in that zone's DST gap on a cluster not running in UTC.
+EPOCH_NTZ = "1970-01-01 00:00:00"
+DAY_NAMES = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
+
+
+def trunc_ntz(t: Column, unit: str) -> Column:
+    """Truncate a timestamp_ntz to SECOND, MINUTE or HOUR."""
+    us_in_minute = (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("long")   # seconds + fraction
+    drop = {"SECOND": us_in_minute % 1_000_000,
+            "MINUTE": us_in_minute,
+            "HOUR": us_in_minute + F.minute(t).cast("long") * 60_000_000}[unit.upper()]
+    return F.timestamp_add("MICROSECOND", -drop, t)
+
+
 def minus_ms_to_second(end: Column, ms: Column) -> Column:
     """end - ms, truncated to the second, kept as timestamp_ntz."""
-    return F.date_trunc("SECOND", F.timestamp_add("MILLISECOND", -ms, end)).cast("timestamp_ntz")
+    return trunc_ntz(F.timestamp_add("MILLISECOND", -ms, end), "SECOND")
+
+
+def utc_wall(instant: Column) -> Column:
+    """An instant (TIMESTAMP) as the UTC wall time (timestamp_ntz)."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
 
 
 def year(c: Column) -> Column:
@@ -45,7 +66,7 @@ def day_num(c: Column) -> Column:
 
 
 def day_name(c: Column) -> Column:
-    return F.date_format(c, "EEEE")
+    return F.element_at(F.array(*[F.lit(d) for d in DAY_NAMES]), F.dayofweek(F.to_date(c)))
 
 
 def seconds_between(start: Column, end: Column) -> Column:
@@ -69,12 +90,13 @@ def daypart_eda(h: Column) -> Column:
             .when(h.between(18, 23), evening).otherwise(night))
 
 
-def as_of_date(cfg: PipelineConfig) -> Column:
-    return F.lit(cfg.as_of).cast("date") if cfg.as_of else F.current_date()
+def now_utc() -> Column:
+    return utc_wall(F.current_timestamp())
 
 
-def now_utc() -> Column:
-    return F.current_timestamp().cast("timestamp_ntz")
+def as_of_date(cfg: PipelineConfig) -> Column:
+    """cfg.as_of, else today's UTC date."""
+    return F.lit(cfg.as_of).cast("date") if cfg.as_of else F.to_date(now_utc())
 
 
 # ---------------------------------------------------------------- SQL text (DuckDB)

@@ -30,7 +30,7 @@ def bucket_of(t: Column, cfg: PipelineConfig) -> Column:
     """The unit bounds the largest task: one key's plays within one bucket.
     "day" suits play histories; "hour" / "minute" for keys with extreme volume."""
     if cfg.carry_bucket in ("hour", "minute"):
-        return F.date_trunc(cfg.carry_bucket.upper(), t).cast("timestamp_ntz")
+        return TU.trunc_ntz(t, cfg.carry_bucket)
     if cfg.carry_bucket == "day":
         return F.to_date(t)
     raise ValueError(f"unknown carry_bucket {cfg.carry_bucket!r}")

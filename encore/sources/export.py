@@ -13,8 +13,9 @@ def write_jsonl(raw: DataFrame, out_dir: str) -> None:
     source file stem (the converter writes <stem>.jsonl per input)."""
     stem = F.regexp_extract(F.col("source_file"), r"([^/]+?)(\.[^./]*)?$", 1)
     cols = [c for c in RAW_COLUMNS if c in raw.columns and c != "account_id"]
-    out = raw.select(*[F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c) if c == "ts" else F.col(c)
-                       for c in cols], stem.alias("source_stem"))
+    # ts holds the UTC wall time; the string cast does not involve the session zone
+    iso = F.concat(F.regexp_replace(F.col("ts").cast("string"), " ", "T"), F.lit("Z"))
+    out = raw.select(*[iso.alias(c) if c == "ts" else F.col(c) for c in cols], stem.alias("source_stem"))
     (out.write.mode("overwrite").option("ignoreNullFields", False)
      .partitionBy("source_stem").json(out_dir))
 

@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from encore.functions.timeutil import utc_wall
 from encore.schemas import EXPORT_FIELDS, EXPORT_JSON, RAW, RAW_COLUMNS
 
 OK, EMPTY, NOT_ARRAY, NO_RECORDS, INVALID = "ok", "empty", "not_array", "zero_records", "invalid_json"
-_EPOCH = "1970-01-01 00:00:00"
 
 
 @dataclass
@@ -50,8 +50,7 @@ def discover(path: str, pattern: str = "*.json") -> list[str]:
 def _utc_wall(ts_str: F.Column) -> F.Column:
     """ISO instant string ('...Z' or with offset) -> timestamp_ntz of the UTC
     wall time, independent of the session time zone."""
-    micros = F.unix_micros(F.to_timestamp(ts_str))
-    return F.timestamp_add("MICROSECOND", micros, F.lit(_EPOCH).cast("timestamp_ntz"))
+    return utc_wall(F.to_timestamp(ts_str))
 
 
 def ingest(spark: SparkSession, files: list[str] | str, account_id: int | None = None) -> IngestResult:

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from encore.functions.timeutil import trunc_ntz
 from encore.schemas import RAW, RAW_COLUMNS
 
 ACCOUNT_USERS = 38          # users folded into one account
@@ -36,7 +37,7 @@ def raw_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     account = F.call_function("div", uid, F.lit(ACCOUNT_USERS))
     is_ep = eid % PODCAST_EVERY == 0
     shift_days = (F.lit(-DAYS_SHIFT) * (account % 4)).cast("int")
-    ts = F.date_trunc("SECOND", F.timestamp_add("DAY", shift_days, F.col("ts"))).cast("timestamp_ntz")
+    ts = trunc_ntz(F.timestamp_add("DAY", shift_days, F.col("ts")), "SECOND")
     none_s = F.lit(None).cast("string")
 
     cols = {
