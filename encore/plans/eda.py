@@ -15,6 +15,7 @@ from encore.functions import timeutil as TU
 from encore.functions.aggregates import count_all, count_true
 from encore.operators.carry import lag_carry
 from encore.operators.shares import top_n, with_share
+from encore.plans.profile import distribution
 from encore.plans.stages import Stages
 from encore.schemas import EXPORT_FIELDS
 
@@ -44,10 +45,6 @@ def _hours(digits: int = 1) -> Column:
     return R.rround(F.sum(_ms()), 3600000, digits)
 
 
-def _minutes0() -> Column:
-    return R.rround(F.sum(_ms()), 60000, 0)
-
-
 def _unpivot(df: DataFrame, keys, label_col: str, value_col: str, pairs) -> DataFrame:
     """Turn one row of named counts into one row per (label, count)."""
     rows = F.array(*[F.struct(F.lit(lbl).alias(label_col), c.alias(value_col)) for lbl, c in pairs])
@@ -60,6 +57,28 @@ def _share_by(st: Stages, df: DataFrame, group: list[Column], count_name: str =
     return with_share(g, st.keys, count_name)
 
 
+def _from_dist(st: Stages, name: str, cols: list[str], share: bool = True, extra=()) -> DataFrame:
+    """A distribution from the one-pass profile (or a focused aggregate), with
+    its share of the key's total and duration figures from sum / count of ms."""
+    d = distribution(st, name)
+    if share:
+        d = with_share(d, st.keys, "plays")
+    out = [*st.keys, *cols, "plays"] + (["pct_of_total"] if share else [])
+    return d.select(*out, *[e(F.col("_sum_ms"), F.col("_n_ms")) for e in extra])
+
+
+def _minutes0_of(s: Column, n: Column) -> Column:
+    return R.rround(s, 60000, 0).alias("total_minutes")
+
+
+def _avg_minutes_of(s: Column, n: Column) -> Column:
+    return R.rround(s, n * 60000, 2).alias("avg_minutes_per_play")
+
+
+def _hours1_of(s: Column, n: Column) -> Column:
+    return R.rround(s, 3600000, 1).alias("total_hours")
+
+
 def eda_overview(st: Stages) -> DataFrame:
     ts = F.col("ts")
     days = F.datediff(F.to_date(F.max(ts)), F.to_date(F.min(ts)))
@@ -80,10 +99,7 @@ def eda_null_profile(st: Stages) -> DataFrame:
 
 
 def eda_content_type(st: Stages) -> DataFrame:
-    ctype = (F.when(F.col("episode_name").isNotNull(), LB.CONTENT_PODCAST)
-             .when(_track().isNotNull(), LB.CONTENT_MUSIC).otherwise(LB.CONTENT_UNKNOWN))
-    return _share_by(st, st.raw, [ctype.alias("content_type")],
-                     extra=[_minutes0().alias("total_minutes"), _avg_minutes().alias("avg_minutes_per_play")])
+    return _from_dist(st, "content_type", ["content_type"], extra=[_minutes0_of, _avg_minutes_of])
 
 
 def eda_duplicates(st: Stages) -> DataFrame:
@@ -105,19 +121,15 @@ def eda_by_month(st: Stages) -> DataFrame:
 
 
 def eda_by_weekday(st: Stages) -> DataFrame:
-    c = _clock(st)
-    return st.raw.groupBy(*st.keys, TU.day_name(c).alias("day_of_week"), TU.day_num(c).alias("day_num")).agg(
-        count_all().alias("plays"), _avg_minutes().alias("avg_minutes_per_play"))
+    return _from_dist(st, "weekday", ["day_of_week", "day_num"], share=False, extra=[_avg_minutes_of])
 
 
 def eda_by_hour(st: Stages) -> DataFrame:
-    return _share_by(st, st.raw, [TU.hour(_clock(st)).alias("hour")], extra=[_minutes0().alias("total_minutes")])
+    return _from_dist(st, "hour", ["hour"], extra=[_minutes0_of])
 
 
 def eda_heatmap(st: Stages) -> DataFrame:
-    c = _clock(st)
-    return st.raw.groupBy(*st.keys, TU.day_num(c).alias("day_num"), TU.hour(c).alias("hour")).agg(
-        count_all().alias("plays"))
+    return _from_dist(st, "heatmap", ["day_num", "hour"], share=False)
 
 
 def eda_top_artists(st: Stages, n: int = 20) -> DataFrame:
@@ -150,30 +162,19 @@ def eda_artist_discovery(st: Stages, n: int = 20) -> DataFrame:
 
 
 def eda_platform(st: Stages) -> DataFrame:
-    return _share_by(st, st.raw.filter(F.col("platform").isNotNull()), [F.col("platform")],
-                     extra=[_hours(1).alias("total_hours"), _avg_minutes().alias("avg_minutes_per_play")])
+    return _from_dist(st, "platform", ["platform"], extra=[_hours1_of, _avg_minutes_of])
 
 
 def eda_platform_daypart(st: Stages) -> DataFrame:
-    part = TU.daypart_eda(TU.hour(_clock(st)))
-    return (st.raw.filter(F.col("platform").isNotNull())
-            .groupBy(*st.keys, "platform", part.alias("time_of_day")).agg(count_all().alias("plays")))
+    return _from_dist(st, "platform_daypart", ["platform", "time_of_day"], share=False)
 
 
 def eda_country(st: Stages) -> DataFrame:
-    return _share_by(st, st.raw.filter(F.col("conn_country").isNotNull()), [F.col("conn_country").alias("country")])
-
-
-def _bucket(v: Column, limits, labels) -> Column:
-    out = F.when(v < limits[0], labels[0])
-    for lim, lbl in zip(limits[1:], labels[1:]):
-        out = out.when(v < lim, lbl)
-    return out.otherwise(labels[len(limits)])
+    return _from_dist(st, "country", ["country"])
 
 
 def eda_duration_buckets(st: Stages) -> DataFrame:
-    b = _bucket(_ms(), LB.DURATION_LIMITS_MS, LB.DURATION_LABELS)
-    return _share_by(st, st.raw.filter(_ms() > 0), [b.alias("duration_bucket")])
+    return _from_dist(st, "duration_bucket", ["duration_bucket"])
 
 
 def _flag_share(st: Stages, col: str, extra=None) -> DataFrame:
@@ -181,7 +182,7 @@ def _flag_share(st: Stages, col: str, extra=None) -> DataFrame:
 
 
 def eda_skip(st: Stages) -> DataFrame:
-    return _flag_share(st, "skipped", [_avg_minutes().alias("avg_minutes_per_play")])
+    return _from_dist(st, "skipped", ["skipped"], extra=[_avg_minutes_of])
 
 
 def eda_shuffle(st: Stages) -> DataFrame:
@@ -189,19 +190,19 @@ def eda_shuffle(st: Stages) -> DataFrame:
 
 
 def eda_offline(st: Stages) -> DataFrame:
-    return _flag_share(st, "offline")
+    return _from_dist(st, "offline", ["offline"])
 
 
 def eda_incognito(st: Stages) -> DataFrame:
-    return _flag_share(st, "incognito_mode")
+    return _from_dist(st, "incognito_mode", ["incognito_mode"])
 
 
 def eda_reason_start(st: Stages) -> DataFrame:
-    return _flag_share(st, "reason_start")
+    return _from_dist(st, "reason_start", ["reason_start"])
 
 
 def eda_reason_end(st: Stages) -> DataFrame:
-    return _flag_share(st, "reason_end")
+    return _from_dist(st, "reason_end", ["reason_end"])
 
 
 def eda_binge_days(st: Stages, n: int = 20) -> DataFrame:
@@ -235,10 +236,7 @@ def eda_gap_buckets(st: Stages) -> DataFrame:
 
 
 def eda_completion(st: Stages) -> DataFrame:
-    a, b, c = LB.EDA_COMPLETION_LIMITS_MS
-    l0, l1, l2, l3 = LB.EDA_COMPLETION_LABELS
-    cat = F.when(_ms() < a, l0).when(_ms() < b, l1).when(_ms() < c, l2).when(_ms() >= c, l3)
-    return _share_by(st, st.raw.filter(_track().isNotNull() & (_ms() > 0)), [cat.alias("completion_category")])
+    return _from_dist(st, "completion_category", ["completion_category"])
 
 
 def eda_impossible_values(st: Stages) -> DataFrame:

@@ -14,6 +14,7 @@ from encore.config import DEFAULT, PipelineConfig
 from encore.plans import eda as EDA
 from encore.plans import quality as Q
 from encore.plans import views as V
+from encore.plans.profile import profile as raw_profile
 from encore.plans.stages import Stages
 from encore.schemas import SESSION_COLUMNS, SILVER_COLUMNS
 from encore.sources.export import write_csv, write_table
@@ -29,11 +30,13 @@ VIEW_ORDER = {
 
 
 def materialize(spark: SparkSession, raw: DataFrame, out_dir: str, cfg: PipelineConfig = DEFAULT) -> Stages:
-    """Write silver, plays-with-session-id and sessions tables; return Stages
-    that read from them."""
+    """Write raw, the one-pass raw profile, silver, plays-with-session-id and
+    sessions tables; return Stages that read from them."""
     keys = list(cfg.keys)
     write_table(raw, f"{out_dir}/raw")
     raw = spark.read.parquet(f"{out_dir}/raw").select(*raw.columns)
+    write_table(raw_profile(raw, cfg), f"{out_dir}/raw_profile")
+    prof = spark.read.parquet(f"{out_dir}/raw_profile")
     st = Stages(spark, cfg=cfg, raw=raw)
     write_table(st.silver, f"{out_dir}/silver", partition_by=["play_year"])
     silver = spark.read.parquet(f"{out_dir}/silver").select(
@@ -45,7 +48,7 @@ def materialize(spark: SparkSession, raw: DataFrame, out_dir: str, cfg: Pipeline
     write_table(st3.sessions, f"{out_dir}/sessions", partition_by=["session_year"])
     sessions = spark.read.parquet(f"{out_dir}/sessions").select(
         *[c for c in SESSION_COLUMNS if c != "account_id" or c in keys])
-    return Stages(spark, cfg=cfg, raw=raw, silver=silver, plays_sid=plays_sid, sessions=sessions)
+    return Stages(spark, cfg=cfg, raw=raw, silver=silver, plays_sid=plays_sid, sessions=sessions, profile=prof)
 
 
 def register_views(st: Stages) -> dict[str, DataFrame]:

@@ -23,6 +23,7 @@ class Stages:
                  cfg: PipelineConfig = DEFAULT, raw: DataFrame | None = None, **tables: DataFrame):
         self.spark, self.sf_dir, self.cfg = spark, sf_dir, cfg
         self._raw = raw
+        self.profile_table = tables.pop("profile", None)   # materialized one-pass raw profile
         # materialized stages (silver, plays_sid, metrics, sessions) replace the lazy ones
         for name, df in tables.items():
             if name not in ("silver", "plays_sid", "metrics", "sessions"):

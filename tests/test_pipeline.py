@@ -21,3 +21,17 @@ def test_materialize_and_views(spark, tmp_path):
     P.export_csv(st, str(tmp_path))
     back = spark.read.option("header", True).csv(str(tmp_path / "csv/view_yearly_trends"))
     assert back.count() == views["view_yearly_trends"].count()
+
+
+def test_profile_feeds_the_distributions(spark, tmp_path):
+    """The profiling distributions read from the one-pass profile table give
+    the same rows as the focused aggregates over raw."""
+    from encore.plans import eda as EDA
+    raw = raw_from_events(spark, SF_SMALL)
+    st = P.materialize(spark, raw, str(tmp_path / "tables"), DEFAULT)
+    assert st.profile_table is not None
+    lazy = Stages(spark, SF_SMALL, DEFAULT)
+    for name in EDA.NAMES:
+        a, b = getattr(EDA, name)(st), getattr(EDA, name)(lazy)
+        assert a.columns == b.columns, name
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
