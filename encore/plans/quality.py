@@ -265,3 +265,26 @@ def dq_min_ms_sweep(st: Stages) -> DataFrame:
                               F.col(f"_o{m}").alias("total_overlaps"),
                               F.col(f"_s{m}").alias("severe_same_device_overlaps")) for m in ms_list])
     return g.select(*st.keys, F.inline(rows)).filter(F.col("rows_kept") > 0)
+
+
+# ------------------------------------------------------------------ expectations
+def expectations(st: Stages) -> DataFrame:
+    """Checks whose expected value the source pipeline states, one row per
+    (check, key): observed value, expected value, passed. All per-key
+    aggregates (small), unioned."""
+    def row(df: DataFrame, name: str, col: str) -> DataFrame:
+        return df.select(F.lit(name).alias("expectation"), *st.keys,
+                         F.col(col).cast("long").alias("observed"), F.lit(0).cast("long").alias("expected"))
+
+    neg = (st.sessions.groupBy(*st.keys)
+           .agg(F.count_if(F.col("session_duration_minutes") < 0).alias("negative_durations")))
+    parts = [
+        row(dq_silver_duplicates(st), "no remaining duplicates", "remaining_duplicates"),
+        row(dq_silver_podcast_leak(st), "no podcasts in silver", "podcast_count"),
+        row(dq_sessions_orphans(st), "every clean play in one session", "difference"),
+        row(dq_intra_session_gaps(st), "no gap over the limit inside a session", "inner_gaps_over_limit"),
+        row(dq_intra_session_gaps(st), "no severe overlap inside a session", "inner_overlaps_over_limit"),
+        row(neg, "no negative session duration", "negative_durations"),
+    ]
+    out = reduce(DataFrame.unionByName, parts)
+    return out.withColumn("passed", F.col("observed") == F.col("expected"))

@@ -35,3 +35,11 @@ def test_profile_feeds_the_distributions(spark, tmp_path):
         a, b = getattr(EDA, name)(st), getattr(EDA, name)(lazy)
         assert a.columns == b.columns, name
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
+
+
+def test_expectations_hold(spark):
+    from encore.plans.quality import expectations
+    from tests.conftest import SF_MID
+    exp = expectations(Stages(spark, SF_MID, DEFAULT)).collect()
+    assert len(exp) == 6 * 4                      # six expectations, four accounts
+    assert all(r.passed for r in exp), [r for r in exp if not r.passed]
