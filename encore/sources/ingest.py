@@ -10,13 +10,14 @@ validity - exactly the source converter's behaviour:
   * one bad file does not stop the run (it lands in `quarantine`).
 
 Many files are packed into each task by Spark's file-split planning, so the
-job parallelises over files; the driver only lists paths.
+job parallelises over files; the driver only lists paths (through the Hadoop
+file system, so local, HDFS and S3 paths all work). A single file is one task:
+very large histories should arrive as several files or as JSON lines
+(`read_jsonl`, splittable).
 """
 
 from __future__ import annotations
 
-import glob
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,15 +37,34 @@ class IngestResult:
     report: DataFrame       # source_file, status, records (one row per listed file)
 
 
-def discover(path: str, pattern: str = "*.json") -> list[str]:
-    """A1: the `*.json` files directly in `path` (not recursive), or `path`
-    itself when it is a file. Raises when nothing is found."""
-    if os.path.isfile(path):
-        return [os.path.abspath(path)]
-    files = sorted(glob.glob(os.path.join(path, pattern)))
+def discover(spark: SparkSession, path: str, pattern: str = "*.json") -> list[str]:
+    """A1: the `pattern` files directly in `path` (not recursive), or `path`
+    itself when it is a file, listed through the cluster's file system (local,
+    HDFS, S3 ...) - zero-byte files included. Raises when nothing is found."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(hpath) and fs.getFileStatus(hpath).isFile():
+        statuses = [fs.getFileStatus(hpath)]
+    else:
+        statuses = fs.globStatus(jvm.org.apache.hadoop.fs.Path(hpath, pattern)) or []
+    files = sorted(_norm(st.getPath().toString()) for st in statuses if st.isFile())
     if not files:
         raise FileNotFoundError(f"no {pattern} files in {path}")
-    return [os.path.abspath(f) for f in files]
+    return files
+
+
+def _norm(p: str) -> str:
+    """One spelling per local file URI ('file:/x', 'file:///x', '/x' -> 'file:///x')."""
+    if p.startswith("/"):
+        return "file://" + p
+    if p.startswith("file:"):
+        return "file:///" + p[len("file:"):].lstrip("/")
+    return p
+
+
+def _norm_col(c: F.Column) -> F.Column:
+    return F.regexp_replace(c, r"^file:/+", "file:///")
 
 
 def _utc_wall(ts_str: F.Column) -> F.Column:
@@ -59,11 +79,10 @@ def ingest(spark: SparkSession, files: list[str] | str, account_id: int | None =
     `account_id`: fixed key for all files; when None it is taken from an
     `account_id=<n>` folder in each file's path (NULL if absent).
     """
-    if isinstance(files, str):
-        files = discover(files)
+    files = discover(spark, files) if isinstance(files, str) else [_norm(f) for f in files]
     # wholetext must be passed as the keyword: text()'s own default would override an .option()
     text = (spark.read.text(files, wholetext=True)
-            .select(F.input_file_name().alias("source_file"), F.col("value")))
+            .select(_norm_col(F.input_file_name()).alias("source_file"), F.col("value")))
     files_df = classify_files(text)
     raw = records(files_df, account_id)
 
@@ -72,8 +91,7 @@ def ingest(spark: SparkSession, files: list[str] | str, account_id: int | None =
     counts = files_df.select("source_file", "status",
                              F.when(F.col("status") == OK, F.size("_recs")).otherwise(0).cast("long").alias("records"))
     # files Spark listed but produced no text row (zero-byte files) are reported as empty
-    listed = spark.createDataFrame([(f,) for f in files], "path string").select(
-        F.concat(F.lit("file://"), F.col("path")).alias("source_file"))
+    listed = spark.createDataFrame([(f,) for f in files], "source_file string")
     report = (listed.join(counts, on="source_file", how="full")
               .select("source_file", F.coalesce("status", F.lit(EMPTY)).alias("status"),
                       F.coalesce("records", F.lit(0)).cast("long").alias("records")))

@@ -41,10 +41,15 @@ def test_six_files(spark, tmp_path):
     assert (s.files_ok, s.files_total, s.records_total) == (3, 7, 5)
 
 
-def test_discover_requires_files(tmp_path):
+def test_discover_requires_files(spark, tmp_path):
     import pytest
     with pytest.raises(FileNotFoundError):
-        discover(str(tmp_path))
+        discover(spark, str(tmp_path))
+    _write(tmp_path, "a.json", "[]")
+    (tmp_path / "sub").mkdir()
+    _write(tmp_path / "sub", "b.json", "[]")               # not recursive
+    assert discover(spark, str(tmp_path)) == [f"file://{tmp_path}/a.json"]
+    assert discover(spark, f"file:{tmp_path}/a.json") == [f"file://{tmp_path}/a.json"]
 
 
 def test_round_trip_from_adapter(spark, tmp_path):
