@@ -1,11 +1,9 @@
 """One test per entry of the source pipeline's data-quality issue log."""
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from encore import labels as LB
 from encore.config import DEFAULT
-from encore.operators.sessions import classify, session_metrics, sessions, session_type
+from encore.operators.sessions import sessions, session_type
 from encore.operators.silver import silver
 from tests.test_silver import raw_row
 
@@ -72,4 +70,3 @@ def test_primary_device_counts_null(spark):
     assert _sessions(spark, rows).first().primary_device == "web"
     assert _sessions(spark, rows[:3]).first().primary_device is None
     assert _sessions(spark, rows[1:3]).first().primary_device == "ios"
-    assert session_metrics and classify  # imported API
