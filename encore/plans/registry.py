@@ -10,6 +10,7 @@ from encore.config import DEFAULT, PipelineConfig
 from encore.plans import eda as EDA
 from encore.plans import quality as Q
 from encore.plans import views as V
+from encore.plans.presentation import present
 from encore.plans.stages import Stages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,9 +58,10 @@ def stage_functions() -> dict[str, Callable[[Stages], DataFrame]]:
 
 
 def queries(cfg: PipelineConfig = DEFAULT) -> dict[str, Query]:
-    def bind(fn, c=cfg):
-        return lambda spark, sf_dir: fn(Stages(spark, sf_dir, c))
-    out = {name: bind(fn) for name, fn in stage_functions().items()}
+    """Each query sorted for presentation like its source query (reports only)."""
+    def bind(fn, c=cfg, name=None):
+        return lambda spark, sf_dir: present(name, fn(Stages(spark, sf_dir, c)), c.keys)
+    out = {name: bind(fn, name=name) for name, fn in stage_functions().items()}
     if cfg.keys:
         # one timeline over all plays, as in a single-user export: exercises the
         # bucketed carry with no account key
