@@ -35,6 +35,9 @@ class PipelineConfig:
     min_track_plays: int = 3
     top_all_time: int = 50
     top_yearly: int = 20
+    # opt-in: session counts in the artist / track / temporal / yearly views
+    # (read from plays with session ids instead of silver)
+    session_counts: bool = False
     # date used instead of CURRENT_DATE (None = today); "YYYY-MM-DD"
     as_of: str | None = None
     # grouping keys every query is computed per; () = one global timeline

@@ -339,50 +339,59 @@ def view_queries(cfg: PipelineConfig) -> dict[str, str]:
     as_of = TU.sql_as_of(cfg)
     SV = lambda body, extra="": with_stages(cfg, "silver", body, extra)
     SS = lambda body, extra="": with_stages(cfg, "sessions", body, extra)
+    # session-count opt-in: the four play views read plays with session ids
+    PV = SS if cfg.session_counts else SV
+    src = "plays_sid" if cfg.session_counts else "silver"
 
-    def modes(group: list[str], value: str, alias: str, name: str, src: str = "silver") -> str:
-        return mode_cte(name, src, k.keys + group, value, alias)
+    def sc(alias: str) -> str:
+        return f"count(DISTINCT session_id) AS {alias}, " if cfg.session_counts else ""
+
+    def modes(group: list[str], value: str, alias: str, name: str, source: str = "silver") -> str:
+        return mode_cte(name, source, k.keys + group, value, alias)
 
     def on(a: str, b: str, cols: list[str]) -> str:
         return " AND ".join([k.on(a, b)] + [f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in cols])
 
     g = ["artist_name"]
-    body = (f"SELECT {''.join(f'a.{x}, ' for x in k.keys)} a.artist_name, total_plays, unique_tracks, total_minutes, "
+    body = (f"SELECT {''.join(f'a.{x}, ' for x in k.keys)} a.artist_name, total_plays, unique_tracks, "
+            f"{'sessions_featured, ' if cfg.session_counts else ''}total_minutes, "
             f"total_hours, avg_track_duration, first_play_date, last_play_date, days_span, t.preferred_time, "
             f"skip_rate, completion_rate, shuffle_usage_pct, d.primary_device, devices_used, days_since_last_play "
             f"FROM agg a JOIN mt t ON {on('a', 't', g)} JOIN md d ON {on('a', 'd', g)}")
     agg = (f"agg AS (SELECT {L} artist_name, count(*) AS total_plays, count(DISTINCT track_name) AS unique_tracks, "
+           f"{sc('sessions_featured')}"
            f"{R.sql_from_cents(f'sum({min_c})')} AS total_minutes, {R.sql_from_cents(f'sum({hrs_c})')} AS total_hours, "
            f"{R.sql_rround(f'sum({min_c})', 'count(*) * 100', 2)} AS avg_track_duration, "
            f"min(play_date) AS first_play_date, max(play_date) AS last_play_date, "
            f"date_diff('day', min(play_date), max(play_date)) AS days_span, {rates}, "
            f"count(DISTINCT device) AS devices_used, date_diff('day', max(play_date), {as_of}) AS days_since_last_play "
-           f"FROM silver {k.group_with('artist_name')} HAVING count(*) >= {cfg.min_artist_plays})")
-    q["view_artist_stats"] = SV(body, ",\n".join([agg, modes(g, "time_of_day", "preferred_time", "mt"),
+           f"FROM {src} {k.group_with('artist_name')} HAVING count(*) >= {cfg.min_artist_plays})")
+    q["view_artist_stats"] = PV(body, ",\n".join([agg, modes(g, "time_of_day", "preferred_time", "mt"),
                                                   modes(g, "device", "primary_device", "md")]))
 
     g = ["track_name", "artist_name", "album_name"]
-    agg = (f"agg AS (SELECT {L} track_name, artist_name, album_name, count(*) AS play_count, "
+    agg = (f"agg AS (SELECT {L} track_name, artist_name, album_name, count(*) AS play_count, {sc('sessions_played_in')}"
            f"{R.sql_rround(f'sum({min_c})', '6000', 2)} AS total_hours_listened, "
            f"{R.sql_rround(f'sum({min_c})', 'count(*) * 100', 2)} AS avg_play_duration, "
            f"min(play_date) AS first_played, max(play_date) AS last_played, "
            f"date_diff('day', min(play_date), max(play_date)) AS listening_span_days, {rates}, "
            f"date_diff('day', max(play_date), {as_of}) AS days_since_last_play "
-           f"FROM silver {k.group_with(*g)} HAVING count(*) >= {cfg.min_track_plays})")
+           f"FROM {src} {k.group_with(*g)} HAVING count(*) >= {cfg.min_track_plays})")
     body = (f"SELECT {''.join(f'a.{x}, ' for x in k.keys)} a.track_name, a.artist_name, a.album_name, play_count, "
+            f"{'sessions_played_in, ' if cfg.session_counts else ''}"
             f"total_hours_listened, avg_play_duration, first_played, last_played, listening_span_days, "
             f"t.most_common_time, skip_rate, completion_rate, shuffle_usage_pct, days_since_last_play "
             f"FROM agg a JOIN mt t ON {on('a', 't', g)}")
-    q["view_track_stats"] = SV(body, ",\n".join([agg, modes(g, "time_of_day", "most_common_time", "mt")]))
+    q["view_track_stats"] = PV(body, ",\n".join([agg, modes(g, "time_of_day", "most_common_time", "mt", src)]))
 
     dims = "play_year, play_month, play_day_week, play_hour, time_of_day"
     wpart = k.part_with("play_year", "play_month", "play_day_week")
-    q["view_temporal_patterns"] = SV(
-        f"SELECT {L} {dims}, count(*) AS total_plays, count(DISTINCT artist_name) AS unique_artists, "
+    q["view_temporal_patterns"] = PV(
+        f"SELECT {L} {dims}, count(*) AS total_plays, {sc('total_sessions')}count(DISTINCT artist_name) AS unique_artists, "
         f"count(DISTINCT track_name) AS unique_tracks, {R.sql_from_cents(f'sum({min_c})')} AS total_minutes, "
         f"{R.sql_rround(f'sum({min_c})', 'count(*) * 100', 2)} AS avg_track_duration, "
         f"{R.sql_rround(f'sum(count(*)) OVER ({wpart})', f'count(*) OVER ({wpart})', 1)} AS avg_plays_per_hour, "
-        f"{rates} FROM silver {k.group_with(*dims.split(', '))}")
+        f"{rates} FROM {src} {k.group_with(*dims.split(', '))}")
 
     dl = ["session_year", "session_month", "session_day_of_week", "session_start_hour",
           "session_length_category", "session_type", "engagement_level"]
@@ -403,11 +412,12 @@ def view_queries(cfg: PipelineConfig) -> dict[str, str]:
 
     wy = f"({k.part} ORDER BY play_year)"
     agg = (f"y AS (SELECT {L} play_year, count(*) AS total_plays, count(DISTINCT artist_name) AS unique_artists, "
-           f"count(DISTINCT track_name) AS unique_tracks, {big(f'sum({hrs_c})')} AS _h, "
+           f"count(DISTINCT track_name) AS unique_tracks, {sc('total_sessions')}{big(f'sum({hrs_c})')} AS _h, "
            f"{R.sql_rround(f'sum({min_c})', 'count(*) * 100', 2)} AS avg_track_duration, {rates} "
-           f"FROM silver {k.group_with('play_year')})")
-    q["view_yearly_trends"] = SV(
-        f"SELECT {L} play_year, total_plays, unique_artists, unique_tracks, {R.sql_from_cents('_h')} AS total_hours, "
+           f"FROM {src} {k.group_with('play_year')})")
+    q["view_yearly_trends"] = PV(
+        f"SELECT {L} play_year, total_plays, unique_artists, unique_tracks, "
+        f"{'total_sessions, ' if cfg.session_counts else ''}{R.sql_from_cents('_h')} AS total_hours, "
         f"avg_track_duration, skip_rate, completion_rate, shuffle_usage_pct, "
         f"{R.sql_rround(f'(total_plays - lag(total_plays) OVER {wy}) * 100', f'lag(total_plays) OVER {wy}', 2)} AS pct_yoy_play_count, "
         f"{R.sql_rround(f'(_h - lag(_h) OVER {wy}) * 100', f'lag(_h) OVER {wy}', 2)} AS pct_yoy_hours_played "

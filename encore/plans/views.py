@@ -32,12 +32,22 @@ def _rates(n: Column) -> list[Column]:
     ]
 
 
+def _plays(st: Stages) -> DataFrame:
+    """Silver, or - with the session-count opt-in - the same plays with their session id."""
+    return st.plays_sid if st.cfg.session_counts else st.silver
+
+
+def _sessions_count(st: Stages, alias: str) -> list[Column]:
+    return [F.countDistinct("session_id").alias(alias)] if st.cfg.session_counts else []
+
+
 def view_artist_stats(st: Stages) -> DataFrame:
     n = count_all()
     last = F.max("play_date")
-    g = st.silver.groupBy(*st.keys, "artist_name").agg(
+    g = _plays(st).groupBy(*st.keys, "artist_name").agg(
         n.alias("total_plays"),
         F.countDistinct("track_name").alias("unique_tracks"),
+        *_sessions_count(st, "sessions_featured"),
         R.from_cents(F.sum(_min_c())).alias("total_minutes"),
         R.from_cents(F.sum(_hours_c())).alias("total_hours"),
         R.rround(F.sum(_min_c()), n * 100, 2).alias("avg_track_duration"),
@@ -55,8 +65,9 @@ def view_artist_stats(st: Stages) -> DataFrame:
 def view_track_stats(st: Stages) -> DataFrame:
     n = count_all()
     last = F.max("play_date")
-    g = st.silver.groupBy(*st.keys, "track_name", "artist_name", "album_name").agg(
+    g = _plays(st).groupBy(*st.keys, "track_name", "artist_name", "album_name").agg(
         n.alias("play_count"),
+        *_sessions_count(st, "sessions_played_in"),
         R.rround(F.sum(_min_c()), 6000, 2).alias("total_hours_listened"),
         R.rround(F.sum(_min_c()), n * 100, 2).alias("avg_play_duration"),
         F.min("play_date").alias("first_played"),
@@ -71,8 +82,9 @@ def view_track_stats(st: Stages) -> DataFrame:
 def view_temporal_patterns(st: Stages) -> DataFrame:
     n = count_all()
     dims = ["play_year", "play_month", "play_day_week", "play_hour", "time_of_day"]
-    g = st.silver.groupBy(*st.keys, *dims).agg(
+    g = _plays(st).groupBy(*st.keys, *dims).agg(
         n.alias("total_plays"),
+        *_sessions_count(st, "total_sessions"),
         F.countDistinct("artist_name").alias("unique_artists"),
         F.countDistinct("track_name").alias("unique_tracks"),
         R.from_cents(F.sum(_min_c())).alias("total_minutes"),
@@ -81,7 +93,8 @@ def view_temporal_patterns(st: Stages) -> DataFrame:
     # AVG(COUNT(*)) OVER (year, month, weekday), computed on the aggregated rows
     w = Window.partitionBy(*st.keys, "play_year", "play_month", "play_day_week")
     avg = R.rround(F.sum("total_plays").over(w), F.count(F.lit(1)).over(w), 1)
-    return g.select(*st.keys, *dims, "total_plays", "unique_artists", "unique_tracks", "total_minutes",
+    extra = ["total_sessions"] if st.cfg.session_counts else []
+    return g.select(*st.keys, *dims, "total_plays", *extra, "unique_artists", "unique_tracks", "total_minutes",
                     "avg_track_duration", avg.alias("avg_plays_per_hour"),
                     "skip_rate", "completion_rate", "shuffle_usage_pct")
 
@@ -110,10 +123,11 @@ def view_session_behavior(st: Stages) -> DataFrame:
 
 def view_yearly_trends(st: Stages) -> DataFrame:
     n = count_all()
-    g = st.silver.groupBy(*st.keys, "play_year").agg(
+    g = _plays(st).groupBy(*st.keys, "play_year").agg(
         n.alias("total_plays"),
         F.countDistinct("artist_name").alias("unique_artists"),
         F.countDistinct("track_name").alias("unique_tracks"),
+        *_sessions_count(st, "total_sessions"),
         F.sum(_hours_c()).alias("_h"),
         R.rround(F.sum(_min_c()), n * 100, 2).alias("avg_track_duration"),
         *_rates(n))
@@ -121,6 +135,7 @@ def view_yearly_trends(st: Stages) -> DataFrame:
     prev_n, prev_h = F.lag("total_plays").over(w), F.lag("_h").over(w)
     return g.select(
         *st.keys, "play_year", "total_plays", "unique_artists", "unique_tracks",
+        *(["total_sessions"] if st.cfg.session_counts else []),
         R.from_cents(F.col("_h")).alias("total_hours"), "avg_track_duration",
         "skip_rate", "completion_rate", "shuffle_usage_pct",
         R.rround((F.col("total_plays") - prev_n) * 100, prev_n, 2).alias("pct_yoy_play_count"),

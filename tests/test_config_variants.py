@@ -15,6 +15,8 @@ VARIANTS = {
     "short_gap_hour_buckets": (DEFAULT.with_(gap_seconds=600, overlap_seconds=300, carry_bucket="hour"),
                                ["sessions", "dq_sessions_by_type", "dq_intra_session_gaps", "dq_silver_overlaps",
                                 "dq_min_ms_sweep"]),
+    "session_counts": (DEFAULT.with_(session_counts=True),
+                       ["view_artist_stats", "view_track_stats", "view_temporal_patterns", "view_yearly_trends"]),
     "other_clock_and_filters": (DEFAULT.with_(tz="Europe/Madrid", eda_offset_hours=2, min_ms=30000,
                                               first_date="2021-11-01",
                                               excluded_date_ranges=(("2022-07-10", "2022-07-12"),
