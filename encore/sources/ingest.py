@@ -73,13 +73,14 @@ def _utc_wall(ts_str: F.Column) -> F.Column:
     return utc_wall(F.to_timestamp(ts_str))
 
 
-def ingest(spark: SparkSession, files: list[str] | str, account_id: int | None = None) -> IngestResult:
+def ingest(spark: SparkSession, files: list[str] | str, account_id: int | None = None,
+           pattern: str = "*.json") -> IngestResult:
     """A2-A6: parse export files into the raw schema.
 
     `account_id`: fixed key for all files; when None it is taken from an
     `account_id=<n>` folder in each file's path (NULL if absent).
     """
-    files = discover(spark, files) if isinstance(files, str) else [_norm(f) for f in files]
+    files = discover(spark, files, pattern) if isinstance(files, str) else [_norm(f) for f in files]
     # wholetext must be passed as the keyword: text()'s own default would override an .option()
     text = (spark.read.text(files, wholetext=True)
             .select(_norm_col(F.input_file_name()).alias("source_file"), F.col("value")))
