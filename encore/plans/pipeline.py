@@ -52,8 +52,10 @@ def materialize(spark: SparkSession, raw: DataFrame, out_dir: str, cfg: Pipeline
 
 
 def register_views(st: Stages) -> dict[str, DataFrame]:
-    """A9: the gold views (and stage tables) as temp views by name."""
-    out = {"streaming_history_clean": st.silver, "sessions": st.sessions}
+    """A9: the gold views and the stage tables as temp views by name, so SQL
+    written against the source tables runs on them with `spark.sql`."""
+    out = {"streaming_history_raw": st.raw, "streaming_history_clean": st.silver, "sessions": st.sessions,
+           "plays_with_session_id": st.plays_sid}
     for name in V.NAMES:
         out[name] = getattr(V, name)(st)
     for name, df in out.items():

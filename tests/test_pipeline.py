@@ -43,3 +43,13 @@ def test_expectations_hold(spark):
     exp = expectations(Stages(spark, SF_MID, DEFAULT)).collect()
     assert len(exp) == 6 * 4                      # six expectations, four accounts
     assert all(r.passed for r in exp), [r for r in exp if not r.passed]
+
+
+def test_sql_on_registered_tables(spark, tmp_path):
+    """Source-style SQL runs by name on the registered tables and views."""
+    raw = raw_from_events(spark, SF_SMALL)
+    st = P.materialize(spark, raw, str(tmp_path / "tables"), DEFAULT)
+    P.register_views(st)
+    n = spark.sql("SELECT count(*) FROM streaming_history_raw WHERE episode_name IS NULL").first()[0]
+    m = spark.sql("SELECT sum(tracks_played) FROM sessions").first()[0]
+    assert n == 1008 and m == st.silver.count() == 988
