@@ -39,9 +39,10 @@ def session_metrics(plays: DataFrame, cfg: PipelineConfig) -> DataFrame:
     return finish_metrics(g, keys)
 
 
-def finish_metrics(g: DataFrame, keys) -> DataFrame:
+def finish_metrics(g: DataFrame, keys, extra=()) -> DataFrame:
     """Session counters (counts, sums, distinct counts, most used device) ->
-    the rounded session measures. Shared by the batch and streaming paths."""
+    the rounded session measures (+ `extra` columns passed through). Shared by
+    the batch and streaming paths."""
     keys = list(keys)
     n = F.col("tracks_played")
     dur = TU.seconds_between(F.col("session_start"), F.col("session_end"))
@@ -60,7 +61,7 @@ def finish_metrics(g: DataFrame, keys) -> DataFrame:
         R.rround(ua, n, 2).alias("diversity_score"),
         # (artists / plays) * least(plays / 10, 1) == artists * least(plays, 10) / (10 * plays)
         R.rround(ua * F.least(n, F.lit(10)), n * 10, 2).alias("weighted_diversity_score"),
-        "primary_device",
+        "primary_device", *extra,
     )
 
 
@@ -89,7 +90,7 @@ def engagement_level(completion, skip, th=None) -> "F.Column":
             .otherwise(LB.ENGAGEMENT_LOW))
 
 
-def classify(metrics: DataFrame, cfg: PipelineConfig) -> DataFrame:
+def classify(metrics: DataFrame, cfg: PipelineConfig, extra=()) -> DataFrame:
     st = F.col("session_start")
     out = metrics.select(
         "*",
@@ -105,7 +106,7 @@ def classify(metrics: DataFrame, cfg: PipelineConfig) -> DataFrame:
                          cfg.engagement_thresholds).alias("engagement_level"),
     )
     cols = [c for c in SESSION_COLUMNS if c != "account_id" or "account_id" in cfg.keys]
-    return out.select(*cols)
+    return out.select(*cols, *extra)
 
 
 def sessions(silver: DataFrame, cfg: PipelineConfig) -> DataFrame:

@@ -14,7 +14,9 @@
   expressions as the batch sessions table.
 
 Plays that arrive after a later play of the same account has been chained
-cannot be re-chained here; those accounts need a batch rebuild.
+cannot be placed in its timeline any more: they are emitted as rows with
+kind = 'late' (one per play) instead of being chained, so a sink can route them
+to a rebuild list; sessions are the rows with kind = 'session'.
 """
 
 from __future__ import annotations
@@ -37,8 +39,9 @@ from encore.sources.ingest import classify_files, records
 
 OUT_SCHEMA = ("account_id long, session_id long, session_start timestamp_ntz, session_end timestamp_ntz, "
               "tracks_played long, unique_artists long, unique_albums long, devices_used long, _min_c long, "
-              "_shuffle long, _skip long, _complete long, offline_plays long, primary_device string")
-STATE_SCHEMA = "last_end long, last_event_ms long, next_id long, open string"
+              "_shuffle long, _skip long, _complete long, offline_plays long, primary_device string, kind string")
+STATE_SCHEMA = "last_end long, last_event_ms long, next_id long, open string, last_key string"
+SESSION, LATE = "session", "late"
 
 
 def play_stream(spark: SparkSession, in_dir: str, account_id: int | None = None,
@@ -98,7 +101,7 @@ def _row(key, acc: dict) -> dict:
             "tracks_played": acc["n"], "unique_artists": len(acc["artists"]), "unique_albums": len(acc["albums"]),
             "devices_used": len(acc["devices"]), "_min_c": acc["min_c"], "_shuffle": acc["shuffle"],
             "_skip": acc["skip"], "_complete": acc["complete"], "offline_plays": acc["offline"],
-            "primary_device": best[0]}
+            "primary_device": best[0], "kind": SESSION}
 
 
 def _out(rows: list[dict]) -> pd.DataFrame:
@@ -113,16 +116,29 @@ def make_step(cfg: PipelineConfig):
     def step(key, pdfs, state):
         acct = key[0]
         if state.hasTimedOut:
-            last_end, last_ms, next_id, open_s = state.get
+            open_s = state.get[3]
             state.remove()
             yield _out([_row(acct, json.loads(open_s))])
             return
         pdf = pd.concat(list(pdfs), ignore_index=True)
         pdf = pdf.assign(_s=_us(pdf["play_start_MST"]), _e=_us(pdf["play_end_MST"]))
         pdf = pdf.sort_values(["_s", "_e", "track_uri", "ms_played"], kind="stable").reset_index(drop=True)
+        late_rows = []
         if state.exists:
-            last_end, last_ms, next_id, open_s = state.get
+            last_end, last_ms, next_id, open_s, last_key = state.get
             acc = json.loads(open_s)
+            ls, le, lu, lm = json.loads(last_key)
+            s_, e_, u_, m_ = (pdf["_s"].to_numpy(), pdf["_e"].to_numpy(), pdf["track_uri"].to_numpy(),
+                              pdf["ms_played"].to_numpy())
+            late = (s_ < ls) | ((s_ == ls) & ((e_ < le) | ((e_ == le) & ((u_ < lu) | ((u_ == lu) & (m_ < lm))))))
+            for _, part in pdf[late].groupby(np.arange(int(late.sum()))):   # one row per late play
+                row = _row(acct, _absorb(_new_open(None), part))
+                row["kind"] = LATE
+                late_rows.append(row)
+            pdf = pdf[~late].reset_index(drop=True)
+            if pdf.empty:
+                yield _out(late_rows)
+                return
         else:
             last_end, last_ms, next_id, acc = None, 0, 1, None
         prev = np.concatenate([[np.nan if last_end is None else last_end], pdf["_e"].to_numpy()[:-1]])
@@ -139,15 +155,18 @@ def make_step(cfg: PipelineConfig):
             acc = _absorb(_new_open(next_id), part)
             next_id += 1
         last_ms = max(last_ms, int(pdf["_ev"].max()))
-        state.update((int(pdf["_e"].iloc[-1]), last_ms, next_id, json.dumps(acc)))
+        tail = pdf.iloc[-1]
+        key = json.dumps([int(tail["_s"]), int(tail["_e"]), tail["track_uri"], int(tail["ms_played"])])
+        state.update((int(tail["_e"]), last_ms, next_id, json.dumps(acc), key))
         state.setTimeoutTimestamp(max(last_ms + hold_ms, state.getCurrentWatermarkMs() + 1))
-        yield _out(emitted)
+        yield _out(emitted + late_rows)
 
     return step
 
 
 def sessions_stream(silver: DataFrame, cfg: PipelineConfig = DEFAULT) -> DataFrame:
-    """Closed sessions, with the batch session table's columns."""
+    """Closed sessions with the batch session table's columns, plus `kind`
+    ('session', or 'late' for a play that arrived too late to be chained)."""
     if list(cfg.keys) != ["account_id"]:
         raise ValueError("the streaming sessions keep state per account_id")
     plays = silver.select(
@@ -161,7 +180,7 @@ def sessions_stream(silver: DataFrame, cfg: PipelineConfig = DEFAULT) -> DataFra
         "event_time")   # carries the watermark to the stateful operator
     counters = plays.groupBy("account_id").applyInPandasWithState(
         make_step(cfg), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
-    return classify(finish_metrics(counters, ["account_id"]), cfg)
+    return classify(finish_metrics(counters, ["account_id"], extra=["kind"]), cfg, extra=["kind"])
 
 
 __all__ = ["play_stream", "silver_stream", "sessions_stream"]
