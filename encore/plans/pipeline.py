@@ -14,19 +14,14 @@ from encore.config import DEFAULT, PipelineConfig
 from encore.plans import eda as EDA
 from encore.plans import quality as Q
 from encore.plans import views as V
+from encore.plans.presentation import present
 from encore.plans.profile import profile as raw_profile
 from encore.plans.stages import Stages
 from encore.schemas import SESSION_COLUMNS, SILVER_COLUMNS
 from encore.sources.export import write_csv, write_table
 
-VIEW_ORDER = {
-    "view_artist_stats": ["total_plays"],
-    "view_track_stats": ["play_count"],
-    "view_temporal_patterns": ["play_year", "play_month", "play_day_week", "play_hour"],
-    "view_session_behavior": ["session_year", "session_month"],
-    "view_yearly_trends": ["play_year"],
-    "view_top_content": ["time_period", "year", "content_type", "rank"],
-}
+VIEWS = ["view_artist_stats", "view_track_stats", "view_temporal_patterns", "view_session_behavior",
+         "view_yearly_trends", "view_top_content"]
 
 
 def materialize(spark: SparkSession, raw: DataFrame, out_dir: str, cfg: PipelineConfig = DEFAULT) -> Stages:
@@ -67,11 +62,11 @@ def export_csv(st: Stages, out_dir: str) -> None:
     """A10: the two tables and six views to CSV (views are small: one file each)."""
     write_csv(st.silver, f"{out_dir}/csv/streaming_history_clean")
     write_csv(st.sessions, f"{out_dir}/csv/sessions")
-    for name, order in VIEW_ORDER.items():
-        write_csv(getattr(V, name)(st), f"{out_dir}/csv/{name}", order=list(st.keys) + order, single_file=True)
+    for name in VIEWS:
+        write_csv(present(name, getattr(V, name)(st), st.keys), f"{out_dir}/csv/{name}", single_file=True)
 
 
-def profile(st: Stages) -> dict[str, DataFrame]:
+def reports(st: Stages) -> dict[str, DataFrame]:
     """The profiling and check queries over a Stages object, by name."""
     out = {n: getattr(EDA, n)(st) for n in EDA.NAMES}
     for n in ("dq_silver_duplicates", "dq_silver_podcast_leak", "dq_silver_removed", "dq_silver_overlaps",
