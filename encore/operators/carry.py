@@ -36,6 +36,28 @@ def bucket_of(t: Column, cfg: PipelineConfig) -> Column:
     raise ValueError(f"unknown carry_bucket {cfg.carry_bucket!r}")
 
 
+def with_bucket(df: DataFrame, keys, t: str, cfg: PipelineConfig) -> DataFrame:
+    """Add the carry bucket of column `t`.
+
+    Day buckets adapt to skew: account-days holding more than
+    cfg.hot_bucket_rows plays (a third of all rows, say) are split into
+    minute buckets, so no bucket - hence no window task - grows with one hot
+    key. The hot list has at most rows / hot_bucket_rows entries; AQE
+    broadcasts it when its measured size allows.
+    """
+    keys = list(keys)
+    if cfg.carry_bucket != "day" or not cfg.hot_bucket_rows:
+        return df.withColumn(BUCKET, bucket_of(F.col(t), cfg))
+    day = F.to_date(F.col(t)).cast("timestamp_ntz")
+    x = df.withColumn("_day", day)
+    hot = (x.groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > cfg.hot_bucket_rows).select(*keys, "_day", F.lit(True).alias("_hot")))
+    x = x.join(hot, on=keys + ["_day"], how="left")
+    minute = TU.trunc_ntz(F.col(t), "minute")
+    return (x.withColumn(BUCKET, F.when(F.col("_hot"), minute).otherwise(F.col("_day")))
+            .drop("_day", "_hot"))
+
+
 def _order_struct(order) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
@@ -48,7 +70,7 @@ def lag_carry(df: DataFrame, keys, order, cols, cfg: PipelineConfig,
     the whole order key must agree on `cols`, else LAG itself is ambiguous.
     """
     keys, order, cols = list(keys), list(order), list(cols)
-    x = df.withColumn(BUCKET, bucket_of(F.col(order[0]), cfg))
+    x = with_bucket(df, keys, order[0], cfg)
     w = Window.partitionBy(*keys, BUCKET).orderBy(*order)
     x = x.withColumn("_rn", F.row_number().over(w))
     for c in cols:
@@ -79,7 +101,7 @@ def sessionize(plays: DataFrame, cfg: PipelineConfig, order) -> DataFrame:
     """
     keys, order = list(cfg.keys), list(order)
     start, end = F.col(order[0]), F.col(order[1])
-    x = plays.withColumn(BUCKET, bucket_of(start, cfg))
+    x = with_bucket(plays, keys, order[0], cfg)
     w = Window.partitionBy(*keys, BUCKET).orderBy(*order)
     x = (x.withColumn("_rn", F.row_number().over(w))
          .withColumn("_gap_in", TU.seconds_between(F.lag(end).over(w), start)))
@@ -126,7 +148,7 @@ def lag_carry_where(df: DataFrame, keys, order, cols, conds: dict, cfg: Pipeline
     `lag_carry`."""
     keys, order, cols = list(keys), list(order), list(cols)
     val = F.struct(*[F.col(c) for c in cols])
-    x = df.withColumn(BUCKET, bucket_of(F.col(order[0]), cfg))
+    x = with_bucket(df, keys, order[0], cfg)
     w = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     for name, cond in conds.items():
         x = x.withColumn(f"_in_{name}", F.last(F.when(cond, val), ignorenulls=True).over(w))
