@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encore.llm import mixing, pii, quality_rules
+from encore.llm import decontaminate, mixing, pii, quality_rules
 from encore.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest(decontaminate.scan(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return planned.select("doc_id", "mix.size", "mix.source_size", "mix.target",
@@ -26,8 +31,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_pii": op3_pii, "op6_mixing": op6_mixing, "op10_quality_rules": op10_quality_rules}
+    return {"op3_pii": op3_pii, "op4_decontaminate": op4_decontaminate, "op6_mixing": op6_mixing, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.ORACLE}
+    return {"op4_decontaminate": decontaminate.ORACLE, "op6_mixing": mixing.ORACLE}
