@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encore.llm import decontaminate, mixing, pii, quality_rules
+from encore.llm import decontaminate, mixing, ngram_join, pii, quality_rules
 from encore.llm.common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.near_duplicates(docs, n=3, similar=90, parts=3, spared=1)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
 
@@ -31,7 +36,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_pii": op3_pii, "op4_decontaminate": op4_decontaminate, "op6_mixing": op6_mixing, "op10_quality_rules": op10_quality_rules}
+    return {"op1_ngram_join": op1_ngram_join, "op3_pii": op3_pii, "op4_decontaminate": op4_decontaminate, "op6_mixing": op6_mixing, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
