@@ -9,16 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared folder the session names in
-    spark.checkpoint.dir and go on from there, so that a lost executor costs a
-    re-read and not the work before. A folder is made only where the session
-    has none (local tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in spark.checkpoint.dir. One is made only
+    where the session has none (local tests)."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="encore-llm-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` once to the shared folder and go on from there, so that a lost
+    executor costs a re-read and not the work before."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

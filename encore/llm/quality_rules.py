@@ -217,7 +217,9 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", sample_rows
     from the scores of all labelled rows, counted in `bins` steps on the executors."""
     marked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()) \
         .groupBy("doc_id").agg(F.min(label).cast("int").alias("_good"))
-    known = stats.join(marked, "doc_id").select(*COUNTS, *EXTRA, "_good", "doc_id")
+    # the forest only judges what the base rules leave
+    known = stats.filter("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words").join(marked, "doc_id") \
+        .select(*COUNTS, *EXTRA, "_good", "doc_id")
     def sample_of(rows: DataFrame, n: int):
         return bounded_sample(rows, F.col("doc_id"), n, seed).toPandas().sort_values(["doc_id", *COUNTS])
 
