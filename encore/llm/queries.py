@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encore.llm import decontaminate, mixing, ngram_join, pii, quality_rules
+from encore.llm import decontaminate, mixing, ngram_join, pii, quality_rules, url_rules
 from encore.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return planned.select("doc_id", "mix.size", "mix.source_size", "mix.target",
@@ -36,8 +40,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_ngram_join": op1_ngram_join, "op3_pii": op3_pii, "op4_decontaminate": op4_decontaminate, "op6_mixing": op6_mixing, "op10_quality_rules": op10_quality_rules}
+    return {"op1_ngram_join": op1_ngram_join, "op3_pii": op3_pii, "op4_decontaminate": op4_decontaminate, "op5_url_rules": op5_url_rules, "op6_mixing": op6_mixing, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.ORACLE, "op6_mixing": mixing.ORACLE}
+    return {"op4_decontaminate": decontaminate.ORACLE, "op5_url_rules": url_rules.oracle(), "op6_mixing": mixing.ORACLE}
