@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encore.llm import decontaminate, mixing, ngram_join, pii, quality_rules, url_rules
+from encore.llm import chat_template, decontaminate, mixing, ngram_join, pii, quality_rules, url_rules
 from encore.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(docs, n=3, similar=90, parts=3, spared=1)
 
 
+def op2_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_template.digest(chat_template.with_probe(table(spark, sf_dir, "conversations")))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
 
@@ -40,8 +44,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_ngram_join": op1_ngram_join, "op3_pii": op3_pii, "op4_decontaminate": op4_decontaminate, "op5_url_rules": op5_url_rules, "op6_mixing": op6_mixing, "op10_quality_rules": op10_quality_rules}
+    return {"op1_ngram_join": op1_ngram_join, "op2_chat_template": op2_chat_template, "op3_pii": op3_pii, "op4_decontaminate": op4_decontaminate, "op5_url_rules": op5_url_rules, "op6_mixing": op6_mixing, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.ORACLE, "op5_url_rules": url_rules.oracle(), "op6_mixing": mixing.ORACLE}
+    return {"op2_chat_template": chat_template.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op5_url_rules": url_rules.oracle(), "op6_mixing": mixing.ORACLE}
