@@ -170,7 +170,7 @@ def label(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id
                 rows = slice(p.first, p.first + p.n)
                 pred[rows] = np.where(letter[rows], share.argmax(1), n_lang)
                 score[rows] = np.where(letter[rows], share.max(1) / np.maximum(share.sum(1), 1), 0.0)
-                if spans:
+                if spans and len(own):
                     chars = np.concatenate([[0], np.cumsum((p.buf & 0xC0) != 0x80)])
                     doc = p.doc
                     new = np.ones(len(own), bool)
