@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encore.llm import chat_template, decontaminate, language_id, mixing, ngram_join, pii, quality_rules, url_rules
+from encore.llm import chat_template, decontaminate, language_id, mixing, ngram_join, pii, quality_rules, toxicity, url_rules
 from encore.llm.common import fold, table
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ngram_join.near_duplicates(docs, n=3, similar=90, parts=3, spared=1)
+    return ngram_join.near_duplicates(docs, n=3, similar=90, plan=ngram_join.PLAN_90)
 
 
 def op2_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").filter(fold() != 0))
+    return toxicity.score(docs, model).select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.learn(docs.filter(fold() != 0))
@@ -51,7 +57,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_ngram_join": op1_ngram_join, "op2_chat_template": op2_chat_template, "op3_pii": op3_pii, "op4_decontaminate": op4_decontaminate, "op5_url_rules": op5_url_rules, "op6_mixing": op6_mixing, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules}
+    return {"op1_ngram_join": op1_ngram_join, "op2_chat_template": op2_chat_template, "op3_pii": op3_pii, "op4_decontaminate": op4_decontaminate, "op5_url_rules": op5_url_rules, "op6_mixing": op6_mixing, "op8_toxicity": op8_toxicity, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
