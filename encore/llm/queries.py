@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encore.llm import chat_template, decontaminate, language_id, mixing, ngram_join, pii, quality_rules, toxicity, url_rules
+from encore.llm import chat_template, ctw, decontaminate, language_id, mixing, ngram_join, pii, quality_rules, toxicity, url_rules
 from encore.llm.common import fold, table
 
 
@@ -37,6 +37,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
+def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ctw.score(table(spark, sf_dir, "documents"), fold() != 1)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
+                      "score", "n_bytes")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels").filter(fold() != 0))
@@ -57,7 +63,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_ngram_join": op1_ngram_join, "op2_chat_template": op2_chat_template, "op3_pii": op3_pii, "op4_decontaminate": op4_decontaminate, "op5_url_rules": op5_url_rules, "op6_mixing": op6_mixing, "op8_toxicity": op8_toxicity, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules}
+    return {"op1_ngram_join": op1_ngram_join, "op2_chat_template": op2_chat_template, "op3_pii": op3_pii, "op4_decontaminate": op4_decontaminate, "op5_url_rules": op5_url_rules, "op6_mixing": op6_mixing, "op7_ctw": op7_ctw, "op8_toxicity": op8_toxicity, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
