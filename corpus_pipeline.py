@@ -34,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: five words, similarity 0.8 or more."""
-    return ngram_join.keep_one(docs, n=5, similar=80, parts=2, spared=1)
+    return ngram_join.keep_one(docs, n=5, similar=80, plan=ngram_join.PLAN_80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,15 +7,20 @@ one of them has at most `spared` of those differences, and each partition again
 into `parts`; every subset of `parts - spared` of these gives one signature, the
 hash of the set's shingles in it. Linked sets therefore share a signature.
 A set emits only as many partitions as its own size calls for, plus a few spare
-ones; signatures of empty projections are left out when fewer partitions than
+ones; signatures of empty projections are left out when no more partitions than
 the spare ones have any (a shared partition that is not empty then remains).
+The largest sets (128 differences and more in PLAN_80) never emit empty or very
+small projections, which unrelated texts with a common line share: of their 65
+or more partitions about four in ten fit a pair that just links, and that none
+of these is large enough has a chance below 1e-9, as little as digests collide.
 
 Equal sets are one class, and classes are what is joined: 64-bit digests, of
 which a task emits each once. In a bucket (one signature) every class is first
 compared with the least class; what that links is one component. Pairs of
-different components that share a bucket are then compared as well, behind two
-lossless filters (sizes, and parity sketches whose distance never exceeds the
-difference of the sets). Every comparison counts the exact intersection.
+different components that share a bucket are then compared as well. Lossless
+filters come first: sizes, and parity sketches, whose distance never exceeds the
+difference of the sets (a short one inside the joins, then one with a bit or
+more per shingle). What passes is decided by the exact intersection.
 
 Cases: without words or text a set is empty and links with nothing; fewer than
 `n` words are one shingle; rows with equal ids are rows of their own; a null id
@@ -29,6 +34,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +49,15 @@ BROADCAST_IDS = 1_000_000
 U = np.uint64
 
 
+#: (differences below, parts, spared, partitions per spare one, least shingles of a projection). Small
+#: sets are cut finer, as their partitions hold few shingles. Without spare ones (0), smaller
+#: projections are never signatures; see the module's text.
+Plan = tuple[tuple[int, int, int, int, int], ...]
+ALL = 1 << 62
+PLAN_80: Plan = ((40, 5, 2, 8, 1), (128, 3, 1, 8, 1), (256, 2, 1, 0, 2), (512, 2, 1, 0, 3), (ALL, 2, 1, 0, 4))
+PLAN_90: Plan = ((ALL, 3, 1, 24, 1),)
+
+
 class Bands:
     """Size bands from 1 on; band i ends at low[i] * 100 // similar."""
 
@@ -103,73 +118,112 @@ def sketches(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
 
 
-def signatures(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, similar: int, parts: int,
-               spared: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, similar: int,
+               plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """(text number, signature) of all texts with a set."""
     bands = Bands(similar, int(sizes.max(initial=1)))
-    out_doc, out_sig = [], []
+    out_doc, out_sig = [np.zeros(0, np.int64)], [np.zeros(0, U)]
     for up in (0, 1):                        # as the band's own, and as partner of the next band
         j = bands.of(sizes) + up
         high = bands.high[j]
         partner = np.minimum(high, sizes * 100 // similar)
-        joins = (sizes > 0) & (partner >= bands.low[j]) if up else sizes > 0
-        k = bands.difference(high, high)
-        need = bands.difference(sizes, partner)
-        sp = np.where(k > 0, spared, 0)      # k = 0: only equal sets link, one signature of everything
-        spare = np.where(k > 0, 1 + (k // (sp + 1) + 1) // 24, 0)
-        total = k // (sp + 1) + 1 + spare
-        emit = np.where(joins, need // (sp + 1) + 1 + spare, 0)
-        at = np.concatenate([[0], np.cumsum(emit)])
-        # partition of each shingle, then its part of the partition
+        joins = (sizes > 0) & ((partner >= bands.low[j]) if up else True)
+        k, need = bands.difference(high, high), bands.difference(sizes, partner)
         seed = mix(j.astype(U) + U(0x632BE59BD9B4E019))
-        r = mix(h ^ seed[doc])
-        part = ((r >> U(32)) * total[doc].astype(U) >> U(32)).astype(np.int64)
-        q = ((r & U(0xFFFFFFFF)) * U(parts) >> U(32)).astype(np.int64)
-        use = part < emit[doc]
-        cell = (at[doc[use]] + part[use]) * parts + q[use]
-        n = int(at[-1])
-        sums = _sums(cell, mix(h[use]), n * parts).reshape(n, parts)
-        filled = np.bincount(cell, minlength=n * parts).reshape(n, parts) > 0
-        owner = np.repeat(np.arange(len(sizes)), emit)
-        tag = mix((np.arange(n) - at[owner]).astype(U) * U(0x9E3779B97F4A7C15) + seed[owner])
-        subsets = list(combinations(range(parts), parts - spared))
-        some = np.column_stack([filled[:, s].any(1) for s in map(list, subsets)]) if n else np.zeros((0, len(subsets)), bool)
-        exact = (k == 0)[owner]
-        # texts with more such partitions than spare ones emit empty projections too
-        holes = np.bincount(owner[~some.all(1) & ~exact], minlength=len(sizes)) > spare
-        for i, s in enumerate(map(list, subsets)):
-            keep = (some[:, i] | holes[owner]) & ~exact
-            out_doc.append(owner[keep])
-            out_sig.append(mix(sums[keep][:, s].sum(1, dtype=U) + tag[keep] + U(i + 1)))
-        whole = exact
-        out_doc.append(owner[whole])
-        out_sig.append(mix(sums[whole].sum(1, dtype=U) + tag[whole]))
+        below = 1
+        # k = 0: only equal sets link, one signature of everything
+        for limit, parts, spared, sparing, fewest in ((1, 1, 0, 0, 1), *plan):
+            mine = joins & (k < limit) & (k >= below if limit > 1 else True)
+            below = limit
+            if not mine.any():
+                continue
+            base = k // (spared + 1) + 1
+            spare = np.where(k > 0, 2 + base // (sparing or 24), 0)
+            total = base + spare
+            emit = np.where(mine, need // (spared + 1) + 1 + spare, 0)
+            at = np.concatenate([[0], np.cumsum(emit)])
+            n = int(at[-1])
+            # partition of each shingle, then its part of the partition
+            own = mine[doc]
+            d, x = doc[own], h[own]
+            r = mix(x ^ seed[d])
+            part = ((r >> U(32)) * total[d].astype(U) >> U(32)).astype(np.int64)
+            q = ((r & U(0xFFFFFFFF)) * U(parts) >> U(32)).astype(np.int64)
+            use = part < emit[d]
+            cell = (at[d[use]] + part[use]) * parts + q[use]
+            sums = _sums(cell, mix(x[use]), n * parts).reshape(n, parts)
+            filled = np.bincount(cell, minlength=n * parts).reshape(n, parts)
+            owner = np.repeat(np.arange(len(sizes)), emit)
+            tag = mix((np.arange(n) - at[owner]).astype(U) * U(0x9E3779B97F4A7C15) + seed[owner])
+            subsets = [list(c) for c in combinations(range(parts), parts - spared)]
+            some = np.column_stack([filled[:, c].sum(1) >= fewest for c in subsets])
+            if limit > 1 and sparing:
+                # texts with more partitions that have an empty projection than spare ones emit those too
+                some |= (np.bincount(owner[~some.all(1)], minlength=len(sizes)) > spare)[owner][:, None]
+            for i, c in enumerate(subsets):
+                keep = some[:, i]
+                out_doc.append(owner[keep])
+                out_sig.append(mix(sums[keep][:, c].sum(1, dtype=U) + tag[keep] + U(i + 1)))
     return np.concatenate(out_doc), np.concatenate(out_sig).view(np.int64)
 
 
+def fine_sketches(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Parity of the number of shingles in at least as many hash cells as there
+    are shingles; a power of two, so that two sketches fold to the shorter."""
+    bits = 512 << np.ceil(np.log2(np.maximum(sizes, 512) / 512)).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(bits)])
+    cell = at[doc] + (mix(h ^ U(0x14057B7EF767814F)) & (bits[doc] - 1).astype(U)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=at[-1]) & 1).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [
+        None, pa.py_buffer((at // 8).astype(np.int32)), pa.py_buffer(np.packbits(odd, bitorder="little"))])
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the difference of two sets, from their fine sketches."""
+    x, y = np.frombuffer(a, U), np.frombuffer(b, U)
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _source(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
 def sets(df: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, cls (null without words), n_shingles and the sketch s0, s1, ..."""
+    """doc_id, cls (null without words), n_shingles and the sketches s0, s1, ...
+    and fine (null in further copies of a class that a task reads)."""
     src = _source(df, doc_id, text)
-    names = ["doc_id", "cls", "n_shingles", *(f"s{i}" for i in range(SKETCH))]
+    names = ["doc_id", "cls", "n_shingles", *(f"s{i}" for i in range(SKETCH)), "fine"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for b in batches:
             for p in pieces(b.column(1), NOT_SPACE, LOWER):
                 doc, h, size = shingles(p, n)
                 cls, sk = classes(doc, h, size), sketches(doc, h, p.n)
+                new = _first_seen(cls, size, done)
+                fine = pc.if_else(pa.array(new), fine_sketches(doc, h, size), pa.scalar(None, pa.binary()))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(p.first, p.n), pa.array(cls, mask=size == 0), pa.array(size.astype(np.int64)),
-                     *(pa.array(np.ascontiguousarray(sk[:, i])) for i in range(SKETCH))], names=names)
+                     *(pa.array(np.ascontiguousarray(sk[:, i])) for i in range(SKETCH)), fine], names=names)
+
+    return src.mapInArrow(run, T.StructType([
+        T.StructField("doc_id", src.schema[0].dataType), *(T.StructField(c, T.LongType()) for c in names[1:-1]),
+        T.StructField("fine", T.BinaryType())]))
+
 
-    return src.mapInArrow(run, T.StructType([T.StructField("doc_id", src.schema[0].dataType),
-                                             *(T.StructField(c, T.LongType()) for c in names[1:])]))
+def _first_seen(cls: np.ndarray, size: np.ndarray, done: set[int]) -> np.ndarray:
+    new = np.zeros(len(cls), bool)
+    for i, c in enumerate(cls.tolist()):
+        if size[i] and c not in done:
+            done.add(c)
+            new[i] = True
+    return new
 
 
-def signature_rows(df: DataFrame, n: int, similar: int, parts: int, spared: int, doc_id: str = "doc_id",
+def signature_rows(df: DataFrame, n: int, similar: int, plan: Plan, doc_id: str = "doc_id",
                    text: str = "text") -> DataFrame:
     """(sig, cls); a task emits a class once, however many copies it reads."""
     src = _source(df, doc_id, text).select("text")
@@ -180,25 +234,20 @@ def signature_rows(df: DataFrame, n: int, similar: int, parts: int, spared: int,
             for p in pieces(b.column(0), NOT_SPACE, LOWER):
                 doc, h, size = shingles(p, n)
                 cls = classes(doc, h, size)
-                new = np.zeros(p.n, bool)
-                for i, c in enumerate(cls.tolist()):
-                    if size[i] and c not in done:
-                        done.add(c)
-                        new[i] = True
+                new = _first_seen(cls, size, done)
                 at = new[doc]
-                d, sig = signatures(doc[at], h[at], np.where(new, size, 0), similar, parts, spared)
+                d, sig = signatures(doc[at], h[at], np.where(new, size, 0), similar, plan)
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(cls[d])], names=["sig", "cls"])
 
     return src.mapInArrow(run, "sig long, cls long")
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
-    """(bucket, cls, least): the classes of every signature that two classes
-    share. Signatures with the same classes are one bucket."""
+def _groups(rows: DataFrame) -> DataFrame:
+    """(least, cls): the classes of all buckets that have one least class. Two
+    classes of one bucket are in one group, and in few others."""
     own = Window.partitionBy("sig")
-    return rows.withColumns({"least": F.min("cls").over(own), "top": F.max("cls").over(own),
-                             "bucket": F.bit_xor(F.xxhash64("cls")).over(own)}) \
-        .filter("least < top").groupBy("bucket", "cls").agg(F.min("least").alias("least"))
+    return rows.withColumns({"least": F.min("cls").over(own), "top": F.max("cls").over(own)}) \
+        .filter("least < top").select("least", "cls").distinct()
 
 
 def _difference(similar: int, a: Column, b: Column) -> Column:
@@ -249,42 +298,67 @@ def _verified(pairs: DataFrame, known: DataFrame, src: DataFrame, n: int, simila
     return both.select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
 
 
-def link_classes(df: DataFrame, known: DataFrame, n: int, similar: int, parts: int, spared: int,
-                 doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(node, root) of linked classes; `known` are the cut sets of `df`."""
-    src = _source(df, doc_id, text)
-    per = known.filter("cls is not null").groupBy("cls").agg(*(F.first(c).alias(c) for c in known.columns[2:]))
-    buckets = cut(_buckets(signature_rows(df, n, similar, parts, spared, doc_id, text)))
+def _finer(pairs: DataFrame, per: DataFrame, similar: int) -> DataFrame:
+    """The pairs (u, v) whose fine sketches allow a link."""
+    side = lambda c, f: per.select(F.col("cls").alias(c), F.struct("n_shingles", "fine").alias(f))
+    both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v") \
+        .select("u", "v", "a.fine", "b.fine", _difference(similar, F.col("a.n_shingles"), F.col("b.n_shingles")).cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [apart(x.as_buffer(), y.as_buffer()) <= d.as_py()
+                  for x, y, d in zip(b.column(2), b.column(3), b.column(4), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    def passing(pairs: DataFrame) -> DataFrame:
-        a, b = per.alias("a"), per.alias("b")
-        return pairs.join(a, F.col("u") == F.col("a.cls")).join(b, F.col("v") == F.col("b.cls")) \
-            .filter(_may_link(similar, "a", "b")).select("u", "v")
+    return both.toDF("u", "v", "a", "b", "most").mapInArrow(run, "u long, v long")
 
-    stars = cut(passing(buckets.filter("cls <> least").select(F.col("cls").alias("u"), F.col("least").alias("v")).distinct()))
-    links = cut(_verified(stars, known, src, n, similar))
+
+def link_classes(df: DataFrame, known: DataFrame, n: int, similar: int, plan: Plan, doc_id: str = "doc_id",
+                 text: str = "text") -> DataFrame:
+    """(node, root) of linked classes; `known` are the cut sets of `df`."""
+    src = _source(df, doc_id, text)
+    per = known.filter("fine is not null").groupBy("cls").agg(*(F.first(c).alias(c) for c in known.columns[2:]))
+    rough = per.drop("fine")
+    groups = cut(_groups(signature_rows(df, n, similar, plan, doc_id, text)))
+    a, b = rough.alias("a"), rough.alias("b")
+    stars = groups.filter("cls <> least").select(F.col("cls").alias("u"), F.col("least").alias("v")) \
+        .join(a, F.col("u") == F.col("a.cls")).join(b, F.col("v") == F.col("b.cls")) \
+        .filter(_may_link(similar, "a", "b")).select("u", "v")
+    stars = cut(_finer(stars, per, similar))
+    # one partner each, the least that may link, joins most of what belongs together
+    first = stars.groupBy("u").agg(F.min("v").alias("v"))
+    links = cut(_verified(cut(first), known, src, n, similar))
     roots = components(links)
-    # buckets that still hold more than one component
-    placed = buckets.join(roots, F.col("cls") == F.col("node"), "left") \
-        .select("bucket", "cls", F.coalesce("root", "cls").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("bucket")
-    open_ = cut(placed.join(mixed, "bucket").join(per, "cls"))
+
+    def apart_still(pairs: DataFrame) -> DataFrame:
+        r = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        return pairs.join(r("u"), "u", "left").join(r("v"), "v", "left") \
+            .filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+
+    others = cut(apart_still(stars.join(first, ["u", "v"], "left_anti")))
+    if others.head(1):
+        links = cut(links.union(_verified(others, known, src, n, similar)))
+        roots = components(links)
+    # groups that still hold more than one component
+    placed = groups.join(roots, F.col("cls") == F.col("node"), "left") \
+        .select("least", "cls", F.coalesce("root", "cls").alias("root"))
+    mixed = placed.groupBy("least").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("least")
+    open_ = cut(placed.join(mixed, "least").join(rough, "cls"))
     a, b = open_.alias("a"), open_.alias("b")
-    cross = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.cls") > F.col("b.cls"))
+    cross = a.join(b, (F.col("a.least") == F.col("b.least")) & (F.col("a.cls") > F.col("b.cls"))
                    & (F.col("a.root") != F.col("b.root")) & _may_link(similar, "a", "b")) \
         .select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    cross = cut(cross)
+    cross = cut(_finer(cross, per, similar))
     if not cross.head(1):
         return roots
-    more = _verified(cross, known, src, n, similar)
-    return components(more.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    return components(links.union(_verified(cross, known, src, n, similar)))
 
 
-def near_duplicates(df: DataFrame, n: int = 5, similar: int = 80, parts: int = 2, spared: int = 1,
+def near_duplicates(df: DataFrame, n: int = 5, similar: int = 80, plan: Plan = PLAN_80,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the least id reachable by links."""
     known = cut(sets(df, n, doc_id, text))
-    roots = link_classes(df, known, n, similar, parts, spared, doc_id, text)
+    roots = link_classes(df, known, n, similar, plan, doc_id, text)
     per = known.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("own")) \
         .join(roots, F.col("cls") == F.col("node"), "left").select("cls", "own", F.coalesce("root", "cls").alias("root"))
     least = per.groupBy("root").agg(F.min("own").alias("component_id"))

@@ -47,11 +47,11 @@ def near_copies(seed, families=25, size=8, words=(4, 90)):
     return out
 
 
-@pytest.mark.parametrize("n,similar,parts,spared", [(3, 90, 3, 1), (5, 80, 2, 1), (3, 80, 4, 2), (2, 60, 1, 0)])
-def test_matches_brute_force(spark, n, similar, parts, spared):
+@pytest.mark.parametrize("n,similar,plan", [(3, 90, J.PLAN_90), (5, 80, J.PLAN_80), (3, 80, ((J.ALL, 4, 2, 6, 1),)), (2, 60, ((J.ALL, 1, 0, 4, 1),))])
+def test_matches_brute_force(spark, n, similar, plan):
     texts = ODD_TEXTS + near_copies(n) + random_texts(40) + near_copies(n + 1, 3, 12, (300, 400))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in
-           J.near_duplicates(documents(spark, texts), n, similar, parts, spared).collect()}
+           J.near_duplicates(documents(spark, texts), n, similar, plan).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, n, similar)
 
 
@@ -59,14 +59,14 @@ def test_chain_of_links_in_one_bucket(spark):
     """Neighbours link, the ends do not: the pairs that the star misses count."""
     words = [f"c{i}" for i in range(130)]
     texts = [" ".join(words[i:i + 100]) for i in range(0, 30, 3)]
-    got = [r.component_id for r in J.near_duplicates(documents(spark, texts), 3, 90, 3, 1).collect()]
+    got = [r.component_id for r in J.near_duplicates(documents(spark, texts), 3, 90, J.PLAN_90).collect()]
     assert got == [0] * len(texts) == [c for _, c in brute(texts, 3, 90)]
 
 
-@pytest.mark.parametrize("similar,parts,spared", [(90, 3, 1), (80, 2, 1), (70, 4, 2)])
-def test_linked_sets_share_a_signature(similar, parts, spared):
+@pytest.mark.parametrize("similar,plan", [(90, J.PLAN_90), (80, J.PLAN_80), (70, ((J.ALL, 4, 2, 6, 1),))])
+def test_linked_sets_share_a_signature(similar, plan):
     rng = np.random.default_rng(similar)
-    for size in [*range(1, 40), 100, 333, 1000]:
+    for size in [*range(1, 40), 100, 333, 1000, 4000]:
         a = rng.integers(0, 1 << 63, size).astype(np.uint64)
         for _ in range(8):
             gone = rng.integers(0, max(1, size * (100 - similar) // 150) + 1)
@@ -77,26 +77,27 @@ def test_linked_sets_share_a_signature(similar, parts, spared):
                 continue
             out = []
             for x in (a, b):
-                d, s = J.signatures(np.zeros(len(x), np.int64), x, np.array([len(x)]), similar, parts, spared)
+                d, s = J.signatures(np.zeros(len(x), np.int64), x, np.array([len(x)]), similar, plan)
                 out.append(set(s.tolist()))
             assert out[0] & out[1], (len(a), len(b), same)
 
 
 def test_sketch_never_exceeds_the_difference():
-    for p in pieces(pa.array(near_copies(9), pa.string()), NOT_SPACE, LOWER):
+    for p in pieces(pa.array(near_copies(9) + near_copies(10, 3, 4, (1000, 3000)), pa.string()), NOT_SPACE, LOWER):
         doc, h, size = J.shingles(p, 3)
-        sk = J.sketches(doc, h, p.n)
+        sk, fine = J.sketches(doc, h, p.n), J.fine_sketches(doc, h, size).to_pylist()
         of = [set(h[doc == i].tolist()) for i in range(p.n)]
         for i in range(0, p.n, 3):
             for j in range(p.n):
                 assert sum(int(x).bit_count() for x in (sk[i] ^ sk[j]).view(np.uint64)) <= len(of[i] ^ of[j])
+                assert J.apart(fine[i], fine[j]) <= len(of[i] ^ of[j])
 
 
 def test_repeats_nulls_and_clashing_names(spark):
     copies = ["a b c d e f"] * 5 + [None, "", " "] + ["x y z"] * 2
     docs = documents(spark, copies).selectExpr("*", "1 as cls", "2 as n_shingles", "3 as root", "4 as _gone")
     odd = docs.selectExpr("cast(null as long) as doc_id", *docs.columns[1:])
-    got = J.near_duplicates(docs.union(docs).union(odd), 3, 90, 3, 1).collect()
+    got = J.near_duplicates(docs.union(docs).union(odd), 3, 90, J.PLAN_90).collect()
     assert len(got) == 30
     assert {r.component_id for r in got if r.n_shingles == 4} == {0} and {r.component_id for r in got if r.n_shingles == 1} == {8}
     assert sorted(r.component_id or -1 for r in got if r.n_shingles == 0) == [-1] * 3 + [5, 5, 6, 6, 7, 7]
