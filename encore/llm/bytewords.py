@@ -14,8 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
-_KEEP = 1 << 22
+PIECE = 1 << 18
+_KEEP = 1 << 20
 _P = 0x9E3779B97F4A7C55                      # odd, so it has an inverse modulo 2^64
 _PINV = pow(_P, -1, 1 << 64)
 

@@ -172,15 +172,16 @@ def _block(key: tuple, items: list[tuple[str, str]], window: int) -> Block:
     return _blocks[key]
 
 
-def _rounds(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str, str]]]:
-    """Items of each round; which round an item is in follows from its hash."""
+def _rounds(benchmark: DataFrame, item_id: str, text: str) -> Iterator[tuple[list[tuple[str, str]], bool]]:
+    """Items of each round, and whether it is the last; which round an item is
+    in follows from its hash."""
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"),
                              F.col(text).cast("string").alias("t")).filter("t is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     rounds = 1 + int(size // ROUND_BYTES)
     for r in range(rounds):
         part = items if rounds == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(rounds)) == r)
-        yield sorted((x[0], x[1]) for x in part.collect())
+        yield sorted((x[0], x[1]) for x in part.collect()), r == rounds - 1
 
 
 def _split_blocks(items: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
@@ -207,18 +208,22 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
-         item_text: str = "text", window: int = 10) -> DataFrame:
+         item_text: str = "text", window: int = 10, finish=None) -> DataFrame:
     """All columns of `df`, and last a struct (named hits, or _hits...): n_words,
     n_hit, items (sorted ids), bytes (start, end of each hit span in the text's
-    UTF-8, flat)."""
+    UTF-8, flat). `finish`, if given, makes of each batch with its hits one with
+    the columns of `df`, in the last round's pass."""
     name = free_name(df, "hits")
+    kept = df.schema
     where, sc = df.columns.index(text), df.sparkSession.sparkContext
-    for k, items in enumerate(_rounds(benchmark, item_id, item_text)):
+    rounds = _rounds(benchmark, item_id, item_text)
+    for k, (items, last_round) in enumerate(rounds):
+        final = finish if last_round else None
         held = sc.broadcast(_split_blocks(items))
         key = held.id if hasattr(held, "id") else id(held)
         earlier = k > 0
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, key=(key, k), earlier=earlier) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held, key=(key, k), earlier=earlier, final=final) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 before = b.column(len(b.schema) - 1).to_pylist() if earlier else None
                 rows: list[dict] = []
@@ -245,36 +250,34 @@ def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str =
                                      "items": sorted(names[i]), "bytes": flat})
                 new = pa.array(rows, _ARROW)
                 if earlier:
-                    yield b.set_column(len(b.schema) - 1, b.schema.field(len(b.schema) - 1), new)
+                    b = b.set_column(len(b.schema) - 1, b.schema.field(len(b.schema) - 1), new)
                 else:
-                    yield pa.RecordBatch.from_arrays([*b.columns, new], names=[*b.schema.names, name])
+                    b = pa.RecordBatch.from_arrays([*b.columns, new], names=[*b.schema.names, name])
+                yield final(b) if final else b
 
-        df = df.mapInArrow(run, df.schema if earlier else T.StructType([*df.schema.fields, T.StructField(name, HITS)]))
+        df = df.mapInArrow(run, kept if final else T.StructType([*kept.fields, T.StructField(name, HITS)]))
     return df
 
 
 def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", max_coverage: float = 0.8, **params) -> DataFrame:
     """`df` with the hit spans cut out of its texts. A row is dropped when more
     than `max_coverage` of its words are hit."""
-    marked = scan(df, benchmark, text, **params)
     where = df.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hits = b.column(len(b.schema) - 1)
-            n = hits.field(1).to_numpy(zero_copy_only=False)
-            if n.any():
-                texts = b.column(where).to_pylist()
-                for i in np.flatnonzero(n):
-                    raw, flat = texts[i].encode(), hits[int(i)]["bytes"].as_py()
-                    keep = zip([0, *flat[1::2]], [*flat[::2], len(raw)], strict=True)
-                    texts[i] = b"".join(raw[a:z] for a, z in keep).decode()
-                b = b.set_column(where, b.schema.field(where), pa.array(texts, b.column(where).type))
-            share = n / np.maximum(hits.field(0).to_numpy(zero_copy_only=False), 1)
-            b = b.filter(pa.array(share <= max_coverage))
-            yield b.select(range(len(b.schema) - 1))
-
-    return marked.mapInArrow(run, df.schema)
+    def cut_out(b: pa.RecordBatch) -> pa.RecordBatch:
+        hits = b.column(len(b.schema) - 1)
+        n = hits.field(1).to_numpy(zero_copy_only=False)
+        if n.any():
+            texts = b.column(where).to_pylist()
+            for i in np.flatnonzero(n):
+                raw, flat = texts[i].encode(), hits[int(i)]["bytes"].as_py()
+                keep = zip([0, *flat[1::2]], [*flat[::2], len(raw)], strict=True)
+                texts[i] = b"".join(raw[a:z] for a, z in keep).decode()
+            b = b.set_column(where, b.schema.field(where), pa.array(texts, b.column(where).type))
+        share = n / np.maximum(hits.field(0).to_numpy(zero_copy_only=False), 1)
+        return b.filter(pa.array(share <= max_coverage)).select(range(len(b.schema) - 1))
+
+    return scan(df, benchmark, text, finish=cut_out, **params)
 
 
 def digest(marked: DataFrame, doc_id: str = "doc_id") -> DataFrame:
