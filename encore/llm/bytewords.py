@@ -123,6 +123,8 @@ def pieces(texts: pa.Array, is_word: np.ndarray = NOT_SPACE, table: np.ndarray |
         own = at[i:j + 1] - at[i]
         yield Piece(i, j - i, buf, own, *word_spans(buf, own, is_word))
         i = j
+    # Arrow keeps what a batch has freed; several workers share an executor's memory
+    pa.default_memory_pool().release_unused()
 
 
 _COEF = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)

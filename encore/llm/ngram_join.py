@@ -276,26 +276,18 @@ def _verified(pairs: DataFrame, known: DataFrame, src: DataFrame, n: int, simila
             for p in pieces(b.column(0), NOT_SPACE, LOWER):
                 doc, h, size = shingles(p, n)
                 cls = classes(doc, h, size)
-                parts = np.split(h[np.argsort(doc, kind="stable")], np.cumsum(size)[:-1])
+                h = h[np.argsort(doc, kind="stable")]
+                at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cls, mask=size == 0), pa.array([np.sort(x).tobytes() for x in parts], pa.binary())],
+                    [pa.array(cls, mask=size == 0), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))],
                     names=["cls", "members"])
 
-    members = cut(texts.mapInArrow(run, "cls long, members binary").join(ends, "cls", "left_semi"))
+    members = cut(texts.mapInArrow(run, "cls long, members array<long>").join(ends, "cls", "left_semi"))
     members = members.groupBy("cls").agg(F.first("members").alias("members"))
     both = pairs.join(members.select(F.col("cls").alias("u"), F.col("members").alias("a")), "u") \
         .join(members.select(F.col("cls").alias("v"), F.col("members").alias("b")), "v")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                same = len(x) + len(y) - len(np.union1d(x, y))
-                ok[i] = 100 * same >= similar * (len(x) + len(y) - same)
-            yield b.select([0, 1]).filter(pa.array(ok))
-
-    return both.select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
+    same, total = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
+    return both.filter(same * 100 >= (total - same) * similar).select("u", "v")
 
 
 def _finer(pairs: DataFrame, per: DataFrame, similar: int) -> DataFrame:
