@@ -1,8 +1,9 @@
 """Command line: the whole pipeline over a folder of export files.
 
-  python -m encore run <export dir> <out dir> [--account-id N] [--master local[8]]
+  python -m encore run <export dir> <out dir> [--account-id N | --global] [--master local[8]]
       ingest *.json -> raw, silver, plays_with_session_id, sessions tables
-      -> six views -> CSV; prints the ingest report and the key checks.
+      -> six views -> CSV; the ingest report, quarantine, all profiles, checks
+      and expectations are written as tables under <out dir>/reports.
   python -m encore report <export dir>
       only validate and count the files.
 """
@@ -12,9 +13,11 @@ from __future__ import annotations
 import argparse
 import sys
 
-from encore.config import DEFAULT
+from pyspark.sql import functions as F
+
+from encore.config import DEFAULT, GLOBAL
 from encore.plans import pipeline as P
-from encore.plans import quality as Q
+from encore.sources.export import write_table
 from encore.sources.ingest import ingest, summary
 from encore.spark import build_session
 
@@ -29,27 +32,35 @@ def main(argv=None) -> int:
     rep.add_argument("export_dir")
     for p in (run, rep):
         p.add_argument("--account-id", type=int, default=None,
-                       help="key for all files (default: account_id=<n> folder in each path)")
+                       help="key for all files (default: the account_id=<n> folder in each path, else 0)")
         p.add_argument("--master", default=None)
+    run.add_argument("--global", dest="one_timeline", action="store_true",
+                     help="one timeline over all files, without an account key")
     args = ap.parse_args(argv)
 
     spark = build_session(args.master)
-    res = ingest(spark, args.export_dir, account_id=args.account_id)
-    res.report.orderBy("source_file").show(truncate=False)
-    summary(res.report).show()
+    store = f"{args.out_dir}/tables/ingested" if args.cmd == "run" else None
+    res = ingest(spark, args.export_dir, account_id=args.account_id, store=store)
     if args.cmd == "report":
+        res.report.orderBy("source_file").show(res.report.count(), truncate=False)
+        summary(res.report).show()
         return 0
 
-    raw = res.raw.drop("source_file", "event_time")
-    st = P.materialize(spark, raw, f"{args.out_dir}/tables", DEFAULT)
+    summary(res.report).show()
+    write_table(res.report, f"{args.out_dir}/reports/ingest")
+    write_table(res.quarantine, f"{args.out_dir}/reports/quarantine")
+    cfg = GLOBAL if args.one_timeline else DEFAULT
+    raw = res.raw.drop("source_file", "event_time").withColumn("account_id", F.coalesce("account_id", F.lit(0).cast("long")))
+    if args.one_timeline:
+        raw = raw.drop("account_id")
+    st = P.materialize(spark, raw, f"{args.out_dir}/tables", cfg)
     P.register_views(st)
     P.export_csv(st, args.out_dir)
-    for check in (Q.dq_silver_removed, Q.dq_sessions_total):
-        check(st).show(truncate=False)
-    exp = Q.expectations(st)
-    exp.show(truncate=False)
+    P.write_reports(st, f"{args.out_dir}/reports")
+    exp = spark.read.parquet(f"{args.out_dir}/reports/expectations")
     failed = exp.filter(~exp.passed).count()
-    print(f"tables in {args.out_dir}/tables, CSV in {args.out_dir}/csv; {failed} expectation(s) failed")
+    print(f"tables in {args.out_dir}/tables, CSV in {args.out_dir}/csv, reports in {args.out_dir}/reports; "
+          f"{failed} expectation(s) failed")
     return 1 if failed else 0
 
 

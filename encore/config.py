@@ -23,9 +23,6 @@ class PipelineConfig:
     # bucket used to split each account's timeline for the parallel carry:
     # "day", "hour" or "minute" of play_start (bounds the largest task)
     carry_bucket: str = "day"
-    # with day buckets: an account-day with more plays than this is split into
-    # minute buckets (found by one narrow count per account-day); None = off
-    hot_bucket_rows: int | None = 1_000_000
     # session classes: length limits (minutes, strict <); type thresholds
     # (active skip >, shuffle >, variety weighted >, focused weighted <, album completion >);
     # engagement thresholds (high completion >, high skip <, medium completion >)

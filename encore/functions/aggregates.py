@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# stands for NULL inside mode(): sorts before every other non-empty string
-_NULL_TOKEN = "\u0000"
-
 
 def most_frequent(c: Column) -> Column:
     """Most frequent value of a group, NULL counted as a value.
@@ -15,8 +12,8 @@ def most_frequent(c: Column) -> Column:
     Ties go to the smallest value, NULL first. Built on mode(), a mergeable
     hash-map aggregate, so it runs partial (map side) like count or sum.
     """
-    m = F.mode(F.coalesce(c.cast("string"), F.lit(_NULL_TOKEN)), True)
-    return F.when(m == F.lit(_NULL_TOKEN), F.lit(None).cast("string")).otherwise(m)
+    # false sorts before true: NULL comes before every value, the empty string too
+    return F.mode(F.struct(c.isNotNull().alias("known"), c.cast("string").alias("value")), True)["value"]
 
 
 def count_true(c: Column) -> Column:

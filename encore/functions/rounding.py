@@ -34,19 +34,33 @@ def idiv(a, b) -> Column:
     return F.call_function("div", _c(a), _c(b))
 
 
-def rround_int(num, den, digits: int) -> Column:
-    """round(num/den, digits) * 10^digits as BIGINT; NULL when den = 0."""
-    num, den = _c(num).cast("long"), _c(den).cast("long")
+def rround_int(num, den, digits: int, as_double: bool = False) -> Column:
+    """round(num/den, digits) * 10^digits as BIGINT; NULL when den = 0.
+    `as_double`: the rounded quotient itself, which may exceed a BIGINT in units of 10^-digits."""
+    num, den = _c(num), _c(den).cast("long")
     scale = 10 ** digits
     sign = F.when((num < 0) != (den < 0), F.lit(-1)).otherwise(F.lit(1))
-    mag = idiv(F.abs(num) * (2 * scale) + F.abs(den), F.abs(den) * 2)
+    # the fraction of num / den rounded on its own: its products fit decimals for any BIGINT
+    whole, rest = idiv(F.abs(num), F.abs(den)), F.abs(num) % F.abs(den)
+    limit = (1 << 61) // (2 * scale)
+    fits = F.abs(den) < limit
+    small = F.when(fits, rest).otherwise(0).cast("long")
+    wide, wide_den = rest.cast("decimal(20,0)"), F.abs(den).cast("decimal(20,0)")
+    part = F.when(fits, idiv(small * (2 * scale) + F.abs(den), F.abs(den) * 2)).otherwise(
+        idiv(wide * F.lit(2 * scale).cast("decimal(9,0)") + wide_den, wide_den * F.lit(2).cast("decimal(1,0)")))
+    if as_double:
+        mag = whole.cast("double") + part.cast("double") / F.lit(float(scale))
+        return F.when((den == 0) | den.isNull(), F.lit(None).cast("double")).otherwise(
+            F.when(num == 0, F.lit(0.0)).when(whole < (1 << 40), (sign * (whole * scale + part)).cast("double") / F.lit(float(scale)))
+            .otherwise(sign * mag))
+    mag = whole * scale + part
     return F.when((den == 0) | den.isNull(), F.lit(None).cast("long")).otherwise(
         F.when(num == 0, F.lit(0).cast("long")).otherwise(sign * mag))
 
 
 def rround(num, den, digits: int) -> Column:
     """ROUND(num/den, digits) as DOUBLE, exact half away from zero."""
-    return rround_int(num, den, digits).cast("double") / F.lit(float(10 ** digits))
+    return rround_int(num, den, digits, as_double=True)
 
 
 def from_cents(c, digits: int = 2) -> Column:
@@ -60,7 +74,7 @@ def to_cents(x, digits: int = 2) -> Column:
 
 def pct(part, whole, digits: int = 2) -> Column:
     """ROUND(part * 100 / whole, digits)."""
-    return rround(_c(part).cast("long") * 100, whole, digits)
+    return rround(_c(part).cast("decimal(25,0)") * F.lit(100).cast("decimal(3,0)"), whole, digits)
 
 
 # duration units from ms_played, rounded to hundredths as in the silver table

@@ -10,9 +10,12 @@ per-bucket offset the same way. The result equals the single global window
 row for row, while no task holds more than one account-day.
 
 The plays side is hash-partitioned once on (keys, bucket); the bucket
-summary is aggregated on that same partitioning and joined back without
-re-shuffling the plays. Whether the summary is broadcast is left to AQE,
+summary is aggregated from that same shuffle and joined back, null-safe, so
+that rows without an account or a time keep their place. The summary itself is
+carried in two levels (bucket, era). Whether it is broadcast is left to AQE,
 which converts the join only when the measured size is under its threshold.
+The unit is one fixed parameter: "day" suits play histories, "hour" or
+"minute" timelines with extreme volume.
 """
 
 from __future__ import annotations
@@ -37,27 +40,65 @@ def bucket_of(t: Column, cfg: PipelineConfig) -> Column:
 
 
 def with_bucket(df: DataFrame, keys, t: str, cfg: PipelineConfig) -> DataFrame:
-    """Add the carry bucket of column `t`.
-
-    Day buckets adapt to skew: account-days holding more than
-    cfg.hot_bucket_rows plays (a third of all rows, say) are split into
-    minute buckets, so no bucket - hence no window task - grows with one hot
-    key. The hot list is broadcast: its size is bounded by construction, at
-    most rows / hot_bucket_rows entries of (key, day) - about a million short
-    rows for 10^12 plays at the default - and broadcasting it keeps the plays
-    from being shuffled for this lookup.
-    """
-    keys = list(keys)
-    if cfg.carry_bucket != "day" or not cfg.hot_bucket_rows:
-        return df.withColumn(BUCKET, bucket_of(F.col(t), cfg))
-    day = F.to_date(F.col(t)).cast("timestamp_ntz")
-    x = df.withColumn("_day", day)
-    hot = (x.groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > cfg.hot_bucket_rows).select(*keys, "_day", F.lit(True).alias("_hot")))
-    x = x.join(F.broadcast(hot), on=keys + ["_day"], how="left")
-    minute = TU.trunc_ntz(F.col(t), "minute")
-    return (x.withColumn(BUCKET, F.when(F.col("_hot"), minute).otherwise(F.col("_day")))
-            .drop("_day", "_hot"))
+    """Add the carry bucket of column `t`, one fixed unit for all rows."""
+    return df.withColumn(BUCKET, bucket_of(F.col(t), cfg))
+
+
+def _era(cfg: PipelineConfig) -> Column:
+    """The unit above the buckets: their summary is carried in two levels, so
+    with no key no task holds more than one era's buckets, or all eras."""
+    unit = {"day": "year", "hour": "month", "minute": "day"}[cfg.carry_bucket]
+    return F.date_trunc(unit, F.col(BUCKET).cast("timestamp")).cast("string")
+
+
+def _same(a: str, b: str, cols) -> Column:
+    """Null-safe equality on every column: a NULL account is an account."""
+    out = F.lit(True)
+    for c in cols:
+        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
+
+
+def join_buckets(rows: DataFrame, summary: DataFrame, keys) -> DataFrame:
+    """`rows` with the other columns of their bucket's summary."""
+    on = [*keys, BUCKET]
+    extra = [F.col(f"b.{c}") for c in summary.columns if c not in on]
+    return rows.alias("a").join(summary.alias("b"), _same("a", "b", on)).select("a.*", *extra)
+
+
+def _per_bucket(x: DataFrame, keys, aggs) -> DataFrame:
+    """One row per bucket. The checksum over all columns keeps this branch from
+    being pruned below the exchange, so that Spark shuffles the plays once and
+    reads that shuffle for both branches (ReusedExchange)."""
+    every = [c for c in x.columns if not c.startswith("_")]
+    return (x.groupBy(*keys, BUCKET).agg(*aggs, F.bit_xor(F.xxhash64(*every)).alias("_all"))
+            .filter(F.col("_all").isNotNull()).drop("_all"))
+
+
+def _last_before(s: DataFrame, keys, cols, cfg: PipelineConfig, prefix: str) -> DataFrame:
+    """For each bucket row, prefix+c = last non-NULL c of the earlier buckets of
+    the key: inside an era by a window, before it by the eras' last values."""
+    s = s.withColumn("_era", _era(cfg))
+    inside = Window.partitionBy(*keys, "_era").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    over_eras = Window.partitionBy(*keys).orderBy("_era").rowsBetween(Window.unboundedPreceding, -1)
+    eras = s.groupBy(*keys, "_era").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(BUCKET))).alias(f"_e_{c}") for c in cols])
+    eras = eras.select(*keys, "_era", *[F.last(f"_e_{c}", ignorenulls=True).over(over_eras).alias(f"_b_{c}") for c in cols])
+    x = s.withColumns({f"_i_{c}": F.last(c, ignorenulls=True).over(inside) for c in cols}).alias("a") \
+        .join(eras.alias("b"), _same("a", "b", [*keys, "_era"])) \
+        .select("a.*", *[F.col(f"b._b_{c}") for c in cols])
+    return x.withColumns({prefix + c: F.coalesce(f"_i_{c}", f"_b_{c}") for c in cols}) \
+        .drop("_era", *[f"_i_{c}" for c in cols], *[f"_b_{c}" for c in cols])
+
+
+def _sum_before(s: DataFrame, keys, col: str, cfg: PipelineConfig, name: str) -> DataFrame:
+    """For each bucket row, the sum of `col` over the key's earlier buckets, in two levels."""
+    s = s.withColumn("_era", _era(cfg))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    eras = s.groupBy(*keys, "_era").agg(F.sum(col).alias("_e"))
+    eras = eras.select(*keys, "_era", F.coalesce(F.sum("_e").over(before(Window.partitionBy(*keys).orderBy("_era"))), F.lit(0)).alias("_b"))
+    inside = F.coalesce(F.sum(col).over(before(Window.partitionBy(*keys, "_era").orderBy(BUCKET))), F.lit(0))
+    return (s.withColumn("_i", inside).alias("a").join(eras.alias("b"), _same("a", "b", [*keys, "_era"]))
+            .select("a.*", F.col("b._b")).withColumn(name, F.col("_i") + F.col("_b")).drop("_era", "_i", "_b"))
 
 
 def _order_struct(order) -> Column:
@@ -78,11 +119,8 @@ def lag_carry(df: DataFrame, keys, order, cols, cfg: PipelineConfig,
     for c in cols:
         x = x.withColumn(f"_in_{c}", F.lag(c).over(w))
     last = F.max_by(F.struct(*[F.col(c) for c in cols]), _order_struct(order))
-    s = x.groupBy(*keys, BUCKET).agg(last.alias("_last"))
-    wb = Window.partitionBy(*keys).orderBy(BUCKET)
-    s = s.select(*keys, BUCKET, F.lag("_last").over(wb).alias("_carry"))
-    j = x.join(s, on=keys + [BUCKET], how="inner")
-    out = j
+    s = _last_before(_per_bucket(x, keys, [last.alias("_last")]), keys, ["_last"], cfg, "_carry")
+    out = join_buckets(x, s.select(*keys, BUCKET, F.col("_carry_last").alias("_carry")), keys)
     for c in cols:
         out = out.withColumn(prefix + c, F.when(F.col("_rn") == 1, F.col(f"_carry.{c}"))
                              .otherwise(F.col(f"_in_{c}")))
@@ -110,19 +148,17 @@ def sessionize(plays: DataFrame, cfg: PipelineConfig, order) -> DataFrame:
     x = x.withColumn("_flag_in", F.when(F.col("_rn") == 1, 0).otherwise(gap_flag(F.col("_gap_in"), cfg)))
     x = x.withColumn("_run_in", F.sum("_flag_in").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
-    s = x.groupBy(*keys, BUCKET).agg(
+    s = _per_bucket(x, keys, [
         F.min(start).alias("_first_start"),
-        F.max_by(end, _order_struct(order)).alias("_last_end"),
-        F.sum("_flag_in").alias("_inner"))
-    wb = Window.partitionBy(*keys).orderBy(BUCKET)
-    s = (s.withColumn("_gap0", TU.seconds_between(F.lag("_last_end").over(wb), F.col("_first_start")))
-         .withColumn("_flag0", gap_flag(F.col("_gap0"), cfg)))
-    s = s.withColumn("_offset", F.coalesce(
-        F.sum(F.col("_flag0") + F.col("_inner")).over(wb.rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)))
-    s = s.select(*keys, BUCKET, "_gap0", "_flag0", "_offset")
-
-    j = x.join(s, on=keys + [BUCKET], how="inner")
+        # a struct, so that the carry takes the last row's end even where it is NULL
+        F.max_by(F.struct(end.alias("end")), _order_struct(order)).alias("_last"),
+        F.sum("_flag_in").alias("_inner")])
+    s = _last_before(s, keys, ["_last"], cfg, "_prev")
+    s = (s.withColumn("_gap0", TU.seconds_between(F.col("_prev_last.end"), F.col("_first_start")))
+         .withColumn("_flag0", gap_flag(F.col("_gap0"), cfg)).withColumn("_here", F.col("_flag0") + F.col("_inner")))
+    s = _sum_before(s, keys, "_here", cfg, "_offset").select(*keys, BUCKET, "_gap0", "_flag0", "_offset")
+
+    j = join_buckets(x, s, keys)
     first = F.col("_rn") == 1
     return (j.withColumn("seconds_since_last_play", F.when(first, F.col("_gap0")).otherwise(F.col("_gap_in")))
             .withColumn("new_session_flag", F.when(first, F.col("_flag0")).otherwise(F.col("_flag_in")))
@@ -154,12 +190,10 @@ def lag_carry_where(df: DataFrame, keys, order, cols, conds: dict, cfg: Pipeline
     w = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     for name, cond in conds.items():
         x = x.withColumn(f"_in_{name}", F.last(F.when(cond, val), ignorenulls=True).over(w))
-    s = x.groupBy(*keys, BUCKET).agg(*[
+    s = _per_bucket(x, keys, [
         F.max_by(val, F.when(cond, _order_struct(order))).alias(f"_last_{name}") for name, cond in conds.items()])
-    wb = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    s = s.select(*keys, BUCKET, *[F.last(f"_last_{name}", ignorenulls=True).over(wb).alias(f"_carry_{name}")
-                                  for name in conds])
-    j = x.join(s, on=keys + [BUCKET], how="inner")
+    s = _last_before(s, keys, [f"_last_{name}" for name in conds], cfg, "_carry")
+    j = join_buckets(x, s.select(*keys, BUCKET, *[F.col(f"_carry_last_{name}").alias(f"_carry_{name}") for name in conds]), keys)
     for name in conds:
         j = j.withColumn(f"prev_{name}", F.coalesce(F.col(f"_in_{name}"), F.col(f"_carry_{name}")))
     return j.drop(BUCKET, *[f"_in_{n}" for n in conds], *[f"_carry_{n}" for n in conds])

@@ -44,6 +44,11 @@ def join_on_keys(a: DataFrame, b: DataFrame, keys, how: str = "inner") -> DataFr
     aggregates and are joined on a constant key."""
     keys = list(keys)
     if keys:
-        return a.join(b, on=keys, how=how)
+        same = F.lit(True)
+        for k in keys:                       # a NULL key is a key
+            same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+        key = [F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys]
+        rest = [F.col(f"{side}.{c}") for side, df in (("a", a), ("b", b)) for c in df.columns if c not in keys]
+        return a.alias("a").join(b.alias("b"), same, how).select(*key, *rest)
     return (a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), on="_one", how=how)
             .drop("_one"))

@@ -486,5 +486,12 @@ def build(cfg: PipelineConfig = DEFAULT) -> dict[str, str]:
     out.update(view_queries(cfg))
     out["dq_min_ms_sweep"] = sweep_query(cfg)
     if cfg.keys:
-        out["sessions_global"] = stage_queries(cfg.with_(keys=()))["sessions"]
+        one = cfg.with_(keys=())
+        out["sessions_global"] = stage_queries(one)["sessions"]
+        out["eda_gap_buckets_global"] = eda_queries(one)["eda_gap_buckets"]
+        plain, odd = "(e.user_id // 38) AS account_id", "CASE WHEN (e.user_id // 38) % 2 = 0 THEN e.user_id // 38 END AS account_id"
+        assert plain in out["sessions"]
+        out["sessions_null_account"] = out["sessions"].replace(plain, odd)
+        # what was written as files and read back is the raw table
+        out["raw_from_export_files"] = out["raw_from_jsonl"] = out["raw_from_table"] = out["raw_plays"]
     return out

@@ -34,7 +34,7 @@ class K:
         return f"GROUP BY {', '.join(cols)}" if cols else ""
 
     def on(self, a: str, b: str) -> str:
-        return " AND ".join([f"{a}.{k} = {b}.{k}" for k in self.keys] or ["TRUE"])
+        return " AND ".join([f"{a}.{k} IS NOT DISTINCT FROM {b}.{k}" for k in self.keys] or ["TRUE"])
 
 
 def raw_cte() -> str:

@@ -54,16 +54,12 @@ ORDER = {
     "dq_sessions_extremes": lambda: [_rank("metric", (LB.EXTREME_LONGEST, LB.EXTREME_TRACKS, LB.EXTREME_DIVERSE))],
     "dq_negative_durations": lambda: ["session_duration_minutes", "session_id"],
     "dq_min_ms_sweep": lambda: ["min_ms"],
-    "view_artist_stats": lambda: [_desc("total_plays"), "artist_name"],
-    "view_track_stats": lambda: [_desc("play_count"), "track_name"],
     "view_temporal_patterns": lambda: ["play_year", "play_month", "play_day_week", "play_hour"],
-    "view_session_behavior": lambda: ["session_year", "session_month"],
     "view_yearly_trends": lambda: ["play_year"],
     "view_top_content": lambda: ["time_period", "year", "content_type", "rank"],
     "view_top_content_rank": lambda: ["time_period", "year", "content_type", "rank"],
     "view_top_content_dense_rank": lambda: ["time_period", "year", "content_type", "rank"],
     "view_top_content_lead": lambda: ["time_period", "year", "content_type", "rank"],
-    "view_artist_tiers": lambda: ["play_tier", _desc("total_plays")],
 }
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from encore.config import DEFAULT, PipelineConfig
 from encore.plans import eda as EDA
@@ -12,6 +14,11 @@ from encore.plans import quality as Q
 from encore.plans import views as V
 from encore.plans.presentation import present
 from encore.plans.stages import Stages
+from encore.schemas import RAW_COLUMNS
+from encore.sources.export import write_export_files, write_jsonl, write_table
+from encore.sources.ingest import ingest, read_jsonl
+from encore.sources.plays import raw_from_events, read_raw
+from encore.spark import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +64,45 @@ def stage_functions() -> dict[str, Callable[[Stages], DataFrame]]:
     return fns
 
 
+def null_accounts(raw: DataFrame) -> DataFrame:
+    """Every other account without its number: one timeline of a NULL account."""
+    return raw.withColumn("account_id", F.when(F.col("account_id") % 2 == 0, F.col("account_id")))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    folder = ensure_checkpoint_dir(spark)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def raw_from_export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1-A3, A5, A6: raw plays written as export files and ingested again."""
+    out = _scratch(spark, "exports")
+    write_export_files(raw_from_events(spark, sf_dir), out)
+    raw = ingest(spark, f"{out}/account_id=*/chunk=*", pattern="part-*", store=f"{out}/ingested").raw
+    return raw.select(*RAW_COLUMNS)
+
+
+def raw_from_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4, A6: raw plays through the JSON lines sink and load, keyed by file."""
+    out = _scratch(spark, "jsonl")
+    raw = raw_from_events(spark, sf_dir)
+    path = F.concat(F.lit("file:///x/account_id="), F.col("account_id"), F.lit("/history.json"))
+    write_jsonl(raw.withColumn("source_file", path), out)
+    account = F.regexp_extract(F.col("_metadata.file_path"), r"account_(\d+)_", 1).cast("long")
+    return read_jsonl(spark, out, account_id=account).select(*RAW_COLUMNS)
+
+
+def raw_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8: raw plays written as a table, replaced, and read back."""
+    out = _scratch(spark, "table")
+    raw = raw_from_events(spark, sf_dir)
+    write_table(raw.limit(0), out)
+    write_table(raw, out)
+    return read_raw(spark, out)
+
+
 def queries(cfg: PipelineConfig = DEFAULT) -> dict[str, Query]:
     """Each query sorted for presentation like its source query (reports only)."""
     def bind(fn, c=cfg, name=None):
@@ -66,6 +112,12 @@ def queries(cfg: PipelineConfig = DEFAULT) -> dict[str, Query]:
         # one timeline over all plays, as in a single-user export: exercises the
         # bucketed carry with no account key
         out["sessions_global"] = bind(lambda st: st.sessions, cfg.with_(keys=()))
+        out["eda_gap_buckets_global"] = bind(EDA.eda_gap_buckets, cfg.with_(keys=()), "eda_gap_buckets")
+        out["sessions_null_account"] = lambda spark, sf_dir: Stages(
+            spark, cfg=cfg, raw=null_accounts(raw_from_events(spark, sf_dir))).sessions
+        out["raw_from_export_files"] = raw_from_export_files
+        out["raw_from_jsonl"] = raw_from_jsonl
+        out["raw_from_table"] = raw_from_table
     return out
 
 

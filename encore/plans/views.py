@@ -172,11 +172,10 @@ def ranked_sets(st: Stages, method: str = "row_number", with_lead: bool = False)
         order = [F.desc("play_count")]
         if method == "row_number":  # unique order: ties broken by name
             order += [F.asc_nulls_first(c) for c in group]
-        if with_lead:
-            w = (Window.partitionBy(*part_keys) if part_keys else Window.partitionBy()).orderBy(
-                F.desc("play_count"), *[F.asc_nulls_first(c) for c in group])
-            g = g.withColumn("next_play_count", F.lead("play_count").over(w))
-        r = top_n(g, part_keys, order, n, rank_col="rank", method=method)
+        r = top_n(g, part_keys, order, n + with_lead, rank_col="rank", method=method)
+        if with_lead:                        # over the first n + 1 only, so that the group limit holds
+            w = (Window.partitionBy(*part_keys) if part_keys else Window.partitionBy()).orderBy("rank")
+            r = r.withColumn("next_play_count", F.lead("play_count").over(w)).filter(F.col("rank") <= n)
         cols = [F.lit(period).alias("time_period"),
                 (F.col(ycol) if ycol else null_year).alias("year"),
                 F.lit(content).alias("content_type"), "artist_name",

@@ -10,8 +10,11 @@ from encore.schemas import RAW_COLUMNS
 
 def write_jsonl(raw: DataFrame, out_dir: str) -> None:
     """A4: records as JSON lines, NULL fields written out, one folder per
-    source file stem (the converter writes <stem>.jsonl per input)."""
+    source file (the converter writes <stem>.jsonl per input); files of the same
+    name in different account folders stay apart."""
     stem = F.regexp_extract(F.col("source_file"), r"([^/]+?)(\.[^./]*)?$", 1)
+    account = F.regexp_extract(F.col("source_file"), r"account_id=(\d+)/", 1)
+    stem = F.when(account != "", F.concat(F.lit("account_"), account, F.lit("_"), stem)).otherwise(stem)
     cols = [c for c in RAW_COLUMNS if c in raw.columns and c != "account_id"]
     # ts holds the UTC wall time; the string cast does not involve the session zone
     iso = F.concat(F.regexp_replace(F.col("ts").cast("string"), " ", "T"), F.lit("Z"))
@@ -20,18 +23,34 @@ def write_jsonl(raw: DataFrame, out_dir: str) -> None:
      .partitionBy("source_stem").json(out_dir))
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """A8: create-or-replace a Parquet table at `path`."""
-    w = df.write.mode("overwrite")
+def write_export_files(raw: DataFrame, out_dir: str, per_file: int = 5000) -> None:
+    """Raw plays as export files: one JSON array of about `per_file` records a
+    file, in folders by account and chunk."""
+    n, accounts = raw.agg(F.count(F.lit(1)), F.countDistinct("account_id")).first()
+    chunks = max(1, -(-n // max(1, accounts * per_file)))
+    iso = F.concat(F.regexp_replace(F.col("ts").cast("string"), " ", "T"), F.lit("Z"))
+    rec = F.to_json(F.struct(*[(iso if c == "ts" else F.col(c)).alias(c) for c in RAW_COLUMNS if c != "account_id"]))
+    files = (raw.select("account_id", F.pmod(F.xxhash64(*RAW_COLUMNS), F.lit(chunks)).alias("chunk"), rec.alias("j"))
+             .groupBy("account_id", "chunk")
+             .agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("\n]")).alias("value")))
+    files.write.mode("overwrite").partitionBy("account_id", "chunk").text(out_dir)
+
+
+def write_table(df: DataFrame, path: str | None = None, partition_by: list[str] | None = None,
+                name: str | None = None) -> None:
+    """A8: create or replace a Parquet table at `path`, or the table `name` of
+    the session's catalog. Partitioned rows are rebalanced first, so that a
+    partition's files follow its size and not the number of tasks."""
+    w = (df.hint("rebalance", *partition_by) if partition_by else df).write.mode("overwrite").format("parquet")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    if name:
+        w.saveAsTable(name)
+    else:
+        w.save(path)
 
 
-def write_csv(df: DataFrame, path: str, order: list[str] | None = None, single_file: bool = False) -> None:
-    """A10: CSV with header. `single_file` only for outputs known to be
-    small (a gold view), since it funnels the rows through one task."""
+def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """A10: CSV with header, as many files as the result has partitions."""
     out = df.orderBy(*order) if order else df
-    if single_file:
-        out = out.coalesce(1)
     out.write.mode("overwrite").option("header", True).csv(path)

@@ -116,9 +116,10 @@ def make_step(cfg: PipelineConfig):
     def step(key, pdfs, state):
         acct = key[0]
         if state.hasTimedOut:
-            open_s = state.get[3]
-            state.remove()
-            yield _out([_row(acct, json.loads(open_s))])
+            last_end, last_ms, next_id, open_s, last_key = state.get
+            # the open session ends; the next id and the last play stay, so ids are never used again
+            state.update((last_end, last_ms, next_id, "null", last_key))
+            yield _out([_row(acct, json.loads(open_s))] if open_s != "null" else [])
             return
         pdf = pd.concat(list(pdfs), ignore_index=True)
         pdf = pdf.assign(_s=_us(pdf["play_start_MST"]), _e=_us(pdf["play_end_MST"]))
@@ -144,6 +145,8 @@ def make_step(cfg: PipelineConfig):
         prev = np.concatenate([[np.nan if last_end is None else last_end], pdf["_e"].to_numpy()[:-1]])
         g = pdf["_s"].to_numpy() - prev
         new = np.isnan(g) | (g > gap) | (g < -overlap)
+        if acc is None:
+            new[0] = True
         seg = np.cumsum(new)                      # 0 = continues the open session
         emitted = []
         for sid_local, part in pdf.groupby(seg, sort=True):

@@ -27,12 +27,11 @@ def _same(a, b):
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
-@given(plays=st.lists(PLAY, min_size=1, max_size=60), unit=st.sampled_from(["day", "hour", "minute", "hot"]),
+@given(plays=st.lists(PLAY, min_size=1, max_size=60), unit=st.sampled_from(["day", "hour", "minute"]),
        keyed=st.booleans())
 def test_sessionize_equals_window(spark, plays, unit, keyed):
-    """"hot": day buckets with every account-day over 3 plays split into minutes."""
     base = DEFAULT if keyed else GLOBAL
-    cfg = base.with_(carry_bucket="day", hot_bucket_rows=3) if unit == "hot" else base.with_(carry_bucket=unit)
+    cfg = base.with_(carry_bucket=unit)
     df = _df(spark, plays)
     if not keyed:
         df = df.drop("account_id")
@@ -41,9 +40,9 @@ def test_sessionize_equals_window(spark, plays, unit, keyed):
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-@given(plays=st.lists(PLAY, min_size=1, max_size=60), unit=st.sampled_from(["day", "hour", "hot"]))
+@given(plays=st.lists(PLAY, min_size=1, max_size=60), unit=st.sampled_from(["day", "hour", "minute"]))
 def test_lag_carry_equals_lag(spark, plays, unit):
-    cfg = DEFAULT.with_(carry_bucket="day", hot_bucket_rows=3) if unit == "hot" else DEFAULT.with_(carry_bucket=unit)
+    cfg = DEFAULT.with_(carry_bucket=unit)
     df = _df(spark, plays)
     w = Window.partitionBy("account_id").orderBy(*PLAY_ORDER)
     want = df.withColumn("prev_play_end_MST", F.lag("play_end_MST").over(w)).withColumn(

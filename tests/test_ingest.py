@@ -86,3 +86,37 @@ def test_jsonl_sink_and_load(spark, tmp_path):
     back = read_jsonl(spark, str(tmp_path / "jsonl" / "source_stem=history_2024"), account_id=0)
     assert back.exceptAll(raw.drop("source_file")).count() == 0
     assert raw.drop("source_file").exceptAll(back).count() == 0
+
+
+def test_dirty_files(spark, tmp_path):
+    """White space, text after the array, names with a space, values that do
+    not fit: what is wrong is reported, and nothing else is lost."""
+    rec = {"ts": "2022-01-01T10:00:00Z", "ms_played": 1000, "platform": "ios"}
+    (tmp_path / "in sp").mkdir()
+    d = tmp_path / "in sp"
+    _write(d, "my hist.json", "\n\t " + json.dumps([rec]) + " \n")
+    _write(d, "after.json", json.dumps([rec]) + " garbage")
+    _write(d, "two.json", json.dumps([rec]) + json.dumps([rec]))
+    _write(d, "comma.json", json.dumps([rec]) + ", 1")
+    _write(d, "closed.json", json.dumps([rec]) + "]")
+    _write(d, "values.json", json.dumps([dict(rec, ts="not a time"), dict(rec, ms_played="abc"),
+                                         dict(rec, ms_played=1000.5, shuffle="x"), dict(rec, ms_played="7")]))
+    _write(d, "zero.json", "")
+    for store in (None, str(tmp_path / "store")):
+        res = ingest(spark, str(d), account_id=1, store=store)
+        rep = {r.source_file.rsplit("/", 1)[-1]: (r.status, r.records, r.bad_values) for r in res.report.collect()}
+        assert rep == {"my%20hist.json": ("ok", 1, 0), "after.json": ("invalid_json", 0, 0), "two.json": ("invalid_json", 0, 0),
+                       "comma.json": ("invalid_json", 0, 0), "closed.json": ("invalid_json", 0, 0),
+                       "values.json": ("ok", 4, 4), "zero.json": ("empty", 0, 0)}
+        raw = res.raw.collect()
+        assert len(raw) == 5 and sorted(r.ms_played or 0 for r in raw) == [0, 0, 7, 1000, 1000]
+        assert sum(r.ts is None for r in raw) == 1 and res.quarantine.count() == 4
+
+
+def test_jsonl_bad_lines(spark, tmp_path):
+    from encore.sources.ingest import read_jsonl
+    _write(tmp_path, "a.jsonl", '{"ts":"2022-01-01T10:00:00Z","ms_played":5}\nnot json\n{"ms_played":"x"}\n')
+    rows = read_jsonl(spark, str(tmp_path / "a.jsonl"), 3, bad_lines=str(tmp_path / "bad")).collect()
+    assert [r.ms_played for r in rows] == [5, None]
+    assert [r.value for r in spark.read.text(str(tmp_path / "bad")).collect()] == ["not json"]
+    assert "ms_played" in read_jsonl(spark, str(tmp_path / "a.jsonl"), infer=True).columns

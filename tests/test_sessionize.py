@@ -52,8 +52,8 @@ def test_accounts_independent_and_order_free(spark):
 def test_carry_equals_window_on_data(spark):
     from encore.plans.stages import Stages
     from tests.conftest import SF_MID
-    for cfg in (DEFAULT, GLOBAL, DEFAULT.with_(carry_bucket="hour"), DEFAULT.with_(hot_bucket_rows=10),
-                GLOBAL.with_(hot_bucket_rows=50)):
+    for cfg in (DEFAULT, GLOBAL, DEFAULT.with_(carry_bucket="hour"),
+                GLOBAL.with_(carry_bucket="minute")):
         silver = Stages(spark, SF_MID, cfg).silver
         a = sessionize(silver, cfg, PLAY_ORDER)
         b = sessionize_window(silver, cfg, PLAY_ORDER)
