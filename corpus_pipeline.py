@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encore.llm import decontaminate, mixing, ngram_join, pii, quality_rules
-from encore.llm.common import cut, shared_folder, table
+from encore.llm.common import cut, shared_folder, ship_code, table
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -61,6 +61,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_code(spark)
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):

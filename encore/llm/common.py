@@ -3,7 +3,10 @@ and appending computed columns whose names may clash with the caller's."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,22 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Let the executors import this package where only the driver's sys.path
+    names its folder: no PYTHONPATH, not the working directory, no --py-files."""
+    root = Path(__file__).resolve().parent.parent.parent
+    known = {Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p}
+    sc = spark.sparkContext
+    if not root.is_dir() or root in known or getattr(sc, "_encore_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="encore-code-")) / "encore-code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "encore").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._encore_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and go on from there, so that a lost
     executor costs a re-read and not the work before."""
