@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encore.llm import decontaminate, mixing, ngram_join, pii, quality_rules
-from encore.llm.common import cut, shared_folder, ship_code, table
+from encore.llm.common import cut, prepare, shared_folder, table
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -28,6 +28,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or that the forest isolates."""
+    prepare(spark)
     stats = cut(quality_rules.rule_statistics(docs))
     return quality_rules.reject(docs, quality_rules.fit(stats, table(spark, sf_dir, "labels")))
 
@@ -61,7 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_code(spark)
+    prepare(spark)
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):

@@ -23,6 +23,18 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+ROWS_PER_BATCH = 2000
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every query of this package does first. Texts are long: Python gets
+    ROWS_PER_BATCH of them at a time, unless the session has its own number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":       # Spark's default
+        spark.conf.set(key, ROWS_PER_BATCH)
+    ship_code(spark)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Let the executors import this package where only the driver's sys.path
     names its folder: no PYTHONPATH, not the working directory, no --py-files."""

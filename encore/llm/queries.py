@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encore.llm import chat_template, ctw, decontaminate, language_id, mixing, ngram_join, pii, quality_rules, toxicity, url_rules
-from encore.llm.common import fold, ship_code, table
+from encore.llm.common import fold, prepare, table
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,16 +67,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_chat_template": op2_chat_template, "op3_pii": op3_pii, "op4_decontaminate": op4_decontaminate, "op5_url_rules": op5_url_rules, "op6_mixing": op6_mixing, "op7_ctw": op7_ctw, "op8_toxicity": op8_toxicity, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules}
 
 
-def _shipped(fn):
+def _prepared(fn):
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_code(spark)
+        prepare(spark)
         return fn(spark, sf_dir)
     return run
 
 
 def queries() -> dict:
-    return {name: _shipped(fn) for name, fn in QUERIES.items()}
+    return {name: _prepared(fn) for name, fn in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

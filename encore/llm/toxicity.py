@@ -39,8 +39,9 @@ from encore.llm.common import bounded_sample
 
 REACH = 4                                    # from a subsequence's first letter to its last
 GAPS = [(a, b) for a in range(1, REACH) for b in range(1, REACH) if a + b <= REACH]
-CLOSE = 0.5
-CACHE = 200_000                              # words whose kernel values a task keeps
+FLOOR, CLOSE = 0.3, 0.5
+WORK = 2 << 20                               # bytes of text at a time
+CACHE = 60_000                               # words whose kernel values a task keeps
 
 #: Lower case, and signs that stand for letters.
 LETTER = np.zeros(256, np.uint8)
@@ -99,29 +100,36 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
 
-    def kernel(self, letters: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 4000) -> np.ndarray:
+    def _sparse(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The table by rows: where each row's landmarks begin, their numbers, their values."""
+        if not hasattr(self, "_rows"):
+            r, c = np.nonzero(self.table)
+            self._rows = (np.searchsorted(r, np.arange(len(self.table) + 1)), c, self.table[r, c].astype(float))
+        return self._rows
+
+    def kernel(self, letters: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 10_000) -> np.ndarray:
         """Likeness (0 to about 1) of every word with every landmark."""
-        out = np.zeros((len(starts), self.table.shape[1]), np.float32)
+        m = self.table.shape[1]
+        begin, landmark, value = self._sparse()
+        out = np.zeros((len(starts), m), np.float32)
         for i in range(0, len(starts), block):
             s, e = starts[i:i + block], ends[i:i + block]
-            found = [(w[k > 0], k[k > 0], np.full(int((k > 0).sum()), x, np.float32))
+            found = [(w[k > 0], k[k > 0], np.full(int((k > 0).sum()), x))
                      for w, c, x in _subsequences(letters, s, e, self.decay) for k in [self.row[c]]]
             word, k, weight = (np.concatenate(x) for x in zip(*found, strict=True))
-            if not len(word):
-                continue
-            order = np.argsort(word, kind="stable")
-            word = word[order]
-            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            values = self.table[k[order]] * weight[order, None]
-            own = word[first]
-            out[i + own] = np.add.reduceat(values, first, axis=0) / np.maximum(_norm(e - s, self.decay), 1e-9)[own, None]
+            # one entry for each landmark that has the subsequence
+            n = begin[k + 1] - begin[k]
+            entry = np.repeat(np.arange(len(k)), n)
+            at = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) + begin[k][entry]
+            sums = np.bincount(word[entry] * m + landmark[at], value[at] * weight[entry], len(s) * m).reshape(len(s), m)
+            out[i:i + block] = sums / np.maximum(_norm(e - s, self.decay), 1e-9)[:, None]
         return out
 
     def closest(self, texts: pa.Array, cache: dict) -> np.ndarray:
-        """For every text, its closest word's likeness to each landmark, then
-        log(1 + sum) of what its different words are alike beyond CLOSE."""
+        """For every text, its closest word's likeness to each landmark beyond
+        FLOOR, then log(1 + sum) of its different words' likeness beyond CLOSE."""
         out, m = [], self.table.shape[1]
-        for p in pieces(texts, NOT_SPACE):
+        for p in pieces(texts, NOT_SPACE, size=WORK):
             letters, starts, ends, doc = words_of(p)
             best = np.zeros((p.n, 2 * m), np.float32)
             if len(starts):
@@ -135,19 +143,19 @@ class Model:
                     k[have] = values[at[have]]
                 new = example[~have]
                 k[~have] = self.kernel(letters, starts[new], ends[new])
-                if len(known) + len(new) <= CACHE:
+                if len(known) < CACHE:       # the words met first are the common ones
                     merged = np.concatenate([known, distinct[~have]])
                     order = np.argsort(merged)
                     cache["h"] = merged[order]
                     cache["k"] = np.concatenate([values, k[~have]])[order] if values is not None else k[~have]
-                else:
-                    cache.clear()
-                pair = np.unique(doc * len(distinct) + which)       # each word of a text once
-                doc, which = np.divmod(pair, len(distinct))
-                first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-                best[doc[first], :m] = np.maximum.reduceat(k[which], first, axis=0)
-                over = np.maximum(k - CLOSE, 0)
-                best[doc[first], m:] = np.log1p(np.add.reduceat(over[which], first, axis=0))
+                like = (k > FLOOR).any(1)                           # few words are like any landmark at all
+                doc, which = doc[like[which]], which[like[which]]
+                if len(doc):
+                    doc, which = np.divmod(np.unique(doc * len(distinct) + which), len(distinct))   # each word of a text once
+                    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+                    values = k[which]
+                    best[doc[first], :m] = np.maximum(np.maximum.reduceat(values, first, axis=0) - FLOOR, 0)
+                    best[doc[first], m:] = np.log1p(np.add.reduceat(np.maximum(values - CLOSE, 0), first, axis=0))
             out.append(best)
         return np.concatenate(out) if out else np.zeros((0, 2 * m), np.float32)
 
@@ -230,7 +238,7 @@ def _word_counts(sample: DataFrame) -> DataFrame:
         .groupBy("word").agg(F.sum("toxic").alias("a"), (F.count("*") - F.sum("toxic")).alias("b"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, n_landmarks: int = 128, n_common: int = 16,
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, n_landmarks: int = 96, n_common: int = 16,
           decay: float = 0.7, cost: float = 0.1, seed: int = 8, text: str = "text", doc_id: str = "doc_id") -> Model:
     """From the rows of `docs` that `labels` (doc_id, toxic) marks."""
     marked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
