@@ -346,35 +346,67 @@ def link_classes(df: DataFrame, known: DataFrame, n: int, similar: int, plan: Pl
     return components(links.union(_verified(cross, known, src, n, similar)))
 
 
-def near_duplicates(df: DataFrame, n: int = 5, similar: int = 80, plan: Plan = PLAN_80,
-                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: the least id reachable by links."""
+def _found(df: DataFrame, n: int, similar: int, plan: Plan, doc_id: str, text: str) -> DataFrame:
+    """doc_id, cls, n_shingles, component_id and component_cls, the least class
+    that has a row with the component's id; one row per input row."""
     known = cut(sets(df, n, doc_id, text))
     roots = link_classes(df, known, n, similar, plan, doc_id, text)
     per = known.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("own")) \
         .join(roots, F.col("cls") == F.col("node"), "left").select("cls", "own", F.coalesce("root", "cls").alias("root"))
-    least = per.groupBy("root").agg(F.min("own").alias("component_id"))
-    named = per.join(least, "root").select("cls", "component_id")
-    return known.join(named, "cls", "left") \
-        .select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id"))
-                .otherwise(F.col("component_id")).alias("component_id"))
-
-
-def keep_one(df: DataFrame, doc_id: str = "doc_id", **params) -> DataFrame:
-    """`df` with one document of each component: the one with its least id.
-    Where rows repeat that id, one of them stays; rows without words all stay."""
-    found = cut(near_duplicates(df, doc_id=doc_id, **params))
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = cut(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-               .join(stay.select("doc_id"), "doc_id", "left_anti").distinct())
-    again = stay.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
+    least = per.groupBy("root").agg(F.min(F.struct(F.isnull("own").alias("no_id"), "own", "cls")).alias("least"))
+    named = per.join(least, "root").select("cls", F.col("least.own").alias("component_id"), F.col("least.cls").alias("component_cls"))
+    return known.select("doc_id", "cls", "n_shingles").join(named, "cls", "left") \
+        .select("doc_id", "cls", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id"))
+                .otherwise(F.col("component_id")).alias("component_id"), "component_cls")
+
+
+def near_duplicates(df: DataFrame, n: int = 5, similar: int = 80, plan: Plan = PLAN_80,
+                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id: the least id reachable by links."""
+    return _found(df, n, similar, plan, doc_id, text).select("doc_id", "n_shingles", "component_id")
+
+
+def _with_class(df: DataFrame, name: str, n: int, text: str) -> DataFrame:
+    """`df` and the digest of each text's set (null without words) as `name`."""
+    where = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in pieces(b.column(where).cast(pa.string()), NOT_SPACE, LOWER):
+                doc, h, size = shingles(p, n)
+                own = b.slice(p.first, p.n)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(classes(doc, h, size), mask=size == 0)],
+                                                 names=[*b.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+
+
+def keep_one(df: DataFrame, n: int = 5, similar: int = 80, plan: Plan = PLAN_80,
+             doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`df` with one row of each component: one with its least id (null ids come
+    last) and, of the sets that have that id, the least class. Where rows repeat
+    both id and set, one of them stays; rows without words all stay."""
+    found = cut(_found(df, n, similar, plan, doc_id, text))
+    stays = F.col("cls").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("cls") == F.col("component_cls"))
+    found = found.select("doc_id", "cls", stays.alias("stays"))
+    ids = cut(found.groupBy("doc_id").agg(F.bool_or("stays").alias("any"), F.bool_and("stays").alias("all"),
+                                          F.count_if(F.col("stays") & F.col("cls").isNotNull()).alias("times"))
+              .filter("not all or times > 1"))
     name = free_name(df, "of_group")
     own = F.col(f"`{doc_id}`").eqNullSafe(F.col(name))
-    out = df.join(gone.select(F.col("doc_id").alias(name)), own, "left_anti")
-    again = cut(again)
-    if not again.head(1):
+
+    def named(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+    out = df.join(named(ids.filter("not any").select(F.col("doc_id").alias(name))), own, "left_anti")
+    # ids of which some rows stay and others go: their rows are told apart by the class
+    parted = ids.filter("any").select(F.col("doc_id").alias(name))
+    if not parted.head(1):
         return out
-    twice = again.select(F.col("doc_id").alias(name))
-    return out.join(twice, own, "left_anti").union(out.join(twice, own, "left_semi").dropDuplicates([doc_id]))
+    parted = named(parted)
+    cls = free_name(df, "cls")
+    rows = cut(_with_class(out.join(parted, own, "left_semi"), cls, n, text))
+    left = found.filter("stays and cls is not null").distinct().select(F.col("doc_id").alias(name), F.col("cls").alias(f"{name}_cls"))
+    once = rows.filter(F.col(cls).isNotNull()).dropDuplicates([doc_id, cls]) \
+        .join(left, own & (F.col(cls) == F.col(f"{name}_cls")), "left_semi")
+    return out.join(parted, own, "left_anti").union(rows.filter(F.col(cls).isNull()).drop(cls)).union(once.drop(cls))

@@ -107,6 +107,21 @@ def test_repeats_nulls_and_clashing_names(spark):
     assert J.near_duplicates(docs.limit(0)).count() == 0 and J.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    """Null ids and ids that restart stand for different texts: only copies go."""
+    base = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdefg"]
+    rows = [(None, base[0]), (None, base[1]), (None, base[1]), (None, base[2]), (1, base[2] + " more"),
+            (2, base[3]), (2, base[4]), (3, base[4]), (2, base[4].upper()), (4, base[5]), (4, base[6]), (1, base[6]),
+            (None, None), (2, " "), (9, base[3] + " more")]
+    kept = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as cls", "2 as of_group"))
+    assert kept.columns == ["doc_id", "text", "cls", "of_group"]
+    got = sorted(((r.doc_id, r.text and r.text.lower()) for r in kept.collect()), key=str)
+    assert got == sorted([(None, base[0]), (None, base[1]), (1, base[2] + " more"), (2, base[3]), (2, base[4]), (4, base[5]),
+                          (1, base[6]), (None, None), (2, " ")], key=str)
+    plain = [(None, base[0]), (None, base[1])]
+    assert J.keep_one(spark.createDataFrame(plain, "doc_id long, text string")).count() == 2
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 450)] + [(5, 5)]
