@@ -118,6 +118,16 @@ def test_rare_words_by_shuffle_agree(spark, monkeypatch):
         assert a[:3] == b[:3] and a[3] == pytest.approx(b[3])
 
 
+@pytest.mark.parametrize("keep,pairs", [(30, 1 << 22), (30, 500), (300, 1), (2, 1)])
+def test_rare_contexts_count_in_scores(spark, monkeypatch, keep, pairs):
+    docs = documents(spark, ODD_TEXTS + random_texts(120) + ["an ant and a hand", "zzz qqq", "the w1 band"])
+    want = {r.doc_id: r.score for r in C.score(docs, F.col("doc_id") % 5 != 1).collect()}
+    monkeypatch.setattr(C, "KEEP", keep)
+    monkeypatch.setattr(C, "PAIRS", pairs)
+    got = {r.doc_id: r.score for r in C.score(docs, F.col("doc_id") % 5 != 1).collect()}
+    assert got == pytest.approx(want, rel=1e-5) and len(got) == docs.count()
+
+
 def test_pieces_code_texts_apart():
     texts = pa.array(ODD_TEXTS + ["ab", "", "c"], pa.string())
     for p in pieces(texts, NOT_SPACE, LOWER):
