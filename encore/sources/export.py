@@ -25,12 +25,14 @@ def write_jsonl(raw: DataFrame, out_dir: str) -> None:
 
 def write_export_files(raw: DataFrame, out_dir: str, per_file: int = 5000) -> None:
     """Raw plays as export files: one JSON array of about `per_file` records a
-    file, in folders by account and chunk."""
-    n, accounts = raw.agg(F.count(F.lit(1)), F.countDistinct("account_id")).first()
-    chunks = max(1, -(-n // max(1, accounts * per_file)))
+    file, in folders by account and chunk; an account has as many chunks as its
+    own rows call for. Records that are equal in all columns share a file."""
+    per = raw.groupBy("account_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_file)).alias("chunks")) \
+        .select(F.col("account_id").alias("of_account"), "chunks")
     iso = F.concat(F.regexp_replace(F.col("ts").cast("string"), " ", "T"), F.lit("Z"))
     rec = F.to_json(F.struct(*[(iso if c == "ts" else F.col(c)).alias(c) for c in RAW_COLUMNS if c != "account_id"]))
-    files = (raw.select("account_id", F.pmod(F.xxhash64(*RAW_COLUMNS), F.lit(chunks)).alias("chunk"), rec.alias("j"))
+    files = (raw.join(per, F.col("account_id").eqNullSafe(F.col("of_account")))
+             .select("account_id", F.pmod(F.xxhash64(*RAW_COLUMNS), F.col("chunks")).alias("chunk"), rec.alias("j"))
              .groupBy("account_id", "chunk")
              .agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("\n]")).alias("value")))
     files.write.mode("overwrite").partitionBy("account_id", "chunk").text(out_dir)

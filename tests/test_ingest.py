@@ -120,3 +120,16 @@ def test_jsonl_bad_lines(spark, tmp_path):
     assert [r.ms_played for r in rows] == [5, None]
     assert [r.value for r in spark.read.text(str(tmp_path / "bad")).collect()] == ["not json"]
     assert "ms_played" in read_jsonl(spark, str(tmp_path / "a.jsonl"), infer=True).columns
+
+
+def test_export_files_follow_each_accounts_own_rows(spark, tmp_path):
+    from encore.schemas import RAW
+    from encore.sources.export import write_export_files
+    # one account with most rows, one without an account id, thirty with one row each
+    ids = spark.range(3080).select(F.col("id").alias("ms_played"), F.when(F.col("id") < 3000, 1).when(F.col("id") >= 3050, F.col("id"))
+                                   .alias("account_id"))
+    raw = ids.select(*[(F.col(f.name) if f.name in ids.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW.fields])
+    write_export_files(raw, str(tmp_path / "out"), per_file=100)
+    files = [json.loads(p.read_text(encoding="utf-8")) for p in (tmp_path / "out").rglob("*.txt")]
+    assert sorted(r["ms_played"] for f in files for r in f) == list(range(3080))
+    assert max(map(len, files)) < 200 and 61 <= len(files) <= 62
