@@ -7,7 +7,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encore.llm import chat_template, ctw, decontaminate, language_id, mixing, ngram_join, pii, quality_rules, toxicity, url_rules
+from encore.llm import bbit_minhash, chat_template, ctw, decontaminate, importance, language_id, mixing, ngram_join, periodic_runs, pii
+from encore.llm import quality_rules, toxicity, url_rules
 from encore.llm.common import fold, prepare, table
 
 
@@ -64,7 +65,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept", "score")
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_chat_template": op2_chat_template, "op3_pii": op3_pii, "op4_decontaminate": op4_decontaminate, "op5_url_rules": op5_url_rules, "op6_mixing": op6_mixing, "op7_ctw": op7_ctw, "op8_toxicity": op8_toxicity, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic_runs.planted().alias("text"))
+    return periodic_runs.digest(periodic_runs.collapse(docs))
+
+
+def op12_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bbit_minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, similar=85)
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_chat_template": op2_chat_template, "op3_pii": op3_pii, "op4_decontaminate": op4_decontaminate, "op5_url_rules": op5_url_rules, "op6_mixing": op6_mixing, "op7_ctw": op7_ctw, "op8_toxicity": op8_toxicity, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules,
+           "op11_periodic_runs": op11_periodic_runs, "op12_bbit_minhash": op12_bbit_minhash, "op13_importance": op13_importance}
 
 
 def _prepared(fn):
@@ -80,4 +96,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_template": chat_template.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op5_url_rules": url_rules.oracle(), "op6_mixing": mixing.ORACLE}
+    return {"op2_chat_template": chat_template.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op5_url_rules": url_rules.oracle(), "op6_mixing": mixing.ORACLE,
+            "op11_periodic_runs": periodic_runs.ORACLE, "op12_bbit_minhash": bbit_minhash.oracle(3, 85), "op13_importance": importance.ORACLE}
