@@ -6,7 +6,9 @@ low BITS bits of each minimum are retained, in BITS packed bit planes, and the
 similarity of two sets is estimated by counting equal slots: of a share e of
 equal slots, c = 2^-BITS collide by chance, so (e - c) / (1 - c) is the estimate.
 Candidates whose estimate a linked pair has with a chance below `CHANCE` are
-left out; what passes is decided by the exact intersection of the full sets.
+left out. The exact check of the others begins with what bounds it (sizes, and the
+parity of shingle counts in hash cells, whose distance never exceeds the difference
+of the sets) and ends with the intersection of the full sets.
 
 Bands come from two random orders of the slots, so a pair that just links (0.85)
 shares none with a chance of about 1e-10, and a pair of similarity 0.3 shares one
@@ -41,7 +43,7 @@ from pyspark.sql import types as T
 from encore.llm.bytewords import LOWER, NOT_SPACE, mix, pieces
 from encore.llm.common import cut
 from encore.llm.components import components
-from encore.llm.ngram_join import classes, shingles
+from encore.llm.ngram_join import SKETCH, classes, shingles, sketches
 from encore.llm.sql import shingle_components
 
 SLOTS, BITS, WIDTH, ORDERS = 256, 2, 7, 2
@@ -128,13 +130,23 @@ def estimate(a: str, b: str) -> Column:
 
 
 _SIGNATURE = [f"b{i}" for i in range(PLANES)]
+_PARITY = [f"s{i}" for i in range(SKETCH)]
+
+
+def may_link(similar: int, a: str = "a", b: str = "b") -> Column:
+    """The estimate, the sizes and the parities of two sets allow a link."""
+    na, nb = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    differ = [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in _PARITY]
+    most = F.floor((na + nb) * F.lit(100 - similar) / F.lit(100 + similar))
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * similar) & (equal_slots(a, b) >= least_equal(similar)) \
+        & (sum(differ[1:], differ[0]) <= most)
 
 
 def signatures(df: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, cls (null without words), n_shingles, the packed signature and the
-    band keys (null in further copies of a class that a task reads)."""
+    """doc_id, cls (null without words), n_shingles, the packed signature, parities
+    and the band keys (null in further copies of a class that a task reads)."""
     src = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    names = ["doc_id", "cls", "n_shingles", *_SIGNATURE, "bands"]
+    names = ["doc_id", "cls", "n_shingles", *_SIGNATURE, *_PARITY, "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -152,12 +164,13 @@ def signatures(df: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text"
                 least = minima(doc[at], h[at], own)
                 where = np.cumsum(new) - 1                       # column of a new text
                 sig = packed(least)[where] if least.shape[1] else np.zeros((p.n, PLANES), np.int64)
-                keys = band_keys(least)
+                keys, odd = band_keys(least), sketches(doc, h, p.n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(new) * len(BANDS)]).astype(np.int32)),
                                                  pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(p.first, p.n), pa.array(cls, mask=size == 0), pa.array(size.astype(np.int64)),
                      *(pa.array(np.ascontiguousarray(sig[:, i]), mask=~new) for i in range(PLANES)),
+                     *(pa.array(np.ascontiguousarray(odd[:, i]), mask=~new) for i in range(SKETCH)),
                      pc.if_else(pa.array(new), lists, pa.scalar(None, lists.type))], names=names)
 
     return src.mapInArrow(run, T.StructType([
@@ -165,17 +178,17 @@ def signatures(df: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text"
         T.StructField("bands", T.ArrayType(T.LongType()))]))
 
 
-def _groups(per: DataFrame, bands: DataFrame) -> DataFrame:
+def _groups(bands: DataFrame) -> DataFrame:
     """(least, cls) of all buckets of two and more classes, by their least class."""
     keys = bands.select("cls", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("top")).filter("least < top")
     return keys.join(shared.select("key", "least"), "key").select("least", "cls").distinct()
 
 
-def _exact(pairs: DataFrame, known: DataFrame, df: DataFrame, n: int, similar: int, doc_id: str, text: str) -> DataFrame:
+def _exact(pairs: DataFrame, per: DataFrame, df: DataFrame, n: int, similar: int, doc_id: str, text: str) -> DataFrame:
     """The pairs (u, v) of classes whose full sets link."""
     ends = pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct()
-    pick = cut(known.join(ends, "cls").groupBy("cls").agg(F.min("doc_id").alias("pick")).select("pick").distinct())
+    pick = cut(per.join(ends, "cls", "left_semi").select(F.col("own").alias("pick")).distinct())
     if pick.count() <= BROADCAST_IDS:
         pick = F.broadcast(pick)
     texts = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -197,21 +210,26 @@ def _exact(pairs: DataFrame, known: DataFrame, df: DataFrame, n: int, similar: i
     return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").filter(same * 100 >= total * similar).select("u", "v")
 
 
-def link_classes(df: DataFrame, known: DataFrame, n: int, similar: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(node, root) of linked classes; `known` are the cut signatures of `df`."""
-    kept = ["n_shingles", *_SIGNATURE]
-    first = known.filter("bands is not null")
-    per = cut(first.groupBy("cls").agg(*(F.first(c).alias(c) for c in kept)))
+def per_class(known: DataFrame) -> DataFrame:
+    """One row per class: its least id, size, signature and parities. Copies meet
+    in partial aggregates first."""
+    kept = ["n_shingles", *_SIGNATURE, *_PARITY]
+    return known.filter("cls is not null").groupBy("cls") \
+        .agg(F.min("doc_id").alias("own"), *(F.first(c, ignorenulls=True).alias(c) for c in kept))
+
+
+def link_classes(df: DataFrame, known: DataFrame, per: DataFrame, n: int, similar: int, doc_id: str = "doc_id",
+                 text: str = "text") -> DataFrame:
+    """(node, root) of linked classes; `known` and `per` are the cut signatures of
+    `df` and of its classes."""
     # sets of so few shingles only link with equal ones
     fewest = similar // (100 - similar)
-    groups = cut(_groups(per, first.filter(F.col("n_shingles") >= fewest).select("cls", "bands")))
-    need = least_equal(similar)
-    na, nb = F.col("a.n_shingles"), F.col("b.n_shingles")
-    may = (F.least(na, nb) * 100 >= F.greatest(na, nb) * similar) & (equal_slots("a", "b") >= need)
+    groups = cut(_groups(known.filter("bands is not null").filter(F.col("n_shingles") >= fewest).select("cls", "bands")))
+    may = may_link(similar)
     a, b = per.alias("a"), per.alias("b")
     stars = cut(groups.filter("cls <> least").select(F.col("cls").alias("u"), F.col("least").alias("v"))
                 .join(a, F.col("u") == F.col("a.cls")).join(b, F.col("v") == F.col("b.cls")).filter(may).select("u", "v"))
-    check = lambda pairs: _exact(cut(pairs), known, df, n, similar, doc_id, text)
+    check = lambda pairs: _exact(cut(pairs), per, df, n, similar, doc_id, text)
     # one partner each, the least that may link, joins most of what belongs together
     one = stars.groupBy("u").agg(F.min("v").alias("v"))
     links = cut(check(one))
@@ -243,16 +261,16 @@ def link_classes(df: DataFrame, known: DataFrame, n: int, similar: int, doc_id:
     cross = cut(cross)
     if not cross.head(1):
         return roots
-    return components(links.union(_exact(cross, known, df, n, similar, doc_id, text)))
+    return components(links.union(_exact(cross, per, df, n, similar, doc_id, text)))
 
 
 def near_duplicates(df: DataFrame, n: int = 5, similar: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable by links) and kept
     (the id is the component's own); one row per input row."""
     known = cut(signatures(df, n, doc_id, text))
-    roots = link_classes(df, known, n, similar, doc_id, text)
-    per = known.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("own")) \
-        .join(roots, F.col("cls") == F.col("node"), "left").select("cls", "own", F.coalesce("root", "cls").alias("root"))
+    per = cut(per_class(known))
+    roots = link_classes(df, known, per, n, similar, doc_id, text)
+    per = per.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "own", F.coalesce("root", "cls").alias("root"))
     least = per.groupBy("root").agg(F.min("own").alias("component_id"))
     named = per.join(least, "root").select("cls", "component_id")
     out = known.select("doc_id", "cls", "n_shingles").join(named, "cls", "left")
