@@ -18,8 +18,8 @@ not impossible; sizes out of proportion are left out for certain.
 Equal sets are one class (a 64-bit digest) and classes are what is joined. In a
 bucket every class is compared with the least one, buckets with one least class
 counting as one; pairs of classes of different components that share a bucket
-are compared as well, the classes of its most frequent component in salted parts,
-so a bucket's own components and not its size decide how much is compared.
+are compared as well, the smaller components of a bucket with all of it, a large
+bucket in parts of `PART` classes.
 
 Cases: without words or text a set is empty and links with nothing; fewer than `n`
 words are one shingle; a very long text is a piece of its own; rows with equal ids
@@ -48,8 +48,8 @@ from encore.llm.sql import shingle_components
 
 SLOTS, BITS, WIDTH, ORDERS = 256, 2, 7, 2
 CHANCE = 1e-9
-#: A mixed bucket's most frequent component is dealt to so many parts.
-SALT = 16
+#: A mixed bucket is dealt to parts of about so many classes.
+PART = 1024
 #: Up to so many ids are broadcast to pick texts; beyond that they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 U = np.uint64
@@ -247,11 +247,11 @@ def link_classes(df: DataFrame, known: DataFrame, per: DataFrame, n: int, simila
     # buckets that still hold more than one component
     placed = groups.join(roots, F.col("cls") == F.col("node"), "left").select("least", "cls", F.coalesce("root", "cls").alias("root"))
     sizes = placed.groupBy("least", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("least").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts")) \
-        .filter("parts > 1").select("least", F.col("main.root").alias("main"))
-    placed = cut(placed.join(main, "least").join(per, "cls"))
-    minor = placed.filter("root <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    every = placed.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALT)).cast("int"))
+    main = cut(sizes.groupBy("least").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("n"))
+               .filter("roots > 1").select("least", F.col("main.root").alias("main"), F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+    placed = cut(placed.join(main, "least")).join(per.drop("own"), "cls")
+    minor = placed.filter("root <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    every = placed.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     a, b = minor.alias("a"), every.alias("b")
     either = (F.col("b.root") == F.col("b.main")) | (F.col("a.cls") > F.col("b.cls"))
     cross = a.join(b, (F.col("a.least") == F.col("b.least")) & (F.col("a.salt") == F.col("b.salt"))
