@@ -6,20 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def most_frequent(c: Column) -> Column:
-    """Most frequent value of a group, NULL counted as a value.
-
-    Ties go to the smallest value, NULL first. Built on mode(), a mergeable
-    hash-map aggregate, so it runs partial (map side) like count or sum.
-    """
-    # false sorts before true: NULL comes before every value, the empty string too
-    return F.mode(F.struct(c.isNotNull().alias("known"), c.cast("string").alias("value")), True)["value"]
-
-
 def count_true(c: Column) -> Column:
     """COUNTIF(flag): NULL counts as not true."""
     return F.count_if(F.coalesce(c, F.lit(False)))
 
 
+def flag(c: Column) -> Column:
+    """1 where true, 0 where false or NULL: its sum is COUNTIF."""
+    return F.when(c, 1).otherwise(0).cast("long")
+
+
 def count_all() -> Column:
     return F.count(F.lit(1))

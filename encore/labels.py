@@ -73,6 +73,7 @@ PERIOD_ALL, PERIOD_YEARLY = "All Time", "Yearly"
 CONTENT_ARTIST, CONTENT_TRACK = "Artist", "Track"
 
 # check labels
+SECTION_TOP_ARTISTS = "Top 10 Artists"
 CHECK_DUPLICATES = "Duplicate Check"
 CHECK_PODCAST = "Podcast Leakage Check"
 CHECK_DATE_RANGE = "Date Range"

@@ -9,8 +9,9 @@ from encore import labels as LB
 from encore.config import PipelineConfig
 from encore.functions import rounding as R
 from encore.functions import timeutil as TU
-from encore.functions.aggregates import count_all, count_true, most_frequent
+from encore.functions.aggregates import flag
 from encore.operators.carry import sessionize
+from encore.operators.rollup import summarise
 from encore.schemas import PLAY_ORDER, SESSION_COLUMNS
 
 
@@ -21,21 +22,17 @@ def plays_with_session_id(silver: DataFrame, cfg: PipelineConfig) -> DataFrame:
 def session_metrics(plays: DataFrame, cfg: PipelineConfig) -> DataFrame:
     """One row per (keys, session_id) with the session measures (unclassified)."""
     keys = list(cfg.keys)
-    n = F.col("tracks_played")
-    g = plays.groupBy(*keys, "session_id").agg(
-        F.min("play_start_MST").alias("session_start"),
-        F.max("play_end_MST").alias("session_end"),
-        count_all().alias("tracks_played"),
-        F.countDistinct("artist_name").alias("unique_artists"),
-        F.countDistinct("album_name").alias("unique_albums"),
-        F.countDistinct("device").alias("devices_used"),
-        F.sum(R.minutes_c(F.col("ms_played"))).alias("_min_c"),
-        count_true(F.col("shuffle_flag")).alias("_shuffle"),
-        count_true(F.col("skipped_flag")).alias("_skip"),
-        F.count_if(F.col("completion_category") == LB.COMPLETION_COMPLETE).alias("_complete"),
-        count_true(F.col("offline_flag")).alias("offline_plays"),
-        most_frequent(F.col("device")).alias("primary_device"),
-    )
+    g = summarise(plays, [*keys, "session_id"], {
+        "session_start": ("min", F.col("play_start_MST")),
+        "session_end": ("max", F.col("play_end_MST")),
+        "tracks_played": ("count", F.lit(1)),
+        "_min_c": ("sum", R.minutes_c(F.col("ms_played"))),
+        "_shuffle": ("sum", flag(F.col("shuffle_flag"))),
+        "_skip": ("sum", flag(F.col("skipped_flag"))),
+        "_complete": ("sum", flag(F.col("completion_category") == LB.COMPLETION_COMPLETE)),
+        "offline_plays": ("sum", flag(F.col("offline_flag"))),
+    }, distinct={"unique_artists": "artist_name", "unique_albums": "album_name", "devices_used": "device"},
+        frequent={"primary_device": "device"})
     return finish_metrics(g, keys)
 
 

@@ -14,6 +14,7 @@ from encore.functions import rounding as R
 from encore.functions import timeutil as TU
 from encore.functions.aggregates import count_all, count_true
 from encore.operators.carry import lag_carry
+from encore.operators.rollup import summarise, surplus
 from encore.operators.shares import top_n, with_share
 from encore.plans.profile import distribution
 from encore.plans.stages import Stages
@@ -103,21 +104,23 @@ def eda_content_type(st: Stages) -> DataFrame:
 
 
 def eda_duplicates(st: Stages) -> DataFrame:
-    ts_s = F.col("ts").cast("string")
-    g = st.raw.groupBy(*st.keys).agg(
-        (count_all() - F.countDistinct(F.concat(ts_s, _track(), _ms().cast("string")))).alias("_a"),
-        (count_all() - F.countDistinct(F.concat(ts_s, F.col("spotify_track_uri")))).alias("_b"))
+    """COUNT(*) - COUNT(DISTINCT ...) of two keys, from one row per key value and
+    its number of plays; a play with a NULL in the key counts as surplus."""
+    ts = F.col("ts")
+    g = surplus(st.raw, st.keys, {"_a": [ts, _track(), _ms()], "_b": [ts, F.col("spotify_track_uri")]})
     a, b = LB.DUPLICATE_LABELS
     return _unpivot(g, st.keys, "check_type", "duplicate_count", [(a, F.col("_a")), (b, F.col("_b"))])
 
 
 def eda_by_month(st: Stages) -> DataFrame:
     c = _clock(st)
-    return st.raw.groupBy(*st.keys, TU.year(c).alias("year"), TU.month(c).alias("month")).agg(
-        count_all().alias("plays"),
-        F.countDistinct(F.to_date(c)).alias("active_days"),
-        R.rround(count_all(), F.countDistinct(F.to_date("ts")), 1).alias("avg_plays_per_day"),
-        _hours(1).alias("total_hours"))
+    days = st.raw.select(*st.keys, TU.year(c).alias("year"), TU.month(c).alias("month"), F.to_date(c).alias("_day"),
+                         F.to_date("ts").alias("_utc_day"), "ms_played")
+    g = summarise(days, [*st.keys, "year", "month"], {"plays": ("count", F.lit(1)), "_ms": ("sum", _ms())},
+                  distinct={"active_days": "_day", "_utc": "_utc_day"})
+    return g.select(*st.keys, "year", "month", "plays", "active_days",
+                    R.rround(F.col("plays"), F.col("_utc"), 1).alias("avg_plays_per_day"),
+                    R.rround(F.col("_ms"), 3600000, 1).alias("total_hours"))
 
 
 def eda_by_weekday(st: Stages) -> DataFrame:

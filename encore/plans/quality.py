@@ -13,6 +13,7 @@ from encore.functions import rounding as R
 from encore.functions import timeutil as TU
 from encore.functions.aggregates import count_all
 from encore.operators.carry import lag_carry, lag_carry_where
+from encore.operators.rollup import surplus
 from encore.operators.shares import join_on_keys, top_n, with_share
 from encore.operators.silver import silver
 from encore.plans.stages import Stages
@@ -21,10 +22,8 @@ from encore.schemas import PLAY_ORDER
 
 # ------------------------------------------------------------------ silver
 def dq_silver_duplicates(st: Stages) -> DataFrame:
-    key = F.concat(F.col("play_end_MST").cast("string"), F.col("track_uri"), F.col("ms_played").cast("string"))
-    return st.silver.groupBy(*st.keys).agg(
-        F.lit(LB.CHECK_DUPLICATES).alias("check_type"),
-        (count_all() - F.countDistinct(key)).alias("remaining_duplicates"))
+    g = surplus(st.silver, st.keys, {"remaining_duplicates": [F.col("play_end_MST"), F.col("track_uri"), F.col("ms_played")]})
+    return g.select(*st.keys, F.lit(LB.CHECK_DUPLICATES).alias("check_type"), "remaining_duplicates")
 
 
 def dq_silver_podcast_leak(st: Stages) -> DataFrame:
@@ -45,7 +44,7 @@ def dq_silver_date_range(st: Stages) -> DataFrame:
 def dq_silver_top_artists(st: Stages, n: int = 10) -> DataFrame:
     g = st.silver.groupBy(*st.keys, "artist_name").agg(
         count_all().alias("plays"), F.sum(R.minutes_c(F.col("ms_played"))).alias("_c"))
-    g = g.select(F.lit("Top 10 Artists").alias("section"), *st.keys, "artist_name", "plays",
+    g = g.select(F.lit(LB.SECTION_TOP_ARTISTS).alias("section"), *st.keys, "artist_name", "plays",
                  R.rround(F.col("_c"), 100, 1).alias("total_minutes"),
                  R.rround(F.col("_c"), F.col("plays") * 100, 2).alias("avg_minutes_per_play"))
     return top_n(g, st.keys, [F.desc("plays"), F.asc_nulls_first("artist_name")], n)
@@ -276,14 +275,18 @@ def expectations(st: Stages) -> DataFrame:
         return df.select(F.lit(name).alias("expectation"), *st.keys,
                          F.col(col).cast("long").alias("observed"), F.lit(0).cast("long").alias("expected"))
 
+    gaps = dq_intra_session_gaps(st)
+    gaps = gaps.select(*st.keys, F.inline(F.array(*[F.struct(F.lit(n).alias("expectation"), F.col(c).cast("long").alias("observed"))
+                                                    for n, c in (("no gap over the limit inside a session", "inner_gaps_over_limit"),
+                                                                 ("no severe overlap inside a session", "inner_overlaps_over_limit"))]))) \
+        .select("expectation", *st.keys, "observed", F.lit(0).cast("long").alias("expected"))
     neg = (st.sessions.groupBy(*st.keys)
            .agg(F.count_if(F.col("session_duration_minutes") < 0).alias("negative_durations")))
     parts = [
         row(dq_silver_duplicates(st), "no remaining duplicates", "remaining_duplicates"),
         row(dq_silver_podcast_leak(st), "no podcasts in silver", "podcast_count"),
         row(dq_sessions_orphans(st), "every clean play in one session", "difference"),
-        row(dq_intra_session_gaps(st), "no gap over the limit inside a session", "inner_gaps_over_limit"),
-        row(dq_intra_session_gaps(st), "no severe overlap inside a session", "inner_overlaps_over_limit"),
+        gaps,
         row(neg, "no negative session duration", "negative_durations"),
     ]
     out = reduce(DataFrame.unionByName, parts)

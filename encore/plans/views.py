@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from encore import labels as LB
 from encore.functions import rounding as R
 from encore.functions import timeutil as TU
-from encore.functions.aggregates import count_all, count_true, most_frequent
+from encore.functions.aggregates import count_all, flag
+from encore.operators.ranking import with_tile
+from encore.operators.rollup import summarise
 from encore.operators.shares import top_n
 from encore.plans.stages import Stages
 
@@ -23,13 +25,33 @@ def _hours_c() -> Column:
     return R.hours_c(F.col("ms_played"))
 
 
-def _rates(n: Column) -> list[Column]:
+#: Counters of a group of plays, from which `_rates` makes percentages.
+def _counters() -> dict[str, tuple[str, Column]]:
+    return {"_skip": ("sum", flag(F.col("skipped_flag"))),
+            "_complete": ("sum", flag(F.col("completion_category") == LB.COMPLETION_COMPLETE)),
+            "_shuffle": ("sum", flag(F.col("shuffle_flag"))), "_c": ("sum", _min_c())}
+
+
+def _rates(n: str) -> list[Column]:
     """skip / completion / shuffle percentages of a group of plays."""
-    return [
-        R.pct(count_true(F.col("skipped_flag")), n).alias("skip_rate"),
-        R.pct(F.count_if(F.col("completion_category") == LB.COMPLETION_COMPLETE), n).alias("completion_rate"),
-        R.pct(count_true(F.col("shuffle_flag")), n).alias("shuffle_usage_pct"),
-    ]
+    return [R.pct(F.col("_skip"), F.col(n)).alias("skip_rate"), R.pct(F.col("_complete"), F.col(n)).alias("completion_rate"),
+            R.pct(F.col("_shuffle"), F.col(n)).alias("shuffle_usage_pct")]
+
+
+def _dates() -> dict[str, tuple[str, Column]]:
+    return {"_first": ("min", F.col("play_date")), "_last": ("max", F.col("play_date"))}
+
+
+def _span() -> Column:
+    return F.datediff("_last", "_first").cast("long")
+
+
+def _since(st: Stages) -> Column:
+    return F.datediff(TU.as_of_date(st.cfg), F.col("_last")).cast("long")
+
+
+def _average(n: str) -> Column:
+    return R.rround(F.col("_c"), F.col(n) * 100, 2)
 
 
 def _plays(st: Stages) -> DataFrame:
@@ -37,107 +59,88 @@ def _plays(st: Stages) -> DataFrame:
     return st.plays_sid if st.cfg.session_counts else st.silver
 
 
-def _sessions_count(st: Stages, alias: str) -> list[Column]:
-    return [F.countDistinct("session_id").alias(alias)] if st.cfg.session_counts else []
+def _sessions_count(st: Stages, alias: str) -> dict[str, str]:
+    return {alias: "session_id"} if st.cfg.session_counts else {}
 
 
 def view_artist_stats(st: Stages) -> DataFrame:
-    n = count_all()
-    last = F.max("play_date")
-    g = _plays(st).groupBy(*st.keys, "artist_name").agg(
-        n.alias("total_plays"),
-        F.countDistinct("track_name").alias("unique_tracks"),
-        *_sessions_count(st, "sessions_featured"),
-        R.from_cents(F.sum(_min_c())).alias("total_minutes"),
-        R.from_cents(F.sum(_hours_c())).alias("total_hours"),
-        R.rround(F.sum(_min_c()), n * 100, 2).alias("avg_track_duration"),
-        F.min("play_date").alias("first_play_date"),
-        last.alias("last_play_date"),
-        F.datediff(last, F.min("play_date")).cast("long").alias("days_span"),
-        most_frequent(F.col("time_of_day")).alias("preferred_time"),
-        *_rates(n),
-        most_frequent(F.col("device")).alias("primary_device"),
-        F.countDistinct("device").alias("devices_used"),
-        F.datediff(TU.as_of_date(st.cfg), last).cast("long").alias("days_since_last_play"))
-    return g.filter(F.col("total_plays") >= st.cfg.min_artist_plays)
-
-
-def view_track_stats(st: Stages) -> DataFrame:
-    n = count_all()
-    last = F.max("play_date")
-    g = _plays(st).groupBy(*st.keys, "track_name", "artist_name", "album_name").agg(
-        n.alias("play_count"),
-        *_sessions_count(st, "sessions_played_in"),
-        R.rround(F.sum(_min_c()), 6000, 2).alias("total_hours_listened"),
-        R.rround(F.sum(_min_c()), n * 100, 2).alias("avg_play_duration"),
-        F.min("play_date").alias("first_played"),
-        last.alias("last_played"),
-        F.datediff(last, F.min("play_date")).cast("long").alias("listening_span_days"),
-        most_frequent(F.col("time_of_day")).alias("most_common_time"),
-        *_rates(n),
-        F.datediff(TU.as_of_date(st.cfg), last).cast("long").alias("days_since_last_play"))
-    return g.filter(F.col("play_count") >= st.cfg.min_track_plays)
+    sessions = _sessions_count(st, "sessions_featured")
+    g = summarise(_plays(st), [*st.keys, "artist_name"],
+                  {"total_plays": ("count", F.lit(1)), "_h": ("sum", _hours_c()), **_counters(), **_dates()},
+                  distinct={"unique_tracks": "track_name", "devices_used": "device", **sessions},
+                  frequent={"preferred_time": "time_of_day", "primary_device": "device"})
+    return g.filter(F.col("total_plays") >= st.cfg.min_artist_plays).select(
+        *st.keys, "artist_name", "total_plays", "unique_tracks", *sessions,
+        R.from_cents(F.col("_c")).alias("total_minutes"), R.from_cents(F.col("_h")).alias("total_hours"),
+        _average("total_plays").alias("avg_track_duration"),
+        F.col("_first").alias("first_play_date"), F.col("_last").alias("last_play_date"), _span().alias("days_span"),
+        "preferred_time", *_rates("total_plays"), "primary_device", "devices_used", _since(st).alias("days_since_last_play"))
+
+
+def view_track_stats(st: Stages, approximate: bool = False) -> DataFrame:
+    """`approximate`: most_common_time from a sketch (approx_top_k) in one aggregate."""
+    sessions = _sessions_count(st, "sessions_played_in")
+    names = ["track_name", "artist_name", "album_name"]
+    g = summarise(_plays(st), [*st.keys, *names], {"play_count": ("count", F.lit(1)), **_counters(), **_dates()},
+                  distinct=sessions, frequent={"most_common_time": "time_of_day"}, approximate=approximate)
+    return g.filter(F.col("play_count") >= st.cfg.min_track_plays).select(
+        *st.keys, *names, "play_count", *sessions,
+        R.rround(F.col("_c"), 6000, 2).alias("total_hours_listened"), _average("play_count").alias("avg_play_duration"),
+        F.col("_first").alias("first_played"), F.col("_last").alias("last_played"), _span().alias("listening_span_days"),
+        "most_common_time", *_rates("play_count"), _since(st).alias("days_since_last_play"))
 
 
 def view_temporal_patterns(st: Stages) -> DataFrame:
-    n = count_all()
     dims = ["play_year", "play_month", "play_day_week", "play_hour", "time_of_day"]
-    g = _plays(st).groupBy(*st.keys, *dims).agg(
-        n.alias("total_plays"),
-        *_sessions_count(st, "total_sessions"),
-        F.countDistinct("artist_name").alias("unique_artists"),
-        F.countDistinct("track_name").alias("unique_tracks"),
-        R.from_cents(F.sum(_min_c())).alias("total_minutes"),
-        R.rround(F.sum(_min_c()), n * 100, 2).alias("avg_track_duration"),
-        *_rates(n))
+    sessions = _sessions_count(st, "total_sessions")
+    g = summarise(_plays(st), [*st.keys, *dims], {"total_plays": ("count", F.lit(1)), **_counters()},
+                  distinct={"unique_artists": "artist_name", "unique_tracks": "track_name", **sessions})
     # AVG(COUNT(*)) OVER (year, month, weekday), computed on the aggregated rows
     w = Window.partitionBy(*st.keys, "play_year", "play_month", "play_day_week")
     avg = R.rround(F.sum("total_plays").over(w), F.count(F.lit(1)).over(w), 1)
-    extra = ["total_sessions"] if st.cfg.session_counts else []
-    return g.select(*st.keys, *dims, "total_plays", *extra, "unique_artists", "unique_tracks", "total_minutes",
-                    "avg_track_duration", avg.alias("avg_plays_per_hour"),
-                    "skip_rate", "completion_rate", "shuffle_usage_pct")
+    return g.select(*st.keys, *dims, "total_plays", *sessions, "unique_artists", "unique_tracks",
+                    R.from_cents(F.col("_c")).alias("total_minutes"), _average("total_plays").alias("avg_track_duration"),
+                    avg.alias("avg_plays_per_hour"), *_rates("total_plays"))
 
 
 def view_session_behavior(st: Stages) -> DataFrame:
     dims = ["session_year", "session_month", "session_day_of_week", "session_start_hour",
             "session_length_category", "session_type", "engagement_level"]
-    n = count_all()
+    n = F.col("session_count")
+    cents = ["session_duration_minutes", "diversity_score", "weighted_diversity_score", "skip_rate", "completion_rate",
+             "shuffle_usage_pct"]
+    g = summarise(st.sessions, [*st.keys, *dims], {
+        "session_count": ("count", F.lit(1)), "total_tracks": ("sum", F.col("tracks_played")),
+        "_artists": ("sum", F.col("unique_artists")), **{f"_{c}": ("sum", R.to_cents(F.col(c))) for c in cents},
+    }, frequent={"most_common_device": "primary_device"})
 
     def avg_c(col: str, digits: int) -> Column:
-        return R.rround(F.sum(R.to_cents(F.col(col))), n * 100, digits)
+        return R.rround(F.col(f"_{col}"), n * 100, digits)
 
-    return st.sessions.groupBy(*st.keys, *dims).agg(
-        n.alias("session_count"),
-        F.sum("tracks_played").alias("total_tracks"),
-        R.rround(F.sum("tracks_played"), n, 1).alias("avg_tracks_per_session"),
+    return g.select(
+        *st.keys, *dims, "session_count", "total_tracks",
+        R.rround(F.col("total_tracks"), n, 1).alias("avg_tracks_per_session"),
         avg_c("session_duration_minutes", 1).alias("avg_duration_minutes"),
-        R.rround(F.sum("unique_artists"), n, 1).alias("avg_unique_artists"),
+        R.rround(F.col("_artists"), n, 1).alias("avg_unique_artists"),
         avg_c("diversity_score", 3).alias("avg_diversity"),
         avg_c("weighted_diversity_score", 3).alias("avg_weighted_diversity"),
         avg_c("skip_rate", 2).alias("avg_skip_rate"),
         avg_c("completion_rate", 2).alias("avg_completion_rate"),
         avg_c("shuffle_usage_pct", 2).alias("avg_shuffle_usage"),
-        most_frequent(F.col("primary_device")).alias("most_common_device"))
+        "most_common_device")
 
 
 def view_yearly_trends(st: Stages) -> DataFrame:
-    n = count_all()
-    g = _plays(st).groupBy(*st.keys, "play_year").agg(
-        n.alias("total_plays"),
-        F.countDistinct("artist_name").alias("unique_artists"),
-        F.countDistinct("track_name").alias("unique_tracks"),
-        *_sessions_count(st, "total_sessions"),
-        F.sum(_hours_c()).alias("_h"),
-        R.rround(F.sum(_min_c()), n * 100, 2).alias("avg_track_duration"),
-        *_rates(n))
+    sessions = _sessions_count(st, "total_sessions")
+    g = summarise(_plays(st), [*st.keys, "play_year"],
+                  {"total_plays": ("count", F.lit(1)), "_h": ("sum", _hours_c()), **_counters()},
+                  distinct={"unique_artists": "artist_name", "unique_tracks": "track_name", **sessions})
     w = Window.partitionBy(*st.keys).orderBy("play_year") if st.keys else Window.orderBy("play_year")
     prev_n, prev_h = F.lag("total_plays").over(w), F.lag("_h").over(w)
     return g.select(
         *st.keys, "play_year", "total_plays", "unique_artists", "unique_tracks",
-        *(["total_sessions"] if st.cfg.session_counts else []),
-        R.from_cents(F.col("_h")).alias("total_hours"), "avg_track_duration",
-        "skip_rate", "completion_rate", "shuffle_usage_pct",
+        *sessions, R.from_cents(F.col("_h")).alias("total_hours"), _average("total_plays").alias("avg_track_duration"),
+        *_rates("total_plays"),
         R.rround((F.col("total_plays") - prev_n) * 100, prev_n, 2).alias("pct_yoy_play_count"),
         R.rround((F.col("_h") - prev_h) * 100, prev_h, 2).alias("pct_yoy_hours_played"))
 
@@ -208,9 +211,7 @@ def view_top_content_lead(st: Stages) -> DataFrame:
 def view_artist_tiers(st: Stages, tiles: int = 4) -> DataFrame:
     """NTILE(4) of every artist by plays (1 = most played quarter)."""
     g = st.silver.groupBy(*st.keys, "artist_name").agg(count_all().alias("total_plays"))
-    w = (Window.partitionBy(*st.keys) if st.keys else Window.partitionBy()).orderBy(
-        F.desc("total_plays"), F.asc_nulls_first("artist_name"))
-    return g.withColumn("play_tier", F.ntile(tiles).over(w).cast("long"))
+    return with_tile(g, [F.desc("total_plays"), F.asc_nulls_first("artist_name")], st.keys, tiles, "play_tier")
 
 
 NAMES = ["view_artist_stats", "view_track_stats", "view_temporal_patterns", "view_session_behavior",

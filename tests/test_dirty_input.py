@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from encore.config import DEFAULT
 from encore.functions import rounding as R
-from encore.functions.aggregates import most_frequent
 from encore.operators.carry import sessionize, sessionize_window
 from encore.operators.shares import join_on_keys
 from encore.plans.registry import null_accounts
@@ -56,12 +55,6 @@ def test_rounding_of_large_numbers(spark):
     assert whole == 50.0
 
 
-def test_most_frequent_tie_of_null_and_empty(spark):
-    df = spark.createDataFrame([("",), (None,), ("a",)], "v string")
-    assert df.agg(most_frequent(F.col("v"))).first()[0] is None
-    assert df.union(spark.createDataFrame([("",)], "v string")).agg(most_frequent(F.col("v"))).first()[0] == ""
-
-
 def test_session_settings_of_the_submitter_survive():
     code = ("from encore.spark import build_session; s = build_session('local[2]'); "
             "print('GOT', s.conf.get('spark.sql.shuffle.partitions'), s.sparkContext.getConf().get('spark.driver.memory'))")
