@@ -9,24 +9,33 @@ row per account-day, a tiny fraction of the plays). Running sums get a
 per-bucket offset the same way. The result equals the single global window
 row for row, while no task holds more than one account-day.
 
-The plays side is hash-partitioned once on (keys, bucket); the bucket
-summary is aggregated from that same shuffle and joined back, null-safe, so
-that rows without an account or a time keep their place. The summary itself is
-carried in two levels (bucket, era). Whether it is broadcast is left to AQE,
-which converts the join only when the measured size is under its threshold.
-The unit is one fixed parameter: "day" suits play histories, "hour" or
-"minute" timelines with extreme volume.
+The plays are hash-partitioned and sorted once on (keys, bucket), through key
+columns that are never NULL (a sentinel, and a flag beside it), so that the window,
+the summary and the join back share one partitioning: the summary is the last row
+of each bucket, read from the plays' own shuffle, and the join with it moves
+only the summary. Whether that is broadcast is left to AQE, which converts the
+join only when the measured size is under its threshold. Rows without an account
+or a time keep their place: they come first, like NULLs in a window's order.
+
+The summary is carried by one window per key: a row per day, hour or minute that
+has plays. Without a key, hours and minutes are carried in two levels (bucket, era), so
+that no task holds more than one era's buckets, or one row per era. The unit is one
+fixed parameter: "day" suits play histories, "hour" or "minute" timelines with
+extreme volume.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from encore.config import PipelineConfig
 from encore.functions import timeutil as TU
 
 BUCKET = "_bucket"
+LEAST_HASH = -(1 << 31)
+FIRST_DAY = "0001-01-01"                     # bucket of rows without a time: before all others
 
 
 def bucket_of(t: Column, cfg: PipelineConfig) -> Column:
@@ -39,66 +48,72 @@ def bucket_of(t: Column, cfg: PipelineConfig) -> Column:
     raise ValueError(f"unknown carry_bucket {cfg.carry_bucket!r}")
 
 
-def with_bucket(df: DataFrame, keys, t: str, cfg: PipelineConfig) -> DataFrame:
-    """Add the carry bucket of column `t`, one fixed unit for all rows."""
-    return df.withColumn(BUCKET, bucket_of(F.col(t), cfg))
-
-
-def _era(cfg: PipelineConfig) -> Column:
-    """The unit above the buckets: their summary is carried in two levels, so
-    with no key no task holds more than one era's buckets, or all eras."""
-    unit = {"day": "year", "hour": "month", "minute": "day"}[cfg.carry_bucket]
-    return F.date_trunc(unit, F.col(BUCKET).cast("timestamp")).cast("string")
-
-
-def _same(a: str, b: str, cols) -> Column:
-    """Null-safe equality on every column: a NULL account is an account."""
-    out = F.lit(True)
-    for c in cols:
-        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
-    return out
-
-
-def join_buckets(rows: DataFrame, summary: DataFrame, keys) -> DataFrame:
-    """`rows` with the other columns of their bucket's summary."""
-    on = [*keys, BUCKET]
-    extra = [F.col(f"b.{c}") for c in summary.columns if c not in on]
-    return rows.alias("a").join(summary.alias("b"), _same("a", "b", on)).select("a.*", *extra)
+def with_bucket(df: DataFrame, keys, t: str, cfg: PipelineConfig) -> tuple[DataFrame, list[str]]:
+    """Add the carry bucket of column `t` (one fixed unit for all rows) and the keys
+    as columns without NULL; returns their names too."""
+    on, cols = [], {}
+    for i, k in enumerate(keys):
+        kind = df.schema[k].dataType
+        whole = isinstance(kind, T.NumericType)
+        cols[f"_k{i}"] = F.coalesce(F.col(k) if whole else F.col(k).cast("string"), F.lit(0).cast(kind) if whole else F.lit(""))
+        on.append(f"_k{i}")
+        if df.schema[k].nullable:
+            cols[f"_null{i}"] = F.col(k).isNull()
+            on.append(f"_null{i}")
+    bucket = bucket_of(F.col(t), cfg)
+    first = F.lit(FIRST_DAY).cast("date" if cfg.carry_bucket == "day" else "timestamp_ntz")
+    return df.withColumns({**cols, BUCKET: F.coalesce(bucket, first)}), on
+
+
+def _eras(on, cfg: PipelineConfig) -> Column | None:
+    """The unit above the buckets, where many of them would meet in one task."""
+    unit = None if on else {"hour": "month", "minute": "day"}.get(cfg.carry_bucket)
+    return F.date_trunc(unit, F.col(BUCKET).cast("timestamp")).cast("string") if unit else None
+
+
+def _summary(x: DataFrame, w, on, cols: dict[str, Column]) -> DataFrame:
+    """One row per bucket: `cols` on its last row. A hash of all columns of these rows
+    (any will do) keeps this branch from being pruned below the exchange, so that Spark
+    shuffles the plays once and reads that shuffle for both branches (ReusedExchange)."""
+    every = [c for c in x.columns if not c.startswith("_")]
+    return (x.withColumn("_next", F.lead(F.lit(1)).over(w)).filter(F.col("_next").isNull())
+            .filter(F.hash(*every) >= LEAST_HASH).select(*on, BUCKET, *[c.alias(n) for n, c in cols.items()]))
 
 
-def _per_bucket(x: DataFrame, keys, aggs) -> DataFrame:
-    """One row per bucket. The checksum over all columns keeps this branch from
-    being pruned below the exchange, so that Spark shuffles the plays once and
-    reads that shuffle for both branches (ReusedExchange)."""
-    every = [c for c in x.columns if not c.startswith("_")]
-    return (x.groupBy(*keys, BUCKET).agg(*aggs, F.bit_xor(F.xxhash64(*every)).alias("_all"))
-            .filter(F.col("_all").isNotNull()).drop("_all"))
-
-
-def _last_before(s: DataFrame, keys, cols, cfg: PipelineConfig, prefix: str) -> DataFrame:
-    """For each bucket row, prefix+c = last non-NULL c of the earlier buckets of
-    the key: inside an era by a window, before it by the eras' last values."""
-    s = s.withColumn("_era", _era(cfg))
-    inside = Window.partitionBy(*keys, "_era").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    over_eras = Window.partitionBy(*keys).orderBy("_era").rowsBetween(Window.unboundedPreceding, -1)
-    eras = s.groupBy(*keys, "_era").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(BUCKET))).alias(f"_e_{c}") for c in cols])
-    eras = eras.select(*keys, "_era", *[F.last(f"_e_{c}", ignorenulls=True).over(over_eras).alias(f"_b_{c}") for c in cols])
-    x = s.withColumns({f"_i_{c}": F.last(c, ignorenulls=True).over(inside) for c in cols}).alias("a") \
-        .join(eras.alias("b"), _same("a", "b", [*keys, "_era"])) \
-        .select("a.*", *[F.col(f"b._b_{c}") for c in cols])
+def _last_before(s: DataFrame, on, cols, cfg: PipelineConfig, prefix: str) -> DataFrame:
+    """For each bucket row, prefix+c = last non-NULL c of the earlier buckets of the key."""
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    era = _eras(on, cfg)
+    if era is None:
+        w = before(Window.partitionBy(*on).orderBy(BUCKET))
+        return s.withColumns({prefix + c: F.last(c, ignorenulls=True).over(w) for c in cols})
+    s = s.withColumn("_era", era)
+    inside = before(Window.partitionBy(*on, "_era").orderBy(BUCKET))
+    over_eras = before(Window.partitionBy(*on).orderBy("_era"))
+    eras = s.groupBy(*on, "_era").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(BUCKET))).alias(f"_e_{c}") for c in cols])
+    eras = eras.select(*on, "_era", *[F.last(f"_e_{c}", ignorenulls=True).over(over_eras).alias(f"_b_{c}") for c in cols])
+    x = s.withColumns({f"_i_{c}": F.last(c, ignorenulls=True).over(inside) for c in cols}).join(eras, "_era")
     return x.withColumns({prefix + c: F.coalesce(f"_i_{c}", f"_b_{c}") for c in cols}) \
         .drop("_era", *[f"_i_{c}" for c in cols], *[f"_b_{c}" for c in cols])
 
 
-def _sum_before(s: DataFrame, keys, col: str, cfg: PipelineConfig, name: str) -> DataFrame:
-    """For each bucket row, the sum of `col` over the key's earlier buckets, in two levels."""
-    s = s.withColumn("_era", _era(cfg))
+def _sum_before(s: DataFrame, on, col: str, cfg: PipelineConfig, name: str) -> DataFrame:
+    """For each bucket row, the sum of `col` over the key's earlier buckets."""
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    eras = s.groupBy(*keys, "_era").agg(F.sum(col).alias("_e"))
-    eras = eras.select(*keys, "_era", F.coalesce(F.sum("_e").over(before(Window.partitionBy(*keys).orderBy("_era"))), F.lit(0)).alias("_b"))
-    inside = F.coalesce(F.sum(col).over(before(Window.partitionBy(*keys, "_era").orderBy(BUCKET))), F.lit(0))
-    return (s.withColumn("_i", inside).alias("a").join(eras.alias("b"), _same("a", "b", [*keys, "_era"]))
-            .select("a.*", F.col("b._b")).withColumn(name, F.col("_i") + F.col("_b")).drop("_era", "_i", "_b"))
+    total = lambda c, w: F.coalesce(F.sum(c).over(before(w)), F.lit(0))
+    era = _eras(on, cfg)
+    if era is None:
+        return s.withColumn(name, total(col, Window.partitionBy(*on).orderBy(BUCKET)))
+    s = s.withColumn("_era", era)
+    eras = s.groupBy(*on, "_era").agg(F.sum(col).alias("_e"))
+    eras = eras.select(*on, "_era", total("_e", Window.partitionBy(*on).orderBy("_era")).alias("_b"))
+    return (s.withColumn("_i", total(col, Window.partitionBy(*on, "_era").orderBy(BUCKET))).join(eras, "_era")
+            .withColumn(name, F.col("_i") + F.col("_b")).drop("_era", "_i", "_b"))
+
+
+def _join_buckets(x: DataFrame, s: DataFrame, on) -> DataFrame:
+    """`x` with the other columns of their bucket's summary, and without the keys' copies."""
+    return x.join(s, [*on, BUCKET]).drop(*on, BUCKET)
 
 
 def _order_struct(order) -> Column:
@@ -112,19 +127,15 @@ def lag_carry(df: DataFrame, keys, order, cols, cfg: PipelineConfig,
     `order[0]` must be a timestamp (it defines the bucket). Rows that tie on
     the whole order key must agree on `cols`, else LAG itself is ambiguous.
     """
-    keys, order, cols = list(keys), list(order), list(cols)
-    x = with_bucket(df, keys, order[0], cfg)
-    w = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    x = x.withColumn("_rn", F.row_number().over(w))
+    order, cols = list(order), list(cols)
+    x, on = with_bucket(df, keys, order[0], cfg)
+    w = Window.partitionBy(*on, BUCKET).orderBy(*order)
+    x = x.withColumns({"_rn": F.row_number().over(w), **{f"_in_{c}": F.lag(c).over(w) for c in cols}})
+    s = _last_before(_summary(x, w, on, {"_last": F.struct(*cols)}), on, ["_last"], cfg, "_carry")
+    out = _join_buckets(x, s.select(*on, BUCKET, "_carry_last"), on)
     for c in cols:
-        x = x.withColumn(f"_in_{c}", F.lag(c).over(w))
-    last = F.max_by(F.struct(*[F.col(c) for c in cols]), _order_struct(order))
-    s = _last_before(_per_bucket(x, keys, [last.alias("_last")]), keys, ["_last"], cfg, "_carry")
-    out = join_buckets(x, s.select(*keys, BUCKET, F.col("_carry_last").alias("_carry")), keys)
-    for c in cols:
-        out = out.withColumn(prefix + c, F.when(F.col("_rn") == 1, F.col(f"_carry.{c}"))
-                             .otherwise(F.col(f"_in_{c}")))
-    return out.drop(BUCKET, "_rn", "_carry", *[f"_in_{c}" for c in cols])
+        out = out.withColumn(prefix + c, F.when(F.col("_rn") == 1, F.col(f"_carry_last.{c}")).otherwise(F.col(f"_in_{c}")))
+    return out.drop("_rn", "_carry_last", *[f"_in_{c}" for c in cols])
 
 
 def gap_flag(gap: Column, cfg: PipelineConfig) -> Column:
@@ -139,31 +150,29 @@ def sessionize(plays: DataFrame, cfg: PipelineConfig, order) -> DataFrame:
     gap = start - previous row's end (not a running max of ends);
     session_id = running sum of flags, from 1 per key.
     """
-    keys, order = list(cfg.keys), list(order)
+    order = list(order)
     start, end = F.col(order[0]), F.col(order[1])
-    x = with_bucket(plays, keys, order[0], cfg)
-    w = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    x = (x.withColumn("_rn", F.row_number().over(w))
-         .withColumn("_gap_in", TU.seconds_between(F.lag(end).over(w), start)))
+    x, on = with_bucket(plays, cfg.keys, order[0], cfg)
+    w = Window.partitionBy(*on, BUCKET).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({"_rn": F.row_number().over(w), "_first": F.first(start).over(so_far),
+                       "_gap_in": TU.seconds_between(F.lag(end).over(w), start)})
     x = x.withColumn("_flag_in", F.when(F.col("_rn") == 1, 0).otherwise(gap_flag(F.col("_gap_in"), cfg)))
-    x = x.withColumn("_run_in", F.sum("_flag_in").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-    s = _per_bucket(x, keys, [
-        F.min(start).alias("_first_start"),
-        # a struct, so that the carry takes the last row's end even where it is NULL
-        F.max_by(F.struct(end.alias("end")), _order_struct(order)).alias("_last"),
-        F.sum("_flag_in").alias("_inner")])
-    s = _last_before(s, keys, ["_last"], cfg, "_prev")
-    s = (s.withColumn("_gap0", TU.seconds_between(F.col("_prev_last.end"), F.col("_first_start")))
-         .withColumn("_flag0", gap_flag(F.col("_gap0"), cfg)).withColumn("_here", F.col("_flag0") + F.col("_inner")))
-    s = _sum_before(s, keys, "_here", cfg, "_offset").select(*keys, BUCKET, "_gap0", "_flag0", "_offset")
-
-    j = join_buckets(x, s, keys)
+    x = x.withColumn("_run_in", F.sum("_flag_in").over(so_far))
+
+    # the end as a struct, so that the carry takes the last row's end even where it is NULL
+    s = _summary(x, w, on, {"_first_start": F.col("_first"), "_last": F.struct(end.alias("end")), "_inner": F.col("_run_in")})
+    s = _last_before(s, on, ["_last"], cfg, "_prev")
+    s = s.withColumn("_gap0", TU.seconds_between(F.col("_prev_last.end"), F.col("_first_start")))
+    s = s.withColumn("_flag0", gap_flag(F.col("_gap0"), cfg)).withColumn("_here", F.col("_flag0") + F.col("_inner"))
+    s = _sum_before(s, on, "_here", cfg, "_offset").select(*on, BUCKET, "_gap0", "_flag0", "_offset")
+
     first = F.col("_rn") == 1
-    return (j.withColumn("seconds_since_last_play", F.when(first, F.col("_gap0")).otherwise(F.col("_gap_in")))
+    return (_join_buckets(x, s, on)
+            .withColumn("seconds_since_last_play", F.when(first, F.col("_gap0")).otherwise(F.col("_gap_in")))
             .withColumn("new_session_flag", F.when(first, F.col("_flag0")).otherwise(F.col("_flag_in")))
             .withColumn("session_id", (F.col("_offset") + F.col("_flag0") + F.col("_run_in")).cast("long"))
-            .drop(BUCKET, "_rn", "_gap_in", "_flag_in", "_run_in", "_gap0", "_flag0", "_offset"))
+            .drop("_rn", "_first", "_gap_in", "_flag_in", "_run_in", "_gap0", "_flag0", "_offset"))
 
 
 def sessionize_window(plays: DataFrame, cfg: PipelineConfig, order) -> DataFrame:
@@ -184,16 +193,14 @@ def lag_carry_where(df: DataFrame, keys, order, cols, conds: dict, cfg: Pipeline
     holds - LAG over the qualifying rows only - for all conditions in one
     pass (one shuffle, one sort), with the same per-bucket carry as
     `lag_carry`."""
-    keys, order, cols = list(keys), list(order), list(cols)
+    order = list(order)
     val = F.struct(*[F.col(c) for c in cols])
-    x = with_bucket(df, keys, order[0], cfg)
-    w = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    for name, cond in conds.items():
-        x = x.withColumn(f"_in_{name}", F.last(F.when(cond, val), ignorenulls=True).over(w))
-    s = _per_bucket(x, keys, [
-        F.max_by(val, F.when(cond, _order_struct(order))).alias(f"_last_{name}") for name, cond in conds.items()])
-    s = _last_before(s, keys, [f"_last_{name}" for name in conds], cfg, "_carry")
-    j = join_buckets(x, s.select(*keys, BUCKET, *[F.col(f"_carry_last_{name}").alias(f"_carry_{name}") for name in conds]), keys)
-    for name in conds:
-        j = j.withColumn(f"prev_{name}", F.coalesce(F.col(f"_in_{name}"), F.col(f"_carry_{name}")))
-    return j.drop(BUCKET, *[f"_in_{n}" for n in conds], *[f"_carry_{n}" for n in conds])
+    x, on = with_bucket(df, keys, order[0], cfg)
+    w = Window.partitionBy(*on, BUCKET).orderBy(*order)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumns({f"_in_{name}": F.last(F.when(cond, val), ignorenulls=True).over(earlier) for name, cond in conds.items()})
+    s = _summary(x, w, on, {f"_last_{name}": F.coalesce(F.when(cond, val), F.col(f"_in_{name}")) for name, cond in conds.items()})
+    s = _last_before(s, on, [f"_last_{name}" for name in conds], cfg, "_carry")
+    j = _join_buckets(x, s.select(*on, BUCKET, *[f"_carry_last_{name}" for name in conds]), on)
+    return j.withColumns({f"prev_{name}": F.coalesce(f"_in_{name}", f"_carry_last_{name}") for name in conds}) \
+        .drop(*[f"_in_{n}" for n in conds], *[f"_carry_last_{n}" for n in conds])

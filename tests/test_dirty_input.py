@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import functions as F
 
-from encore.config import DEFAULT
+from encore.config import DEFAULT, GLOBAL
 from encore.functions import rounding as R
 from encore.operators.carry import sessionize, sessionize_window
 from encore.operators.shares import join_on_keys
@@ -32,12 +32,26 @@ def test_carry_with_null_accounts_and_times(spark):
             assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def test_plays_are_shuffled_once(spark):
-    """The bucket summary reads the plays' shuffle instead of making another."""
-    plays = Stages(spark, SF_SMALL, DEFAULT).silver
-    out = sessionize(plays, DEFAULT, PLAY_ORDER)
-    out.collect()
-    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+def test_plays_are_shuffled_once(spark, tmp_path):
+    """Without broadcasts: one scan, one exchange of the plays that both branches read,
+    and no second one for the join; only the summary moves besides."""
+    Stages(spark, SF_SMALL, DEFAULT).silver.write.parquet(str(tmp_path / "silver"))
+    plays = spark.read.parquet(str(tmp_path / "silver"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for cfg in (DEFAULT, GLOBAL, DEFAULT.with_(carry_bucket="hour")):
+            out = sessionize(plays, cfg, PLAY_ORDER)
+            out.collect()
+            plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            lines = [x.strip(" :+-|") for x in plan.splitlines()]
+            assert sum("FileScan" in x for x in lines) == 1, plan
+            exchanges = [x for x in lines if x.startswith("Exchange")]
+            # of the plays, of the summary by key, of the summary to the join
+            assert len(exchanges) == 3 and sum(x.startswith("ReusedExchange") for x in lines) == 1, plan
+            assert "SortMergeJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 def test_per_key_join_keeps_null_keys(spark):
