@@ -456,6 +456,23 @@ def view_queries(cfg: PipelineConfig) -> dict[str, str]:
     return q
 
 
+# ------------------------------------------------------------------ sketches, held against exact figures
+def sketch_queries(cfg: PipelineConfig) -> dict[str, str]:
+    from encore.plans.quality import QUANTILE_METRICS
+    k = K(cfg)
+    levels = ", ".join(str(int(round(q * 100))) for q in LB.QUANTILE_LEVELS)
+    parts = [f"SELECT {k.lead} '{name}' AS measure, CAST(p AS BIGINT) AS percentile, count({col}) AS values, true AS in_bound "
+             f"FROM sessions, (SELECT unnest([{levels}]) AS p) {k.group_with('p')}" for col, name in QUANTILE_METRICS]
+    return {
+        "distinct_by_year": with_stages(
+            cfg, "silver", f"SELECT {k.lead} play_year, count(*) AS plays, count(DISTINCT artist_name) AS unique_artists, "
+            f"count(DISTINCT track_name) AS unique_tracks, true AS artists_in_bound, true AS tracks_in_bound "
+            f"FROM silver {k.group_with('play_year')}"),
+        "quantiles_in_bound": with_stages(cfg, "sessions", " UNION ALL ".join(parts)),
+        "session_quantiles_exact": quality_queries(cfg)["session_quantiles"],
+    }
+
+
 # ------------------------------------------------------------------ threshold sweep, global variant
 def sweep_query(cfg: PipelineConfig) -> str:
     k = K(cfg)
@@ -484,6 +501,7 @@ def build(cfg: PipelineConfig = DEFAULT) -> dict[str, str]:
     out.update(quality_queries(cfg))
     out.update(eda_queries(cfg))
     out.update(view_queries(cfg))
+    out.update(sketch_queries(cfg))
     out["dq_min_ms_sweep"] = sweep_query(cfg)
     if cfg.keys:
         one = cfg.with_(keys=())

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from encore.config import DEFAULT, PipelineConfig
 from encore.plans import eda as EDA
 from encore.plans import quality as Q
+from encore.plans import sketches as K
 from encore.plans import views as V
 from encore.plans.presentation import present
 from encore.plans.profile import profile as raw_profile
@@ -26,7 +27,8 @@ VIEWS = ["view_artist_stats", "view_track_stats", "view_temporal_patterns", "vie
 
 def materialize(spark: SparkSession, raw: DataFrame, out_dir: str, cfg: PipelineConfig = DEFAULT) -> Stages:
     """Write raw, the one-pass raw profile, silver, plays-with-session-id and
-    sessions tables; return Stages that read from them."""
+    sessions tables, and the daily and monthly sketches; return Stages that read
+    from them."""
     keys = list(cfg.keys)
 
     def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -42,7 +44,10 @@ def materialize(spark: SparkSession, raw: DataFrame, out_dir: str, cfg: Pipeline
     st = Stages(spark, cfg=cfg, raw=raw, silver=silver, plays_sid=plays_sid)
     sessions = stored(st.sessions, "sessions", ["session_year"]).select(
         *[c for c in SESSION_COLUMNS if c != "account_id" or c in keys])
-    return Stages(spark, cfg=cfg, raw=raw, silver=silver, plays_sid=plays_sid, sessions=sessions, profile=prof)
+    done = Stages(spark, cfg=cfg, raw=raw, silver=silver, plays_sid=plays_sid, sessions=sessions, profile=prof)
+    stored(K.daily_distinct(done), "distinct_daily")
+    stored(K.monthly_measures(done), "measures_monthly")
+    return done
 
 
 def register_views(st: Stages) -> dict[str, DataFrame]:

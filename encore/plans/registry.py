@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from encore.config import DEFAULT, PipelineConfig
 from encore.plans import eda as EDA
 from encore.plans import quality as Q
+from encore.plans import sketches as K
 from encore.plans import views as V
 from encore.plans.presentation import present
 from encore.plans.stages import Stages
@@ -61,6 +62,7 @@ def stage_functions() -> dict[str, Callable[[Stages], DataFrame]]:
     fns.update({n: getattr(EDA, n) for n in EDA.NAMES})
     fns.update(_quality_fns())
     fns.update({n: getattr(V, n) for n in V.NAMES})
+    fns.update({n: getattr(K, n) for n in K.NAMES})
     return fns
 
 
