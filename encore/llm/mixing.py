@@ -6,11 +6,16 @@ goes to the others by their weights. A source's rate is target / size: each of
 its documents is taken floor(rate) times, and once more when its hash-seeded
 draw falls below the fraction, so a rerun takes the same documents.
 
-Cases: a null or empty text has size 0; a null source is a source, sorted last;
-sources of size 0 and empty tables have target 0; rows with one doc_id share
-one draw (a null id has one as well). Columns of the input are kept whatever
-their names. Everything is built-in expressions: one aggregate with partial
-sums, so a source with most rows is no single task's work.
+The draw is seeded by the id, the text and, among rows that agree in id, source and text,
+the row's number, so null and repeated ids do not go together. Such rows are found
+by one aggregate of digests, and only they are numbered, by ranges of their order.
+
+Cases: a null or empty text has size 0, whatever its length it is only counted; a null
+source is a source, sorted last; sources of size 0 and empty tables have target 0;
+equal rows each have a draw; ties of the filling order go by name. Columns of the
+input are kept whatever their names. Everything is built-in expressions: aggregates with
+partial sums, so a source with most rows is no single task's work; the plan, a row
+per source, is one task's.
 """
 
 from __future__ import annotations
@@ -19,11 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.llm.common import cut, free_name
+from encore.operators.ranking import with_position
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 #: The plan has a row per source; up to so many rows it is broadcast, beyond that joined by shuffle.
 BROADCAST_SOURCES = 100_000
+#: Groups of rows that agree in id, source and text: beyond so many they are joined by shuffle.
+BROADCAST_GROUPS = 100_000
 
 
 def size_of(text: str = "text") -> Column:
@@ -58,13 +66,34 @@ def targets(df: DataFrame, source: str = "source", text: str = "text", weights:
     return per.select("source", "source_size", "target", rate.alias("rate"))
 
 
-def draw(doc_id: str, seed: str) -> Column:
+def _digest(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"))
+
+
+def draw(doc_id: str, text: str, number: Column, seed: str) -> Column:
     """52 bits of an MD5 as a number in [0, 1)."""
-    name = F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    name = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")), _digest(text), number.cast("string"))
     bits = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double")
     return bits / F.lit(float(1 << 52))
 
 
+def numbered(df: DataFrame, name: str, doc_id: str, source: str, text: str) -> DataFrame:
+    """`df` and the number of each row among those of equal id, source and text."""
+    digest = free_name(df, "digest")
+    rows = df.withColumn(digest, _digest(text))
+    key = [doc_id, source, digest]
+    again = cut(rows.groupBy(*[F.col(f"`{c}`") for c in key]).count().filter("count > 1").drop("count").toDF("k0", "k1", "k2"))
+    n = again.count()
+    if not n:
+        return df.withColumn(name, F.lit(1).cast("long"))
+    if n <= BROADCAST_GROUPS:
+        again = F.broadcast(again)
+    same = (rows[digest] == again["k2"]) & rows[f"`{doc_id}`"].eqNullSafe(again["k0"]) & rows[f"`{source}`"].eqNullSafe(again["k1"])
+    every = [F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])]
+    repeated = with_position(rows.join(again, same, "left_semi"), every, key, name)
+    return rows.join(again, same, "left_anti").withColumn(name, F.lit(1).cast("long")).unionByName(repeated).drop(digest)
+
+
 def plan(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: str = "mix",
          **params) -> DataFrame:
     """All columns of `df` and a struct `mix` (or `_mix`...) with size,
@@ -74,11 +103,13 @@ def plan(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: st
     per = per.select(F.struct("*").alias(name))
     if per.count() <= BROADCAST_SOURCES:
         per = F.broadcast(per)
-    own = F.col(f"`{name}`")
-    joined = df.join(per, df[source].eqNullSafe(own["source"]), "left")
-    copies = F.floor(own["rate"]) + (draw(doc_id, seed) < own["rate"] - F.floor(own["rate"])).cast("long")
+    own, number = F.col(f"`{name}`"), free_name(df, "number")
+    rows = numbered(df, number, doc_id, source, text)
+    joined = rows.join(per, F.col(f"`{source}`").eqNullSafe(own["source"]), "left")
+    drawn = draw(doc_id, text, F.col(number), seed)
+    copies = F.floor(own["rate"]) + (drawn < own["rate"] - F.floor(own["rate"])).cast("long")
     return joined.withColumn(name, F.struct(size_of(text).alias("size"), own["source_size"].alias("source_size"),
-                                            own["target"].alias("target"), copies.cast("long").alias("copies")))
+                                            own["target"].alias("target"), copies.cast("long").alias("copies"))).drop(number)
 
 
 def emit(planned: DataFrame) -> DataFrame:
@@ -91,7 +122,7 @@ def emit(planned: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  SELECT doc_id, source, md5(COALESCE(text, '')) AS digest, row_number() OVER (PARTITION BY doc_id, source, text) AS number, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
@@ -105,7 +136,7 @@ l AS (SELECT *, (total - sum(CASE WHEN filled THEN cap ELSE 0 END) OVER ())
 t AS (SELECT source, source_size, CASE WHEN filled THEN cap ELSE least(COALESCE(level, 0) * weight, cap) END AS target FROM l),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0.0 END AS rate FROM t)
 SELECT doc_id, size, source_size, target,
-       size * CAST(floor(rate) + CASE WHEN CAST(('0x' || substr(md5('mix:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT)
+       size * CAST(floor(rate) + CASE WHEN CAST(('0x' || substr(md5('mix:' || COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || digest || ':' || number), 1, 13)) AS BIGINT)
                                            / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 """

@@ -6,8 +6,9 @@ own: cards inside longer digit runs, phones inside longer runs or without a
 plus sign, iban (mod 97) and ssn. A proposal with score 0.5 or more is a span;
 the base set has a score as well. Offsets count code points, end exclusive.
 
-Cases: a null or empty text has no spans; every row is handled by itself, so
-repeated rows give equal results and empty tables empty ones. All scans are
+Cases: a null or empty text has no spans; spans that overlap all count (`mask` makes
+one of them, named after the best scored, the first of equals); every row is handled by
+itself, so repeated rows give equal results and empty tables empty ones. All scans are
 linear in the text, whatever its length. `redact` keeps every column.
 """
 
@@ -35,6 +36,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _RUN = re.compile(r"[0-9]++")
+_PART = re.compile(r"[^\x20]+")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
@@ -47,6 +49,13 @@ CONTEXT = {
     "iban": {"iban", "account", "bank", "konto", "compte", "cuenta"},
     "ssn": {"ssn", "social", "security"},
 }
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "BA": 20, "BE": 16, "BG": 22, "BR": 29, "CH": 21, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GE": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23,
+    "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25,
+    "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26, "UA": 29,
+}
 NEAR = 40                                    # characters on either side
 
 
@@ -111,16 +120,52 @@ def _cards_inside(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
         i += 1
 
 
-def _phone_inside(text: str, start: int, end: int) -> tuple[int, int] | None:
-    """The longest beginning of a too long run, cut at a space, with 8 to 15 digits."""
-    best, n = None, 0
-    for m in re.finditer(r"[^\x20]+", text[start:min(end, start + 64)]):
-        n += len(_digits(m.group()))
-        if n > 15:
-            break
-        if n >= 8 and m.group()[-1].isdigit():
-            best = start, start + m.end()
-    return best
+def _phones_inside(text: str, start: int, end: int) -> Iterator[tuple[int, int, bool]]:
+    """Phones in a whole run of digits that is too long for one: its parts between
+    spaces, joined to stretches of 8 to 15 digits so that most digits are in one and, of
+    such divisions, lengths are nearest to 11. True for the first and for those whose groups of
+    digits are like the first's (without its country code) or 3-3-4. An IP address
+    divides the run."""
+    parts = [(start + m.start(), start + m.end()) for m in _PART.finditer(text[start:end])]
+    size = [0 if _IP.fullmatch(text, a, b) and all(map(_small, text[a:b].split("."))) else len(_digits(text[a:b])) for a, b in parts]
+    # best[i]: most digits in phones from part i on, least penalty, where the phone from i ends (i: none does)
+    best: list[tuple[int, int, int]] = [(0, 0, 0)] * (len(parts) + 1)
+    for i in range(len(parts) - 1, -1, -1):
+        best[i] = (*best[i + 1][:2], i)
+        n = 0
+        for j in range(i, len(parts)):
+            n += size[j]
+            if not size[j] or n > 15:
+                break
+            if n >= 8 and text[parts[j][1] - 1].isdigit():
+                best[i] = max(best[i], (best[j + 1][0] + n, best[j + 1][1] - (n - 11) ** 2, j + 1))
+    i, shapes = 0, [[3, 3, 4]]
+    while i < len(parts):
+        j = best[i][2]
+        if j > i:
+            shape = [len(g) for g in _RUN.findall(text, parts[i][0], parts[j - 1][1])]
+            if not i:
+                shapes += [shape, shape[1:]]
+            yield parts[i][0], parts[j - 1][1], shape in shapes
+        i = max(j, i + 1)
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Runs that hold mod 97 as they are or, where a word follows in capitals, up to a
+    space before it: at the country's length, or the longest such part."""
+    m = _IBAN.search(text)
+    while m:
+        a, b = m.span()
+        ends = [b, *(i for i in range(b - 1, a, -1) if text[i] == " ")]
+        most = IBAN_LENGTHS.get(text[a:a + 2])
+        for end in ends:
+            s = text[a:end].replace(" ", "")
+            if 15 <= len(s) <= 34 and (end == b or most in (None, len(s))) and mod97(s):
+                yield a, end
+                break
+        else:
+            end = next((i for i in range(a, b) if text[i] == " "), b)    # the next may begin inside
+        m = _IBAN.search(text, end)
 
 
 def find(text: str | None) -> list[tuple[str, int, int, float, bool]]:
@@ -155,16 +200,15 @@ def find(text: str | None) -> list[tuple[str, int, int, float, bool]]:
                 n = len(_digits(m.group()))
                 if 8 <= n <= 15:
                     put("phone", m.start(), m.end(), 0.7, True)
-                elif n > 15 and (s := _phone_inside(text, *m.span())):
-                    put("phone", *s, 0.6, False)
+                elif n > 15:
+                    for a, b, like in _phones_inside(text, *m.span()):
+                        put("phone", a, b, 0.6 if like else 0.3, False)
         for m in _LOCAL_PHONE.finditer(text):
             if not any(a < m.end() and m.start() < b for _, a, b, *_ in out["phone"]):
                 put("phone", m.start(), m.end(), 0.3, False)
         out["phone"].sort(key=lambda s: s[1])
-        for m in _IBAN.finditer(text):
-            s = m.group().replace(" ", "")
-            if 15 <= len(s) <= 34 and mod97(s):
-                put("iban", m.start(), m.end(), 0.8, False)
+        for a, b in _ibans(text):
+            put("iban", a, b, 0.8, False)
         for m in _SSN.finditer(text):
             if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
                 put("ssn", m.start(), m.end(), 0.4, False)

@@ -50,6 +50,24 @@ def test_mix_comes_near_its_targets_and_repeats(spark):
     assert sorted(map(str, out.collect())) == sorted(map(str, mixing.emit(mixing.plan(docs)).collect()))
 
 
+def test_null_and_repeated_ids_come_near_their_targets(spark):
+    """Half the ids null, ids that restart, and one row a third of a source: each has its own draw."""
+    texts = random_texts(4000, words=60)
+    rows = [(None if i % 2 else i % 50, t, f"s{i % 3}") for i, t in enumerate(texts)] + [(None, "same words here", "s0")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    planned = mixing.plan(docs)
+    assert planned.count() == len(rows) and planned.columns == [*docs.columns, "mix"]
+    taken = planned.groupBy("source").agg({"mix.target": "max"}).collect()
+    per = {r.source: r.t for r in planned.selectExpr("source", "mix.size * mix.copies as t").groupBy("source").agg({"t": "sum"})
+           .withColumnRenamed("sum(t)", "t").collect()}
+    for r in taken:
+        assert per[r.source] == pytest.approx(r[1], rel=0.06)
+    copies = [r.c for r in planned.filter("text = 'same words here'").selectExpr("mix.copies as c").collect()]
+    assert len(set(copies)) == 2
+    again = mixing.plan(docs.repartition(3))
+    assert sorted(map(str, planned.collect())) == sorted(map(str, again.collect()))
+
+
 def test_odd_rows(spark):
     docs = documents(spark, ODD_TEXTS).selectExpr("*", "1 as mix", "2 as copy", "'x' as target")
     docs = docs.union(docs).union(docs.selectExpr("cast(null as long)", *docs.columns[1:]))

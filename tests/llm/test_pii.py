@@ -59,6 +59,28 @@ def test_validators_and_context():
     assert kinds("+1 (843) 555-7672 170.106.47.218 x") == [("phone", "+1 (843) 555-7672")]
 
 
+def test_whole_runs_of_phones_are_walked():
+    phones = lambda t: [t[a:b] for k, a, b, *_ in pii.find(t) if k == "phone"]
+    run = "+1 202 555 0143 202 555 0199 303 555 0112"
+    assert phones(run) == ["+1 202 555 0143", "202 555 0199", "303 555 0112"]
+    many = "+1 202 555 0143" + " 202 555 0199" * 500
+    assert len(phones(many)) == 501 and pii.mask(many) == " ".join(["[PHONE]"] * 501)
+    assert phones("+44 20 7946 0958 20 7946 0959 20 7946 0960") == ["+44 20 7946 0958", "20 7946 0959", "20 7946 0960"]
+    # eight digits that are not like the first are left, unless a word near them says phone
+    assert phones("+1 202 555 0143 202 555 0199 12345678 units") == ["+1 202 555 0143", "202 555 0199"]
+    assert phones("+1 (843) 555-7672 170.106.47.218 202 555 0199") == ["+1 (843) 555-7672", "202 555 0199"]
+
+
+def test_ibans_before_words_in_capitals():
+    ibans = lambda t: [t[a:b] for k, a, b, *_ in pii.find(t) if k == "iban"]
+    es, gb = "ES91 2100 0418 4502 0005 1332", "GB82 WEST 1234 5698 7654 32"
+    for tail in ("", " EUR", " PAID", " EUR PAID SOON", ".", " AND 12", f" {gb}"):
+        assert es in ibans(f"to {es}{tail}"), tail
+    assert ibans(f"{es} {gb} EUR") == [es, gb] and ibans(f"{gb}") == [gb]
+    assert ibans("ES91 2100 0418 4502 0005 1333 EUR") == []
+    assert pii.mask(f"to {es} EUR") == "to [IBAN] EUR"
+
+
 def test_mask():
     assert pii.mask("mail a.b@c.de and 1.2.3.4") == "mail [EMAIL] and [IP]"
     assert pii.mask("1.2.3.4@x.org") == "[EMAIL]"
