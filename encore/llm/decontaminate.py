@@ -8,18 +8,20 @@ shorter item ends, the words matched are hit. Only runs of words that items
 have at all are streamed.
 
 Items come in rounds of at most about `ROUND_BYTES` of text, the size that is
-broadcast, and in a round in automata of about `BLOCK_BYTES`, of which a task
-keeps `KEPT` at a time. A larger benchmark takes more rounds, not more memory;
-an item is never split.
+broadcast. A worker keeps the hashes of a round's windows; which windows a batch of
+documents holds tells the items that can occur in it, and only of these automata
+are built, each of about `BLOCK_BYTES` and once a batch, and only documents with such a
+window are streamed. So time follows the documents and what they share with the benchmark,
+and a larger benchmark takes more rounds, not more memory; an item is never split.
 
 Cases: null and empty texts have no words and no hits; items without words are
 none; equal items all count, by their distinct ids (a null id is the empty
-text); every row is scanned by itself; with an empty benchmark nothing is hit.
+text); every row is scanned by itself, a very long text as a piece of its own; other
+columns stay, and the struct's name gives way to theirs; with an empty benchmark nothing is hit.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from encore.llm.bytewords import ALNUM, LOWER, pieces
+from encore.llm.bytewords import ALNUM, LOWER, pieces, text_windows
 from encore.llm.common import free_name
 
 ROUND_BYTES = 64 << 20
 BLOCK_BYTES = 1 << 20
-KEPT = 4
 
 
 class Automaton:
@@ -160,16 +161,83 @@ class Block:
                 names[doc[a]] |= found
 
 
-_blocks: OrderedDict = OrderedDict()
+class Index:
+    """Hashes of the windows of a round's items, and which item each is of."""
 
-
-def _block(key: tuple, items: list[tuple[str, str]], window: int) -> Block:
-    if key not in _blocks:
-        while len(_blocks) >= KEPT:
-            _blocks.popitem(last=False)
-        _blocks[key] = Block(items, window)
-    _blocks.move_to_end(key)
-    return _blocks[key]
+    def __init__(self, items: list[tuple[str, str]], window: int):
+        self.items, self.window = items, window
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for p in pieces(pa.array([t for _, t in items], pa.large_string()), ALNUM, LOWER):
+            hashes, size = p.hashes(), np.minimum(np.diff(p.word_at), window)
+            for k in np.unique(size[size > 0]).tolist():
+                pos, h = text_windows(p, hashes, k)
+                item = p.doc[pos]
+                own = size[item] == k
+                found.setdefault(k, []).append((h[own], p.first + item[own]))
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k, parts in found.items():
+            h, item = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+            order = np.argsort(h, kind="stable")
+            self.windows[k] = h[order], item[order]
+
+    def candidates(self, p, hashes: np.ndarray) -> tuple[set[int], set[int]]:
+        """Texts of a piece that hold a window, and items that have one of these."""
+        texts, items = set(), set()
+        for k, (known, item) in self.windows.items():
+            pos, h = text_windows(p, hashes, k)
+            first = np.searchsorted(known, h)
+            hit = np.flatnonzero(known[np.minimum(first, len(known) - 1)] == h)
+            if len(hit):
+                texts.update(p.doc[pos[hit]].tolist())
+                low, at = np.unique(first[hit], return_index=True)
+                for a, z in zip(low, np.searchsorted(known, h[hit][at], "right"), strict=True):
+                    items.update(item[a:z].tolist())
+        return texts, items
+
+
+_index: dict = {}
+
+
+def _index_of(key: tuple, items: list[tuple[str, str]], window: int) -> Index:
+    """A worker keeps the last round's."""
+    if key not in _index:
+        _index.clear()
+        _index[key] = Index(items, window)
+    return _index[key]
+
+
+def hits_of(texts: pa.Array, index: Index, before: list[dict] | None = None) -> list[dict]:
+    """For each text its words, hit words, items and hit spans; with those of earlier rounds."""
+    rows: list[dict] = []
+    hashes, spans, owners, needed = [], [], [], set()
+    for p in pieces(texts, ALNUM, LOWER):
+        own = p.hashes()
+        some, items = index.candidates(p, own)
+        needed |= items
+        for i, n in enumerate(np.diff(p.word_at).tolist()):
+            rows.append({"n_words": n, "n_hit": 0, "items": [], "bytes": []} if before is None else before[p.first + i])
+        for i in sorted(some):
+            words = slice(p.word_at[i], p.word_at[i + 1])
+            owners.append(p.first + i)
+            hashes.append(own[words])
+            spans.append(np.column_stack([p.starts[words], p.ends[words]]) - p.at[i])
+    if not owners:
+        return rows
+    size = [len(h) for h in hashes]
+    all_, doc = np.concatenate(hashes), np.repeat(np.arange(len(size)), size)
+    hit, names = np.zeros(len(all_), bool), [set() for _ in size]
+    for block in _split_blocks([index.items[i] for i in sorted(needed)]):
+        Block(block, index.window).scan(all_, doc, hit, names)
+    at = 0
+    for i, n, where, found in zip(owners, size, spans, names, strict=True):
+        own, old = hit[at:at + n], rows[i]
+        at += n
+        for a, z in zip(old["bytes"][::2], old["bytes"][1::2], strict=True):
+            own |= (where[:, 0] >= a) & (where[:, 1] <= z)
+        first, last = _runs(own)
+        flat = np.column_stack([where[first, 0], where[last - 1, 1]]).ravel().tolist() if len(first) else []
+        rows[i] = {"n_words": n, "n_hit": int(own.sum()), "items": sorted(found | set(old["items"])), "bytes": flat}
+    return rows
 
 
 def _rounds(benchmark: DataFrame, item_id: str, text: str) -> Iterator[tuple[list[tuple[str, str]], bool]]:
@@ -219,35 +287,15 @@ def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str =
     rounds = _rounds(benchmark, item_id, item_text)
     for k, (items, last_round) in enumerate(rounds):
         final = finish if last_round else None
-        held = sc.broadcast(_split_blocks(items))
+        held = sc.broadcast(items)
         key = held.id if hasattr(held, "id") else id(held)
         earlier = k > 0
 
         def run(batches: Iterator[pa.RecordBatch], held=held, key=(key, k), earlier=earlier, final=final) -> Iterator[pa.RecordBatch]:
+            index = _index_of((*key, window), held.value, window)
             for b in batches:
                 before = b.column(len(b.schema) - 1).to_pylist() if earlier else None
-                rows: list[dict] = []
-                for p in pieces(b.column(where), ALNUM, LOWER):
-                    hashes, doc = p.hashes(), p.doc
-                    hit, names = np.zeros(len(hashes), bool), [set() for _ in range(p.n)]
-                    for i, block in enumerate(held.value):
-                        _block((key, i), block, window).scan(hashes, doc, hit, names)
-                    if before:
-                        for i in range(p.n):
-                            old = before[p.first + i]
-                            names[i] |= set(old["items"])
-                            for a, z in zip(old["bytes"][::2], old["bytes"][1::2], strict=True):
-                                inside = (p.starts >= p.at[i] + a) & (p.ends <= p.at[i] + z)
-                                hit |= inside
-                    for i in range(p.n):
-                        lo, hi = p.word_at[i], p.word_at[i + 1]
-                        flat: list[int] = []
-                        if hit[lo:hi].any():
-                            first, last = _runs(hit[lo:hi])
-                            flat = np.column_stack([p.starts[lo + first], p.ends[lo + last - 1]]).ravel()
-                            flat = (flat - p.at[i]).tolist()
-                        rows.append({"n_words": int(hi - lo), "n_hit": int(hit[lo:hi].sum()),
-                                     "items": sorted(names[i]), "bytes": flat})
+                rows = hits_of(b.column(where), index, before)
                 new = pa.array(rows, _ARROW)
                 if earlier:
                     b = b.set_column(len(b.schema) - 1, b.schema.field(len(b.schema) - 1), new)

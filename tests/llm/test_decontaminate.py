@@ -65,6 +65,25 @@ def test_blocks_and_rounds_agree(spark, monkeypatch):
     assert sorted(D.digest(D.scan(docs, bench)).collect()) == want
 
 
+def test_automata_hold_only_what_a_batch_shares(monkeypatch):
+    """A benchmark of 3 MB, more than a block: an automaton per block of items that
+    the batch shares windows with, built once however many pieces the batch has."""
+    import pyarrow as pa
+    rng = random.Random(2)
+    items = [(str(i), " ".join(f"b{rng.randint(0, 99999)}" for _ in range(40))) for i in range(12000)]
+    index = D.Index(items, 10)
+    shared = [items[i][1] for i in (5, 700, 11999)]
+    texts = [f"start {shared[j % 3]} end " + "plain words " * 2000 if j % 7 == 0 else "plain words " * 3000 for j in range(60)]
+    built = []
+    block = D.Block
+    monkeypatch.setattr(D, "Block", lambda part, window: built.append([x[0] for x in part]) or block(part, window))
+    rows = D.hits_of(pa.array(texts), index)
+    assert built == [["5", "700", "11999"]]
+    for j, r in enumerate(rows):
+        assert (r["n_hit"], r["items"]) == ((40, [["5", "700", "11999"][j % 3]]) if j % 7 == 0 else (0, []))
+    assert D.hits_of(pa.array(["nothing shared"] * 5), index)[0]["n_hit"] == 0 and len(built) == 1
+
+
 def test_clean_cuts_spans_and_drops_covered_rows(spark):
     passage = " ".join(f"q{i}" for i in range(12))
     docs = documents(spark, ["é " * 20 + passage.upper() + "! ñ end", passage, "clean text", None, ""])
