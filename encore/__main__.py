@@ -1,6 +1,6 @@
 """Command line: the whole pipeline over a folder of export files.
 
-  python -m encore run <export dir> <out dir> [--account-id N | --global] [--master local[8]]
+  python -m encore run <export dir> <out dir> [--account-id N | --global] [--split] [--master local[8]]
       ingest *.json -> raw, silver, plays_with_session_id, sessions tables
       -> six views -> CSV; the ingest report, quarantine, all profiles, checks
       and expectations are written as tables under <out dir>/reports.
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from encore.config import DEFAULT, GLOBAL
 from encore.plans import pipeline as P
 from encore.sources.export import write_table
-from encore.sources.ingest import ingest, summary
+from encore.sources.array_files import ingest_split
+from encore.sources.ingest import OK, ingest, summary
 from encore.spark import build_session
 
 
@@ -36,13 +37,17 @@ def main(argv=None) -> int:
         p.add_argument("--master", default=None)
     run.add_argument("--global", dest="one_timeline", action="store_true",
                      help="one timeline over all files, without an account key")
+    run.add_argument("--split", action="store_true", help="split files over tasks: for files too large for one task each")
     args = ap.parse_args(argv)
 
     spark = build_session(args.master)
     store = f"{args.out_dir}/tables/ingested" if args.cmd == "run" else None
-    res = ingest(spark, args.export_dir, account_id=args.account_id, store=store)
+    if args.cmd == "run" and args.split:
+        res = ingest_split(spark, args.export_dir, store, account_id=args.account_id)
+    else:
+        res = ingest(spark, args.export_dir, account_id=args.account_id, store=store)
     if args.cmd == "report":
-        res.report.orderBy("source_file").show(res.report.count(), truncate=False)
+        res.report.filter(F.col("status") != OK).orderBy("source_file").show(50, truncate=False)    # the first that are not
         summary(res.report).show()
         return 0
 

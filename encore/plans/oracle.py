@@ -511,5 +511,11 @@ def build(cfg: PipelineConfig = DEFAULT) -> dict[str, str]:
         assert plain in out["sessions"]
         out["sessions_null_account"] = out["sessions"].replace(plain, odd)
         # what was written as files and read back is the raw table
-        out["raw_from_export_files"] = out["raw_from_jsonl"] = out["raw_from_table"] = out["raw_plays"]
+        out["raw_from_export_files"] = out["raw_from_jsonl"] = out["raw_from_table"] = out["raw_from_split_files"] = out["raw_plays"]
+        out["view_yearly_trends_from_csv"] = out["view_yearly_trends"]
+        # a file per account; of the six bad ones, one is a list whose value does not fit
+        out["ingest_report"] = with_stages(
+            cfg, "raw", "SELECT 'ok' AS status, count(DISTINCT account_id) + 1 AS files, count(*) + 1 AS records, "
+            "CAST(1 AS BIGINT) AS bad_values FROM raw UNION ALL SELECT s, CAST(n AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) "
+            "FROM (VALUES ('not_array', 2), ('zero_records', 1), ('invalid_json', 1), ('empty', 1)) t(s, n)")
     return out

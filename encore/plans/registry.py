@@ -16,7 +16,8 @@ from encore.plans import views as V
 from encore.plans.presentation import present
 from encore.plans.stages import Stages
 from encore.schemas import RAW_COLUMNS
-from encore.sources.export import write_export_files, write_jsonl, write_table
+from encore.sources.array_files import ingest_split
+from encore.sources.export import write_csv, write_export_files, write_jsonl, write_table
 from encore.sources.ingest import ingest, read_jsonl
 from encore.sources.plays import raw_from_events, read_raw
 from encore.spark import ensure_checkpoint_dir
@@ -105,6 +106,37 @@ def raw_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_raw(spark, out)
 
 
+#: Files that are no list of records, or hold a value that does not fit, put beside the exports.
+BAD_FILES = ["{}", "[]", "not json", '[{"ts":', " ", '[{"ms_played":"x"}]']
+
+
+def raw_from_split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2, A3: raw plays written as one export file per account, split over tasks."""
+    out = _scratch(spark, "large")
+    write_export_files(raw_from_events(spark, sf_dir), out, per_file=10**9)
+    return ingest_split(spark, f"{out}/account_id=*/chunk=*", f"{out}/ingested", pattern="part-*").raw.select(*RAW_COLUMNS)
+
+
+def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3, A5: files, records and values that do not fit by status, of the plays'
+    export files and of bad ones beside them."""
+    out = _scratch(spark, "report")
+    write_export_files(raw_from_events(spark, sf_dir), out, per_file=10**9)
+    bad = spark.createDataFrame([(900_000 + i, 0, t) for i, t in enumerate(BAD_FILES)], "account_id long, chunk long, value string")
+    bad.write.mode("append").partitionBy("account_id", "chunk").text(out)
+    report = ingest(spark, f"{out}/account_id=*/chunk=*", pattern="part-*", store=f"{out}/ingested").report
+    return report.groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum("records").alias("records"),
+                                        F.sum("bad_values").alias("bad_values"))
+
+
+def view_yearly_trends_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: a view written as CSV and read back."""
+    out = _scratch(spark, "csv")
+    view = V.view_yearly_trends(Stages(spark, sf_dir, DEFAULT))
+    write_csv(view, out)
+    return spark.read.schema(view.schema).option("header", True).csv(out)
+
+
 def queries(cfg: PipelineConfig = DEFAULT) -> dict[str, Query]:
     """Each query sorted for presentation like its source query (reports only)."""
     def bind(fn, c=cfg, name=None):
@@ -120,6 +152,9 @@ def queries(cfg: PipelineConfig = DEFAULT) -> dict[str, Query]:
         out["raw_from_export_files"] = raw_from_export_files
         out["raw_from_jsonl"] = raw_from_jsonl
         out["raw_from_table"] = raw_from_table
+        out["raw_from_split_files"] = raw_from_split_files
+        out["ingest_report"] = ingest_report
+        out["view_yearly_trends_from_csv"] = view_yearly_trends_from_csv
     return out
 
 

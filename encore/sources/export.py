@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encore.schemas import RAW_COLUMNS
@@ -39,17 +41,63 @@ def write_export_files(raw: DataFrame, out_dir: str, per_file: int = 5000) -> No
 
 
 def write_table(df: DataFrame, path: str | None = None, partition_by: list[str] | None = None,
-                name: str | None = None) -> None:
+                name: str | None = None, only_partitions: bool = False) -> None:
     """A8: create or replace a Parquet table at `path`, or the table `name` of
     the session's catalog. Partitioned rows are rebalanced first, so that a
-    partition's files follow its size and not the number of tasks."""
-    w = (df.hint("rebalance", *partition_by) if partition_by else df).write.mode("overwrite").format("parquet")
+    partition's files follow its size and not the number of tasks.
+
+    At a path the rows are written beside the table and take its place when all of
+    them are there: a write that fails leaves the old table as it was, and a table
+    may be replaced by what is read from it. `only_partitions` replaces the
+    partitions that `df` has rows of and keeps the others. A catalog with atomic
+    replacement uses it; the session's own catalog overwrites."""
+    rows = df.hint("rebalance", *partition_by) if partition_by else df
+    spark = df.sparkSession
+    if name and name.count(".") > 1:
+        w = rows.writeTo(name).using("parquet")
+        (w.partitionedBy(*partition_by) if partition_by else w).createOrReplace()
+        return
+    w = rows.write.mode("overwrite").format("parquet")
     if partition_by:
         w = w.partitionBy(*partition_by)
     if name:
         w.saveAsTable(name)
+    elif only_partitions:
+        w.option("partitionOverwriteMode", "dynamic").save(path)
     else:
-        w.save(path)
+        folder, _, last = path.rstrip("/").rpartition("/")
+        staged = f"{folder}/_staged-{uuid.uuid4().hex}-{last}"
+        try:
+            w.save(staged)
+            _swap(spark, staged, path)
+        finally:
+            _remove(spark, staged)
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    if fs.exists(p):
+        fs.delete(p, True)
+
+
+def _swap(spark: SparkSession, staged: str, path: str) -> None:
+    """Put the folder `staged` in the place of `path`; back as it was where that fails."""
+    fs, target = _fs(spark, path)
+    old = _fs(spark, f"{staged}-old")[1]
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"cannot replace {path}")
+    if not fs.rename(_fs(spark, staged)[1], target):
+        if had:
+            fs.rename(old, target)
+        raise OSError(f"cannot put {staged} in the place of {path}")
+    if had:
+        fs.delete(old, True)
 
 
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:

@@ -16,16 +16,16 @@ report are read from there; without it each of them parses the files when used.
 
 Many files are packed into each task by Spark's file-split planning, so the
 job parallelises over files. Spark lists them too (local, HDFS and S3 paths all
-work); the driver only keeps the names of empty ones. A single file is one task:
-very large histories should arrive as several files or as JSON lines
-(`read_jsonl`, splittable).
+work); the driver only keeps the names of empty ones. A single file is one value in
+one task; `array_files.ingest_split` takes files of any size, and JSON lines
+(`read_jsonl`) are split as well.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,7 @@ class IngestResult:
     raw: DataFrame          # RAW schema (account_id + 23 export columns) + source_file, event_time
     quarantine: DataFrame   # source_file, status, size_chars for files that gave no rows
     report: DataFrame       # source_file, status, records, bad_values (one row per listed file)
+    totals: dict | None = None   # records, bad_values, bad_files as the one pass over the files saw them (with `store`)
 
 
 def discover(spark: SparkSession, path: str, pattern: str = "*.json") -> list[str]:
@@ -116,7 +117,12 @@ def ingest(spark: SparkSession, files: list[str] | str, account_id: int | None =
     parsed = classify_files(text).select(
         "source_file", "status", F.length("value").cast("long").alias("size_chars"),
         F.explode_outer(F.when(F.col("status") == OK, F.col("_recs"))).alias("r"))
+    seen = None
     if store:
+        # the totals come with the write, without another pass
+        seen, good = Observation(), F.col("status") == OK
+        parsed = parsed.observe(seen, F.count_if(good).alias("records"), F.sum(F.when(good, _bad_values()).otherwise(0)).alias("bad_values"),
+                                F.count_if(~good).alias("bad_files"))
         parsed.write.mode("overwrite").parquet(store)
         parsed = spark.read.schema(parsed.schema).parquet(store)
     raw = _typed(parsed.filter(F.col("status") == OK), account_id)
@@ -129,7 +135,7 @@ def ingest(spark: SparkSession, files: list[str] | str, account_id: int | None =
               .select("source_file", F.coalesce("status", F.lit(EMPTY)).alias("status"),
                       F.coalesce("records", F.lit(0)).cast("long").alias("records"),
                       F.coalesce("bad_values", F.lit(0)).cast("long").alias("bad_values")))
-    return IngestResult(raw=raw, quarantine=quarantine, report=report)
+    return IngestResult(raw=raw, quarantine=quarantine, report=report, totals=seen.get if seen else None)
 
 
 def classify_files(text: DataFrame) -> DataFrame:
