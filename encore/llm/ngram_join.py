@@ -42,6 +42,7 @@ from pyspark.sql import types as T
 from encore.llm.bytewords import LOWER, NOT_SPACE, Piece, mix, pieces, text_windows, window_hashes
 from encore.llm.common import cut, free_name
 from encore.llm.components import components
+from encore.llm.sql import shingle_components
 
 SKETCH = 8                                   # longs, of 64 parity bits each
 #: Up to so many ids are broadcast to pick texts; beyond that they are joined by shuffle.
@@ -410,3 +411,8 @@ def keep_one(df: DataFrame, n: int = 5, similar: int = 80, plan: Plan = PLAN_80,
     once = rows.filter(F.col(cls).isNotNull()).dropDuplicates([doc_id, cls]) \
         .join(left, own & (F.col(cls) == F.col(f"{name}_cls")), "left_semi")
     return out.join(parted, own, "left_anti").union(rows.filter(F.col(cls).isNull()).drop(cls)).union(once.drop(cls))
+
+
+def oracle(n: int, similar: int) -> str:
+    """DuckDB statement for `near_duplicates`, by exact similarities."""
+    return f"{shingle_components(n, similar)}\nSELECT doc_id, n_shingles, component_id FROM linked"

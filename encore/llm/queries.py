@@ -96,5 +96,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_template": chat_template.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op5_url_rules": url_rules.oracle(), "op6_mixing": mixing.ORACLE,
+    return {"op1_ngram_join": ngram_join.oracle(3, 90), "op2_chat_template": chat_template.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op5_url_rules": url_rules.oracle(), "op6_mixing": mixing.ORACLE,
             "op11_periodic_runs": periodic_runs.ORACLE, "op12_bbit_minhash": bbit_minhash.oracle(3, 85), "op13_importance": importance.ORACLE}

@@ -1,6 +1,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -137,3 +138,12 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_sql_matches_brute_force():
+    texts = [t for t in ODD_TEXTS if t is None or "\x85" not in t] + near_copies(3)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = {i: (n, c) for i, n, c in con.execute(J.oracle(3, 90)).fetchall()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 3, 90)

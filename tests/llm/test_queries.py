@@ -5,7 +5,7 @@ from encore.plans import registry
 
 #: Query without SQL -> where it is held against something else.
 TESTED = {
-    "op1_ngram_join": "test_ngram_join", "op3_pii": "test_pii", "op7_ctw": "test_ctw", "op8_toxicity": "test_toxicity",
+    "op3_pii": "test_pii", "op7_ctw": "test_ctw", "op8_toxicity": "test_toxicity",
     "op9_language_id": "test_language_id", "op10_quality_rules": "test_quality_rules", "pipeline": "test_pipeline",
 }
 
