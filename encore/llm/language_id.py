@@ -1,19 +1,24 @@
 """Language identification with labelled spans.
 
 A word's score in a language is the sum of log probabilities of its byte
-trigrams (hashed to `cells`), learned from texts whose language is known. The
-script of a word, from Unicode ranges, narrows the candidates to languages that
-are written in it. Viterbi over the words of a text, with a penalty for every
+trigrams (hashed to `cells`), learned from texts whose language is known. Words are
+runs of letters and their marks; quotes, dashes, digits and signs are not part of
+them, in any script. The script of a word, from the Unicode block of its first
+letter, narrows the candidates to languages that are written in it. Viterbi over the words of a text, with a penalty for every
 switch, gives each word a language: runs of one language are spans, and the
 language with most letters is the text's.
 
-Learning takes at most about `sample_rows` labelled texts, picked by a hash of
-their id; every text is labelled whole.
+Learning counts the trigrams of all texts with a known language: a task adds them
+up per language, at most HELD languages at a time, and what meets on the driver is
+one table of cells and languages, whatever the number of texts.
 
 Cases: a null text, or one without a letter, is `und` with score 0 and no spans;
 so is every text when nothing was learned; a word in a script that no language
-has keeps all candidates; ties go to the language first by name; every row is
-labelled by itself; empty tables give empty results.
+has, or of a letter outside the blocks, keeps all candidates; ties go to the
+language first by name; every row is labelled by itself, and each repeated row
+counts in learning; a very long text is a piece of its own, and its words are still
+labelled in one Viterbi pass; empty tables give empty results; other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,23 +28,41 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from encore.llm.bytewords import LOWER, Piece, pieces
-from encore.llm.common import bounded_sample
 
-LETTERS = np.zeros(256, bool)                # letters, and bytes of characters beyond ASCII
+LETTERS = np.zeros(256, bool)                # of texts as `_plain` leaves them, where all beyond ASCII is letters and marks
 LETTERS[0x61:0x7B] = True
 LETTERS[0x80:] = True
-SCRIPTS = ["latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "kana", "han", "hangul", "other"]
-#: Script by first byte of a UTF-8 character: the ranges of Unicode blocks.
-SCRIPT = np.full(256, SCRIPTS.index("other"), np.int64)
-for _first, _last, _name in [(0x61, 0x7A, "latin"), (0xC2, 0xCA, "latin"), (0xCE, 0xCF, "greek"), (0xD0, 0xD4, "cyrillic"),
-                             (0xD6, 0xD7, "hebrew"), (0xD8, 0xDD, "arabic"), (0xE0, 0xE0, "indic"), (0xE3, 0xE3, "kana"),
-                             (0xE4, 0xE9, "han"), (0xEA, 0xED, "hangul")]:
-    SCRIPT[_first:_last + 1] = SCRIPTS.index(_name)
+OTHER = "other"
+#: Unicode blocks by script, first and last code point.
+BLOCKS = [
+    ("latin", 0x0041, 0x02AF), ("greek", 0x0370, 0x03FF), ("cyrillic", 0x0400, 0x052F), ("armenian", 0x0530, 0x058F),
+    ("hebrew", 0x0590, 0x05FF), ("arabic", 0x0600, 0x06FF), ("syriac", 0x0700, 0x074F), ("arabic", 0x0750, 0x077F),
+    ("thaana", 0x0780, 0x07BF), ("nko", 0x07C0, 0x07FF), ("arabic", 0x0870, 0x08FF), ("devanagari", 0x0900, 0x097F),
+    ("bengali", 0x0980, 0x09FF), ("gurmukhi", 0x0A00, 0x0A7F), ("gujarati", 0x0A80, 0x0AFF), ("oriya", 0x0B00, 0x0B7F),
+    ("tamil", 0x0B80, 0x0BFF), ("telugu", 0x0C00, 0x0C7F), ("kannada", 0x0C80, 0x0CFF), ("malayalam", 0x0D00, 0x0D7F),
+    ("sinhala", 0x0D80, 0x0DFF), ("thai", 0x0E00, 0x0E7F), ("lao", 0x0E80, 0x0EFF), ("tibetan", 0x0F00, 0x0FFF),
+    ("myanmar", 0x1000, 0x109F), ("georgian", 0x10A0, 0x10FF), ("hangul", 0x1100, 0x11FF), ("ethiopic", 0x1200, 0x139F),
+    ("cherokee", 0x13A0, 0x13FF), ("canadian", 0x1400, 0x167F), ("khmer", 0x1780, 0x17FF), ("mongolian", 0x1800, 0x18AF),
+    ("cyrillic", 0x1C80, 0x1C8F), ("georgian", 0x1C90, 0x1CBF), ("latin", 0x1D00, 0x1DBF), ("latin", 0x1E00, 0x1EFF),
+    ("greek", 0x1F00, 0x1FFF), ("latin", 0x2C60, 0x2C7F), ("georgian", 0x2D00, 0x2D2F), ("tifinagh", 0x2D30, 0x2D7F),
+    ("ethiopic", 0x2D80, 0x2DDF), ("cyrillic", 0x2DE0, 0x2DFF), ("han", 0x2E80, 0x2FDF), ("han", 0x3005, 0x3007),
+    ("kana", 0x3040, 0x30FF), ("hangul", 0x3130, 0x318F), ("kana", 0x31F0, 0x31FF), ("han", 0x3400, 0x4DBF),
+    ("han", 0x4E00, 0x9FFF), ("yi", 0xA000, 0xA4CF), ("cyrillic", 0xA640, 0xA69F), ("latin", 0xA720, 0xA7FF),
+    ("hangul", 0xA960, 0xA97F), ("latin", 0xAB30, 0xAB6F), ("cherokee", 0xAB70, 0xABBF), ("hangul", 0xAC00, 0xD7FF),
+    ("han", 0xF900, 0xFAFF), ("latin", 0xFB00, 0xFB06), ("armenian", 0xFB13, 0xFB17), ("hebrew", 0xFB1D, 0xFB4F),
+    ("arabic", 0xFB50, 0xFDFF), ("arabic", 0xFE70, 0xFEFE), ("latin", 0xFF21, 0xFF5A), ("kana", 0xFF66, 0xFF9F),
+    ("hangul", 0xFFA0, 0xFFDC), ("han", 0x20000, 0x3FFFF),
+]
+SCRIPTS = [*dict.fromkeys(name for name, _, _ in BLOCKS), OTHER]
+_FIRST = np.array([first for _, first, _ in BLOCKS])
+_LAST = np.array([last for _, _, last in BLOCKS])
+_SCRIPT = np.array([SCRIPTS.index(name) for name, _, _ in BLOCKS])
+HELD = 64                                    # languages whose counts a task holds
 WORK = 4 << 20                               # bytes of text at a time, for four languages
 
 
@@ -56,8 +79,27 @@ def _cells(p: Piece, bits: int) -> np.ndarray:
     return ((h * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - bits)).astype(np.int32)
 
 
+def _plain(text: Column) -> Column:
+    """Spaces for what is beyond ASCII and neither a letter nor a mark, one for each
+    code point."""
+    return F.regexp_replace(text, r"[^\x00-\x7F\p{L}\p{M}]", " ")
+
+
+def script_of(code: np.ndarray) -> np.ndarray:
+    """Number in SCRIPTS of each code point."""
+    at = np.searchsorted(_FIRST, code, "right") - 1
+    return np.where((at >= 0) & (code <= _LAST[at]), _SCRIPT[at], SCRIPTS.index(OTHER))
+
+
 def _scripts(p: Piece) -> np.ndarray:
-    return SCRIPT[p.buf[p.starts]] if len(p.starts) else np.zeros(0, np.int64)
+    """Script of every word, by its first code point."""
+    if not len(p.starts):
+        return np.zeros(0, np.int64)
+    b = [p.buf[np.minimum(p.starts + i, len(p.buf) - 1)].astype(np.int64) for i in range(4)]
+    tail = [x & 0x3F for x in b]
+    two, three = (b[0] & 0x1F) << 6 | tail[1], (b[0] & 0x0F) << 12 | tail[1] << 6 | tail[2]
+    four = (b[0] & 0x07) << 18 | tail[1] << 12 | tail[2] << 6 | tail[3]
+    return script_of(np.select([b[0] < 0x80, b[0] < 0xE0, b[0] < 0xF0], [b[0], two, three], four))
 
 
 @dataclass
@@ -111,31 +153,38 @@ class Model:
         return label
 
 
-def learn(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_rows: int = 20_000,
-          bits: int = 15, penalty: float = 12.0, smoothing: float = 0.5, least_share: float = 0.01, seed: int = 9) -> Model:
-    """From the rows of `df` with a known language."""
-    known = df.filter(F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"),
-                                                      F.col(text).cast("string").alias("text"))
-    sample = bounded_sample(known, F.col("doc_id"), sample_rows, seed).select("lang", "text")
+def learn(df: DataFrame, text: str = "text", lang: str = "lang", bits: int = 15, penalty: float = 12.0, smoothing: float = 0.5,
+          least_share: float = 0.01) -> Model:
+    """From all rows of `df` with a known language."""
+    known = df.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), _plain(F.col(text).cast("string")).alias("text"))
     cells = 1 << bits
 
+    def rows_of(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for name, count in held.items():
+            at = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(count[at])],
+                                             names=["lang", "cell", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
         for b in batches:
             names, code = np.unique(b.column(0).to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-            count = np.zeros((len(names), cells + len(SCRIPTS)), np.int64)
             for p in pieces(b.column(1), LETTERS, LOWER):
                 own = code[p.first:p.first + p.n]
-                byte_doc = np.repeat(own, np.diff(p.at))
+                of_byte = np.repeat(own, np.diff(p.at))
                 inside = LETTERS[p.buf]
-                flat = byte_doc[inside] * cells + _cells(p, bits)[inside]
-                count[:, :cells] += np.bincount(flat, minlength=len(names) * cells).reshape(len(names), cells)
-                flat = own[p.doc] * len(SCRIPTS) + _scripts(p)
-                count[:, cells:] += np.bincount(flat, minlength=len(names) * len(SCRIPTS)).reshape(len(names), -1)
-            row, col = np.nonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(col.astype(np.int32)), pa.array(count[row, col])],
-                                             names=["lang", "cell", "n"])
-
-    rows = sample.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+                cell, of_byte, of_word, script = _cells(p, bits)[inside], of_byte[inside], own[p.doc], _scripts(p)
+                for k in np.unique(own).tolist():
+                    name = str(names[k])
+                    if name not in held and len(held) >= HELD:
+                        yield from rows_of(held)
+                        held.clear()
+                    count = held.setdefault(name, np.zeros(cells + len(SCRIPTS), np.int64))
+                    count[:cells] += np.bincount(cell[of_byte == k], minlength=cells)
+                    count[cells:] += np.bincount(script[of_word == k], minlength=len(SCRIPTS))
+        yield from rows_of(held)
+
+    rows = known.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique())
     count = np.zeros((cells + len(SCRIPTS), len(languages)))
     count[rows["cell"], np.searchsorted(languages, rows["lang"]) if len(rows) else []] = rows["n"]
@@ -143,6 +192,7 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     share = scripts / np.maximum(scripts.sum(0), 1)
     written = share >= least_share
     written[~written.any(1)] = True
+    written[SCRIPTS.index(OTHER)] = True
     return Model(languages, bits, np.log(tri / tri.sum(0)).astype(np.float32),
                  np.where(written, 0, -1e4).astype(np.float32), penalty)
 
@@ -153,7 +203,7 @@ _SPANS = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end
 def label(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", spans: bool = True) -> DataFrame:
     """doc_id, lang_pred, score (the language's share of the letters) and spans
     (language, start, end in code points), one row per input row."""
-    src = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")) \
+    src = df.select(F.col(doc_id).alias("doc_id"), _plain(F.col(text).cast("string")).alias("text")) \
         .withColumn("letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     held = df.sparkSession.sparkContext.broadcast(model)
     languages, n_lang = np.array([*model.languages, "und"]), len(model.languages)

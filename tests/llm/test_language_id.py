@@ -78,6 +78,40 @@ def test_und_nulls_and_empty(spark):
     assert {r.lang_pred for r in L.label(docs, none).collect()} == {"und"}
 
 
+def test_signs_beyond_ascii_are_no_letters(spark):
+    """Quotes and dashes that one language uses do not make others' words its own."""
+    texts, langs = made()
+    texts = [f"„{t.replace(' ', ' – ', 1)}“" if langs[i % 4] == "bb" else t for i, t in enumerate(texts)]
+    m = L.learn(documents(spark, texts, langs=langs))
+    text = "“mother” – ‘reading’ … „running“ 😀 «water»"
+    r = L.label(documents(spark, [text]), m).first()
+    assert (r.lang_pred, r.score) == ("aa", 1.0)
+    assert [(s.lang, text[s.start:s.end]) for s in r.spans] == [("aa", "mother” – ‘reading’ … „running“ 😀 «water")]
+    assert L.label(documents(spark, ["“…” – 12 ²"]), m).first().lang_pred == "und"
+
+
+def test_scripts_by_code_point(spark):
+    words = {"latin": ["a", "é", "ệ", "ſ", "ﬁ"], "greek": ["λ", "ἀ"], "cyrillic": ["ж", "ꙁ"], "georgian": ["ქ", "Ქ"], "hebrew": ["ש"],
+             "arabic": ["ع", "ﺱ"], "devanagari": ["ह"], "bengali": ["ব"], "thai": ["ไ"], "han": ["漢", "𠀀", "々"], "kana": ["あ", "ｱ"],
+             "hangul": ["한", "ᄀ"], "ethiopic": ["አ"], "other": ["𐌰", "𝒜"]}
+    flat = [(name, w) for name, ws in words.items() for w in ws]
+    for p in pieces(pa.array([" ".join(w for _, w in flat)]), L.LETTERS, LOWER):
+        assert [L.SCRIPTS[k] for k in L._scripts(p)] == [name for name, _ in flat]
+    # blocks are in order and apart, as the look-up needs
+    assert all(a[2] < b[1] for a, b in zip(L.BLOCKS, L.BLOCKS[1:]))
+
+
+def test_learning_counts_every_text(spark, monkeypatch):
+    """A language with one text among many is learned, and flushing changes nothing."""
+    texts, langs = made(200)
+    docs = documents(spark, texts, langs=langs).union(documents(spark, ["quixotic zebra vexed jumping"], langs=["rare"]))
+    whole = L.learn(docs)
+    assert whole.languages == sorted([*WORDS, "rare"])
+    assert L.label(documents(spark, ["zebra quixotic vexed"]), whole).first().lang_pred == "rare"
+    monkeypatch.setattr(L, "HELD", 1)
+    np.testing.assert_allclose(L.learn(docs).logp, whole.logp)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
