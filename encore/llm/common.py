@@ -62,15 +62,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_sample(df: DataFrame, key: Column, rows: int, seed: int) -> DataFrame:
-    """About `rows` rows at most, chosen by a hash of `key`: the same rows on
-    every run. All rows when there are fewer."""
-    n = df.count()
+def bounded_sample(df: DataFrame, key: list[str], rows: int, seed: int, by: str | None = None, least: float = 0.1) -> DataFrame:
+    """About `rows` rows at most, chosen by a hash of the columns `key`: the same
+    rows on every run, by whichever tasks hold them. Rows alike in all of `key` are
+    one. All rows when there are no more. With `by`, a column of few values, each
+    value gets its part of `rows`, and a rare one a part `least` of them."""
+    df = df.dropDuplicates(key)
+    sizes = df.groupBy(F.col(by) if by else F.lit(0).alias("all")).count().collect()
+    n = sum(r[1] for r in sizes)
     if n <= rows:
         return df
-    share = int(rows / n * (1 << 30))
-    u = F.pmod(F.xxhash64(key.cast("string"), F.lit(seed)), F.lit(1 << 30))
-    return df.filter(u < share).limit(2 * rows)
+    u = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in key], F.lit(seed)), F.lit(1 << 30))
+    share = F.lit(0)
+    for value, size in sizes:
+        part = int(min(1.0, rows * max(size / n, least if by else 0) / size) * (1 << 30))
+        share = F.when(F.col(by).eqNullSafe(F.lit(value)), part).otherwise(share) if by else F.lit(part)
+    return df.filter(u < share)
 
 
 def fold(doc_id: str = "doc_id") -> Column:

@@ -1,14 +1,20 @@
 """Quality rules: an isolation forest over rule statistics.
 
 `rule_statistics` counts, for every whole text, the figures that quality rules
-look at. `fit` grows a forest of random splits over a bounded sample of
+look at; the forest sees ratios of them, so that a long clean text looks like a
+short clean one. What is usual is learned: for each ratio, the band between two
+quantiles (`tail` and 1 - `tail`) of good labelled rows, wider by a share `slack` of
+itself on each side, counts as 0, and beyond it the distance from the band, so that
+splits part only rows that stand out. `fit`
+takes the bands and grows a forest of random splits over a bounded sample of
 labelled rows (`sample_rows`, parameter) and then calibrates its threshold on
 the scores of all labelled rows. A row whose path through the trees is short
 is an anomaly. `judge` rejects rows that fail the base rules or whose anomaly
 score is above the threshold.
 
 Cases: a null or empty text has no words and fails the base rules; rows are
-judged one by one, so ties and repeated rows get equal verdicts; without any
+judged one by one, so ties and repeated rows get equal verdicts; rows alike in id and
+counts are one in the sample; a very long text is a piece of its own; without any
 labelled row of either class there is no threshold and only the base rules
 reject; empty tables give empty results. Columns of the input are kept, and
 computed ones do not depend on their names.
@@ -31,7 +37,7 @@ from encore.llm.common import bounded_sample, cut
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_lines", "n_upper", "n_marks", "n_distinct"]
-FEATURES = ["word_length", "symbols", "dup_lines", "repeats", "upper", "marks"]
+RATIOS = ["word_length", "symbols", "dup_lines", "repeats", "upper", "marks"]
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -95,15 +101,24 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     return {k: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for k, v in out.items()}
 
 
-def features(s: dict[str, np.ndarray]) -> np.ndarray:
-    """Ratios, so that a long clean text looks like a short clean one. What any
-    clean text may have is zero: a split then parts only texts that stand out."""
+def ratios(s: dict[str, np.ndarray]) -> np.ndarray:
+    """(rows, RATIOS)."""
     n = np.maximum(s["n_words"], 1)
-    over = lambda v, usual, most=1.0: np.clip(v - usual, 0, most)
-    return np.column_stack([
-        over(np.abs(s["word_chars"] / n - 5.5), 3.0, 10.0), over(s["n_symbols"] / n, 0.1, 4.0),
-        over(s["n_dup_lines"] / np.maximum(s["n_lines"], 1), 0.34), over(s["n_repeat_words"] / n, 0.3),
-        over(s["n_upper"] / np.maximum(s["word_chars"], 1), 0.1), over(s["n_marks"] / n, 0.1, 4.0)])
+    return np.column_stack([s["word_chars"] / n, s["n_symbols"] / n, s["n_dup_lines"] / np.maximum(s["n_lines"], 1),
+                            s["n_repeat_words"] / n, s["n_upper"] / np.maximum(s["word_chars"], 1), s["n_marks"] / n])
+
+
+def usual(x: np.ndarray, tail: float, slack: float) -> np.ndarray:
+    """(2, RATIOS): the band of what good rows show."""
+    if not len(x):
+        return np.tile([[-np.inf], [np.inf]], len(RATIOS))
+    low, high = np.quantile(x, [tail, 1 - tail], axis=0)
+    return np.array([low - slack * (high - low), high + slack * (high - low)])
+
+
+def beyond(x: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """How far each ratio is outside its band."""
+    return np.maximum(0, np.maximum(band[0] - x, x - band[1]))
 
 
 def base_failed(s: dict[str, np.ndarray]) -> np.ndarray:
@@ -122,6 +137,11 @@ class Forest:
     trees: list = field(default_factory=list)
     norm: float = 1.0
     threshold: float = float("inf")
+    band: np.ndarray = field(default_factory=lambda: usual(np.zeros((0, len(RATIOS))), 0, 0))
+
+    def anomaly(self, s: dict[str, np.ndarray]) -> np.ndarray:
+        """Score of rows with these counts."""
+        return self.score(beyond(ratios(s), self.band))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """2^(-mean path / expected path): near 1 for anomalies."""
@@ -211,8 +231,9 @@ def _columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
 
 
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 25_600, n_trees: int = 100,
-        subsample: int = 256, contamination: float = 0.02, max_loss: float = 0.005, bins: int = 1000, seed: int = 7) -> Forest:
-    """Trees over at most about `sample_rows` good labelled rows and a share
+        subsample: int = 256, contamination: float = 0.02, max_loss: float = 0.005, bins: int = 1000, tail: float = 0.001,
+        slack: float = 0.25, seed: int = 7) -> Forest:
+    """Bands and trees over at most about `sample_rows` good labelled rows and a share
     `contamination` of bad ones (many alike would hide each other); threshold
     from the scores of all labelled rows, counted in `bins` steps on the executors."""
     marked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()) \
@@ -220,19 +241,22 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", sample_rows
     # the forest only judges what the base rules leave
     known = stats.filter("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words").join(marked, "doc_id") \
         .select(*COUNTS, *EXTRA, "_good", "doc_id")
+
     def sample_of(rows: DataFrame, n: int):
-        return bounded_sample(rows, F.col("doc_id"), n, seed).toPandas().sort_values(["doc_id", *COUNTS])
+        return bounded_sample(rows, ["doc_id", *COUNTS, *EXTRA], n, seed).toPandas().sort_values(["doc_id", *COUNTS, *EXTRA])
 
     sample = sample_of(known.filter("_good = 1"), sample_rows)
     odd = max(1, round(contamination * len(sample)))
+    band = usual(ratios({c: sample[c].to_numpy() for c in COUNTS + EXTRA}), tail, slack)
     sample = pd.concat([sample, sample_of(known.filter("_good = 0"), odd).head(odd)], ignore_index=True)
-    forest = grow(features({c: sample[c].to_numpy() for c in COUNTS + EXTRA}), n_trees, subsample, seed)
+    forest = grow(beyond(ratios({c: sample[c].to_numpy() for c in COUNTS + EXTRA}), band), n_trees, subsample, seed)
+    forest.band = band
     if not forest.trees:
         return forest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = (forest.score(features(_columns(b))) * bins).astype(np.int32)
+            s = (forest.anomaly(_columns(b)) * bins).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("_good")), pa.array(s)],
                                              names=["good", "bin"])
 
@@ -250,7 +274,7 @@ def verdicts(stats: DataFrame, forest: Forest) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = _columns(b)
-            failed, score = base_failed(s), forest.score(features(s))
+            failed, score = base_failed(s), forest.anomaly(s)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(failed), pa.array(score),
                                               pa.array(~failed & (score <= forest.threshold))], names=names)
 
@@ -264,7 +288,7 @@ def reject(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = statistics(b.column(where))
-            yield b.filter(pa.array(~base_failed(s) & (forest.score(features(s)) <= forest.threshold)))
+            yield b.filter(pa.array(~base_failed(s) & (forest.anomaly(s) <= forest.threshold)))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -14,12 +14,20 @@ machine separates; a logistic curve turns its margin into a score. Texts
 are labelled as wholes, so a sentence that holds the word decides for its text.
 
 Learning takes at most about `sample_rows` labelled texts, picked by a hash of
-their id; every text is scored whole.
+their id, at least a tenth of them of each class where there are that many; every
+text is scored whole. Words of these texts are counted exactly. Landmarks come from
+the words of `LENGTHS` letters that two or more toxic texts hold and that are
+commoner there: the first `n_landmarks` by likelihood ratio that are not nearly one
+another, among the first `n_candidates`. Words of other lengths are no landmarks but
+are compared with them like any word.
 
 Cases: a null, empty or wordless text is like no landmark and gets the score of
 that; without labelled rows of both classes every text scores 0; a text labelled
-twice counts as toxic if either says so; rows are scored one by one; empty
-tables give empty results.
+twice counts as toxic if either says so; where rows repeat a labelled id, the least
+of their texts is learned from; rows are scored one by one, so repeated rows score
+alike; ties between landmarks go to the word first in order; a very long text is a
+piece of its own; empty tables give empty results; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +48,7 @@ from encore.llm.common import bounded_sample
 REACH = 4                                    # from a subsequence's first letter to its last
 GAPS = [(a, b) for a in range(1, REACH) for b in range(1, REACH) if a + b <= REACH]
 FLOOR, CLOSE = 0.3, 0.5
+LENGTHS = (3, 40)                            # bytes of a landmark, least and most
 WORK = 2 << 20                               # bytes of text at a time
 CACHE = 60_000                               # words whose kernel values a task keeps
 
@@ -211,14 +220,14 @@ def curve(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, f
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def _likelihood_ratio(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
-    """Signed log-likelihood ratio of a word's share of toxic and other texts."""
-    def part(k, n, p):
-        p = np.clip(p, 1e-12, 1 - 1e-12)
-        return k * np.log(p) + (n - k) * np.log(1 - p)
+def _likelihood_ratio(a: Column, b: Column, na: int, nb: int) -> Column:
+    """Log-likelihood ratio of a word that `a` of `na` toxic and `b` of `nb` other texts hold."""
+    def part(k: Column, n: int, p: Column) -> Column:
+        p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+        return k * F.log(p) + (n - k) * F.log(1 - p)
+
     both = (a + b) / (na + nb)
-    llr = part(a, na, a / na) + part(b, nb, b / nb) - part(a, na, both) - part(b, nb, both)
-    return np.where(a / na > b / nb, llr, -llr)
+    return F.round(part(a, na, a / na) + part(b, nb, b / nb) - part(a, na, both) - part(b, nb, both), 9)
 
 
 def _word_counts(sample: DataFrame) -> DataFrame:
@@ -229,7 +238,7 @@ def _word_counts(sample: DataFrame) -> DataFrame:
                 letters, starts, ends, doc = words_of(p)
                 raw = letters.tobytes()
                 pairs = {(d, raw[s:e]) for d, s, e in zip(doc.tolist(), starts.tolist(), ends.tolist(), strict=True)
-                         if 3 <= e - s <= 40}
+                         if LENGTHS[0] <= e - s <= LENGTHS[1]}
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([w.decode("utf-8", "ignore") for _, w in pairs], pa.string()),
                      pa.array([int(toxic[p.first + d]) for d, _ in pairs], pa.int64())], names=["word", "toxic"])
@@ -239,22 +248,21 @@ def _word_counts(sample: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, n_landmarks: int = 96, n_common: int = 16,
-          decay: float = 0.7, cost: float = 0.1, seed: int = 8, text: str = "text", doc_id: str = "doc_id") -> Model:
+          n_candidates: int = 576, decay: float = 0.7, cost: float = 0.1, seed: int = 8, text: str = "text", doc_id: str = "doc_id") -> Model:
     """From the rows of `docs` that `labels` (doc_id, toxic) marks."""
     marked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    ids = bounded_sample(marked, F.col("doc_id"), sample_rows, seed)
+    ids = bounded_sample(marked, ["doc_id"], sample_rows, seed, by="toxic")
     # at most 2 * sample_rows ids: a broadcast of known size
     sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")) \
-        .join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")
+        .join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     size = sample.agg(F.sum("toxic"), F.count("*")).first()
     n1, n0 = int(size[0] or 0), int(size[1] - (size[0] or 0))
     if not n1 or not n0:
         return Model()
     counts = _word_counts(sample)
     # candidates: words of at least two toxic texts, and the commonest words
-    part = counts.filter(f"a >= 2 and a * {n0} > b * {n1}").orderBy(F.desc(F.col("a") / n1 - F.col("b") / n0), "word").limit(4000).toPandas()
-    part["r"] = _likelihood_ratio(part["a"].to_numpy(float), part["b"].to_numpy(float), n1, n0)
-    part = part.sort_values(["r", "word"], ascending=[False, True]).head(6 * n_landmarks)
+    part = counts.filter(f"a >= 2 and a * {n0} > b * {n1}") \
+        .withColumn("r", _likelihood_ratio(F.col("a"), F.col("b"), n1, n0)).orderBy(F.desc("r"), "word").limit(n_candidates).toPandas()
     common = counts.orderBy(F.desc("b"), "word").limit(n_common).toPandas()
     words = [w for w in part["word"] if len(w) >= 3] + [w for w in common["word"] if len(w) >= 3]
     if not words:

@@ -80,3 +80,41 @@ def test_no_labels_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert Q.judge(docs, none).filter("kept").count() == 5
     assert Q.judge(docs.limit(0), none).count() == 0
+
+
+def test_paths_match_brute_force():
+    """Scores are 2^(-mean path / expected path), each path walked node by node."""
+    rng = np.random.default_rng(1)
+    x = rng.exponential(size=(300, 4)).round(1)
+    f = Q.grow(x, n_trees=20, subsample=64)
+
+    def path(tree, row, node=0, depth=0):
+        feat, split, left, right, leaf = tree
+        if feat[node] < 0:
+            return leaf[node], depth
+        return path(tree, row, left[node] if row[feat[node]] < split[node] else right[node], depth + 1)
+    harmonic = 2 * sum(1 / i for i in range(1, 64)) - 2 * 63 / 64
+    for row, got in zip(x[:40], f.score(x[:40])):
+        paths = [path(t, row) for t in f.trees]
+        assert all(depth <= leaf and depth <= 6 for leaf, depth in paths)
+        assert abs(got - 2 ** (-np.mean([leaf for leaf, _ in paths]) / harmonic)) < 0.002
+
+
+def test_usual_is_learned(spark):
+    """Faults far below any fixed limit are seen where good rows have none."""
+    clean = _clean(300)
+
+    def faulty(t):
+        w = t.split()
+        return " ".join(f"{x}!" if i % 16 == 0 else x for i, x in enumerate(w))
+    texts = clean + [faulty(t) for t in clean[:20]]
+    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(320)], "doc_id long, quality int")
+    rows = {r.doc_id: r.kept for r in Q.judge(documents(spark, texts), labels).collect()}
+    assert all(rows[i] for i in range(300)) and not any(rows[i] for i in range(300, 320))
+
+
+def test_band_and_distance():
+    band = Q.usual(np.array([[1.0] * 6, [3.0] * 6]), 0.0, 0.25)
+    assert band.tolist() == [[0.5] * 6, [3.5] * 6]
+    np.testing.assert_allclose(Q.beyond(np.array([[0.0, 2, 3.5, 4, 0.5, 10]]), band), [[0.5, 0, 0, 0.5, 0, 6.5]])
+    assert not Q.beyond(np.ones((2, 6)), Q.usual(np.zeros((0, 6)), 0.1, 0.1)).any()

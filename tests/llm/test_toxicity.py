@@ -5,6 +5,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from encore.llm import queries
 from encore.llm import toxicity as X
@@ -113,3 +114,22 @@ def test_held_out(spark):
     rank = rows["score"].rank()
     auc = (rank[bad].sum() - bad.sum() * (bad.sum() + 1) / 2) / bad.sum() / (~bad).sum()
     assert auc > 0.96 and ((rows["score"] >= 0.5) == bad).mean() > 0.96
+
+
+def test_likelihood_ratio(spark):
+    rows = [(3, 0, 10, 40), (5, 5, 10, 40), (10, 0, 10, 40), (10, 39, 10, 40), (2, 1, 10, 40)]
+    from math import log
+    for a, b, na, nb in rows:
+        got = spark.createDataFrame([(a, b)], "a long, b long").select(X._likelihood_ratio(F.col("a"), F.col("b"), na, nb)).first()[0]
+        ll = lambda k, n, p: (k * log(p) if k else 0) + ((n - k) * log(1 - p) if n > k else 0)
+        p = (a + b) / (na + nb)
+        assert abs(got - (ll(a, na, a / na) + ll(b, nb, b / nb) - ll(a, na, p) - ll(b, nb, p))) < 1e-6
+
+
+def test_repeated_labelled_ids_are_one(spark):
+    """Any number of rows with one id adds one text to what is learned."""
+    texts, labels = table(120)
+    docs, marks = documents(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")
+    hot = docs.union(docs.filter("doc_id = 7").crossJoin(spark.range(300)).drop("id"))
+    a, b = X.learn(docs, marks), X.learn(hot, marks)
+    assert a.landmarks == b.landmarks and np.allclose(a.weights, b.weights)
