@@ -50,7 +50,7 @@ def play_stream(spark: SparkSession, in_dir: str, account_id: int | None = None,
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    text = reader.text(in_dir, wholetext=True).select(F.input_file_name().alias("source_file"), "value")
+    text = reader.text(in_dir, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
     return records(classify_files(text), account_id)
 
 
