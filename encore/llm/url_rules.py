@@ -8,9 +8,11 @@ its urls and none allows one: an explicit allow takes precedence. What is left
 is allowed.
 
 Edges come from `<link rel=canonical href=...>` and `<meta http-equiv=refresh
-content="0; url=...">` in a page's html (absolute, protocol-relative and
-root-relative targets; other relative ones are no edges) and from a table of
-redirects, if given. Targets that are not pages count with their rules.
+content="0; url=...">` in a page's html and from a table of redirects, if given.
+Relative targets are resolved against the page's `<base href=...>` (the first
+that has one, itself resolved against the url) or its url: by scheme, host, query
+or directory, with . and .. taken out. Targets of another kind (mailto:x) are no
+edges. Targets that are not pages count with their rules.
 
 Normal form: no scheme or fragment, host without a leading www. or m., path
 without a final / or /index.html, query without tracking parameters.
@@ -38,6 +40,11 @@ CANONICAL = r"(?is)\brel\s*=\s*[\"']?canonical\b"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"
 TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+BASE = r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+ABSOLUTE = r"^[^/?#]*://"
+OTHER_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+DOTS = r"/\.\.?(/|$)"
+LAST = r"/[^/]*$"
 ALIAS_HOST = r"^(www|m)\."
 ALIAS_PATH = r"(/index\.html?|/)$"
 TRACKING = r"(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
@@ -72,18 +79,41 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that starts with /, its . and .. steps taken."""
+    steps = F.split(path, "/", -1)
+    walked = F.aggregate(F.slice(steps, F.lit(2), F.size(steps)), F.lit(""), lambda at, step: F.when(step == ".", at)
+                         .when(step == "..", F.regexp_replace(at, LAST, "")).otherwise(F.concat(at, F.lit("/"), step)))
+    return F.when(path.rlike(DOTS), F.concat(walked, F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))).otherwise(path)
+
+
+def resolve(base: Column, ref: Column) -> Column:
+    """What `ref` names on a page whose address is `base`; null for other schemes than x://."""
+    path, rest = F.regexp_extract(ref, r"(?s)^([^?#]*)(.*)$", 1), F.regexp_extract(ref, r"(?s)^([^?#]*)(.*)$", 2)
+    site = F.concat(F.lit("http://"), host_of(base))
+    folder = F.concat(F.regexp_replace(path_of(base), LAST, ""), F.lit("/"))
+    query = F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    return F.when(ref.rlike(ABSOLUTE), ref) \
+        .when(ref.rlike(OTHER_SCHEME), F.lit(None)) \
+        .when(ref.startswith("//"), F.concat(F.lit("http:"), ref)) \
+        .when(ref.startswith("/"), F.concat(site, _without_dots(path), rest)) \
+        .when(ref.startswith("?"), F.concat(site, path_of(base), ref)) \
+        .when(ref.startswith("#"), F.concat(site, path_of(base), query, ref)) \
+        .otherwise(F.concat(site, _without_dots(F.concat(folder, path)), rest))
+
+
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst): urls that pages name as their canonical or redirect target."""
+    plain = lambda ref: F.replace(F.trim(ref), F.lit("&amp;"), F.lit("&"))
     tags = pages.filter(F.col(url).contains("://")) \
-        .select(F.col(url).alias("src"), F.explode(F.regexp_extract_all(html, F.lit(TAGS), F.lit(0))).alias("tag"))
+        .select(F.col(url).alias("src"), plain(F.regexp_extract(html, BASE, 1)).alias("own"),
+                F.explode(F.regexp_extract_all(html, F.lit(TAGS), F.lit(0))).alias("tag"))
     to = F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", HREF, 1)) \
         .when(F.col("tag").rlike(REFRESH), F.regexp_extract("tag", TARGET, 1))
-    to = F.replace(F.trim(to), F.lit("&amp;"), F.lit("&"))
-    tags = tags.select("src", to.alias("to")).filter("to <> ''")
-    dst = F.when(F.col("to").contains("://"), F.col("to")) \
-        .when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))) \
-        .when(F.col("to").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("src")), F.col("to")))
-    return tags.select("src", dst.alias("dst")).filter("dst is not null")
+    tags = tags.select("src", "own", plain(to).alias("to")).filter("to <> ''")
+    base = F.when(F.col("own") != "", resolve(F.col("src"), F.col("own")))
+    tags = tags.select("src", "to", F.coalesce(base, F.col("src")).alias("base"))
+    return tags.select("src", resolve(F.col("base"), F.col("to")).alias("dst")).filter("dst is not null")
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, page_id: str = "page_id", url: str = "url",
@@ -132,6 +162,24 @@ def _sql_rule(host: str, path: str, what: int) -> str:
     return f"CASE{arms} END"
 
 
+def _sql_without_dots(path: str) -> str:
+    steps = f"list_prepend('', string_split({path}, '/')[2:])"
+    return (f"CASE WHEN regexp_matches({path}, '{DOTS}') THEN list_reduce({steps}, lambda a, s: CASE WHEN s = '.' THEN a "
+            f"WHEN s = '..' THEN regexp_replace(a, '{LAST}', '') ELSE a || '/' || s END) || "
+            rf"CASE WHEN regexp_matches({path}, '/\.\.?$') THEN '/' ELSE '' END ELSE {path} END")
+
+
+def _sql_resolve(base: str, ref: str) -> str:
+    path, rest = (rf"regexp_extract({ref}, '(?s)^([^?#]*)(.*)$', {i})" for i in (1, 2))
+    site, own = f"'http://' || {_sql_host(base)}", f"regexp_extract({base}, '{PARTS}', 2)"
+    inner = _sql_without_dots(f"(regexp_replace({own}, '{LAST}', '') || '/' || {path})")
+    return (f"CASE WHEN regexp_matches({ref}, '{ABSOLUTE}') THEN {ref} WHEN regexp_matches({ref}, '{OTHER_SCHEME}') THEN NULL "
+            f"WHEN starts_with({ref}, '//') THEN 'http:' || {ref} WHEN starts_with({ref}, '/') THEN {site} || ({_sql_without_dots(path)}) || {rest} "
+            f"WHEN starts_with({ref}, '?') THEN {site} || {own} || {ref} "
+            rf"WHEN starts_with({ref}, '#') THEN {site} || {own} || regexp_extract({base}, '(?s)^[^?#]*(\?[^#]*)', 1) || {ref} "
+            f"ELSE {site} || ({inner}) || {rest} END")
+
+
 def oracle() -> str:
     quoted = lambda s: s.replace("'", "''")
     pick = lambda test, get: f"WHEN regexp_matches(tag, '{quoted(test)}') THEN regexp_extract(tag, '{quoted(get)}', 1)"
@@ -140,10 +188,12 @@ WITH RECURSIVE p AS (
   SELECT page_id, url, html, COALESCE({_sql_host('url')}, '') AS host, COALESCE(regexp_extract(url, '{PARTS}', 2), '') AS path,
          {_sql_form('url')} AS form FROM pages),
 r AS (SELECT *, {_sql_rule('host', 'path', 0)} AS rule, {_sql_rule('host', 'path', 1)} AS action FROM p),
-tags AS (SELECT url, host, unnest(regexp_extract_all(html, '{TAGS}')) AS tag FROM p WHERE contains(url, '://')),
-tos AS (SELECT url, host, replace(trim(CASE {pick(CANONICAL, HREF)} {pick(REFRESH, TARGET)} END), '&amp;', '&') AS t FROM tags),
-e AS (SELECT DISTINCT url AS src, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
-             WHEN starts_with(t, '/') THEN 'http://' || host || t END AS dst FROM tos WHERE t <> ''),
+tags AS (SELECT url, replace(trim(regexp_extract(html, '{quoted(BASE)}', 1)), '&amp;', '&') AS own,
+                unnest(regexp_extract_all(html, '{TAGS}')) AS tag FROM p WHERE contains(url, '://')),
+tos AS (SELECT url, CASE WHEN own <> '' THEN {_sql_resolve('url', 'own')} END AS own,
+               replace(trim(CASE {pick(CANONICAL, HREF)} {pick(REFRESH, TARGET)} END), '&amp;', '&') AS t FROM tags),
+based AS (SELECT url, COALESCE(own, url) AS base, t FROM tos WHERE t <> ''),
+e AS (SELECT DISTINCT url AS src, {_sql_resolve('base', 't')} AS dst FROM based),
 f AS (SELECT DISTINCT {_sql_form('src')} AS u, {_sql_form('dst')} AS v FROM e WHERE dst IS NOT NULL),
 g AS (SELECT u, v FROM f UNION SELECT v, u FROM f),
 reach AS (SELECT u AS a, u AS b FROM g UNION SELECT reach.a, g.v FROM reach JOIN g ON reach.b = g.u),
