@@ -35,7 +35,7 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
-TAGS = r"(?is)<link\b[^>]*>|<meta\b[^>]*>"
+TAGS = r"(?is)<(?:link|meta|base)\b[^>]*>"
 CANONICAL = r"(?is)\brel\s*=\s*[\"']?canonical\b"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"
@@ -106,8 +106,9 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     """(src, dst): urls that pages name as their canonical or redirect target."""
     plain = lambda ref: F.replace(F.trim(ref), F.lit("&amp;"), F.lit("&"))
     tags = pages.filter(F.col(url).contains("://")) \
-        .select(F.col(url).alias("src"), plain(F.regexp_extract(html, BASE, 1)).alias("own"),
-                F.explode(F.regexp_extract_all(html, F.lit(TAGS), F.lit(0))).alias("tag"))
+        .select(F.col(url).alias("src"), F.regexp_extract_all(html, F.lit(TAGS), F.lit(0)).alias("tags"))
+    bases = F.filter("tags", lambda tag: tag.rlike(BASE))
+    tags = tags.select("src", plain(F.regexp_extract(F.get(bases, F.lit(0)), BASE, 1)).alias("own"), F.explode_outer("tags").alias("tag"))
     to = F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", HREF, 1)) \
         .when(F.col("tag").rlike(REFRESH), F.regexp_extract("tag", TARGET, 1))
     tags = tags.select("src", "own", plain(to).alias("to")).filter("to <> ''")
@@ -188,8 +189,9 @@ WITH RECURSIVE p AS (
   SELECT page_id, url, html, COALESCE({_sql_host('url')}, '') AS host, COALESCE(regexp_extract(url, '{PARTS}', 2), '') AS path,
          {_sql_form('url')} AS form FROM pages),
 r AS (SELECT *, {_sql_rule('host', 'path', 0)} AS rule, {_sql_rule('host', 'path', 1)} AS action FROM p),
-tags AS (SELECT url, replace(trim(regexp_extract(html, '{quoted(BASE)}', 1)), '&amp;', '&') AS own,
-                unnest(regexp_extract_all(html, '{TAGS}')) AS tag FROM p WHERE contains(url, '://')),
+found AS (SELECT url, regexp_extract_all(html, '{TAGS}') AS tags FROM p WHERE contains(url, '://')),
+tags AS (SELECT url, replace(trim(regexp_extract(list_filter(tags, lambda x: regexp_matches(x, '{quoted(BASE)}'))[1], '{quoted(BASE)}', 1)),
+                             '&amp;', '&') AS own, unnest(tags) AS tag FROM found),
 tos AS (SELECT url, CASE WHEN own <> '' THEN {_sql_resolve('url', 'own')} END AS own,
                replace(trim(CASE {pick(CANONICAL, HREF)} {pick(REFRESH, TARGET)} END), '&amp;', '&') AS t FROM tags),
 based AS (SELECT url, COALESCE(own, url) AS base, t FROM tos WHERE t <> ''),

@@ -24,7 +24,8 @@ PAGES = [
     (16, "http://notnet/es/", None, "suffix without a dot"), (17, "x://y://net/es/", None, "first ://"),
     (18, "http://net/es/1", None, "host itself"), (19, "http://g.org/?a=1&amp;utm_x=2", LINK % "mailto:a@x.net/fr/", "another scheme: no edge"),
     (20, "http://r.net/de/a/b?q=1", LINK % "../../es/7", "relative: up twice to a blocked path"),
-    (21, "http://s.org/a/b", "<base target=_top href='http://x.net/fr/'>" + LINK % "1", "relative to a base"),
+    (21, "http://s.org/a/b", "<base target=_top><base target=_top href='http://x.net/fr/'><base href=/z/>" + LINK % "1",
+     "relative to the first base that has an address"),
     (22, "http://t.org/a/b", "<BASE HREF=/c/d/>" + LINK % "./e/../../f", "relative to a relative base: t.org/c/f"),
     (23, "http://t.org/c/f/", LINK % "//x.net/fr/1", "what page 22 names"),
     (24, "http://v.org/p?x=1", LINK % "?x=2", "query only"), (25, "http://v.org/p?x=2", LINK % "http://x.net/es/.", "what page 24 names"),
