@@ -14,9 +14,13 @@ The standard template writes `<|im_start|>role`, a newline, the text and
 `<`, any backslashes, `|` gets one more backslash, which `uncontrol` takes away
 again. `Reader` reads formatted output back into turns and trained text.
 
-Cases: null role or text is empty; turns that tie are ordered by role and text;
-a null conversation id is an id of its own; an empty table formats the probe
-conversation alone where one is asked for.
+Cases: null role or text is empty; turns that tie are ordered by role and text, and
+repeated rows are turns of their own; ids that are no whole numbers become strings;
+a null conversation id is an id of its own, and a given conversation -1 takes the
+probe's turns in; `in` finds nothing in what is undefined or holds nothing; an empty
+table formats the probe conversation alone where one is asked for; other columns are
+not read, whatever their names. `digest` reads what the standard template writes, and
+raises where another one's output does not end with a turn.
 """
 
 from __future__ import annotations
@@ -230,8 +234,14 @@ def _text(v) -> str:
     return "" if v is None else str(v)
 
 
+def _within(a, b) -> bool:
+    if isinstance(b, str):
+        return _text(a) in b
+    return isinstance(b, (list, tuple, dict)) and a in b
+
+
 _OPS = {"or": lambda a, b: a or b, "and": lambda a, b: a and b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b,
-        "in": lambda a, b: a in b, "join": lambda a, b: _text(a) + _text(b)}
+        "in": _within, "join": lambda a, b: _text(a) + _text(b)}
 
 
 def fold(node: tuple) -> tuple:
@@ -384,14 +394,21 @@ PROBE = "<|im_end|><|im_start|>assistant ok"
 
 def with_probe(conversations: DataFrame) -> DataFrame:
     """The rows, and conversation -1: a user and an assistant who both say PROBE."""
-    spark, kinds = conversations.sparkSession, conversations.select("conv_id", "turn", "role", "text").schema
-    return conversations.select("conv_id", "turn", "role", "text").unionByName(
-        spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], kinds))
+    given = conversations.select("conv_id", "turn", "role", "text")
+    probe = conversations.sparkSession.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)],
+                                                       "conv_id long, turn long, role string, text string")
+    return given.union(probe.select([F.col(f.name).cast(f.dataType) for f in given.schema]))
+
+
+#: Arrow types of conversation ids; ids of another type are formatted as strings.
+ID_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}
 
 
 def _ordered(conversations: DataFrame) -> DataFrame:
     """A conversation's turns follow each other in one partition."""
-    return conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
+    known = conversations.schema["conv_id"].dataType.simpleString() in ID_KINDS
+    conv = F.col("conv_id") if known else F.col("conv_id").cast("string")
+    return conversations.select(conv.alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"),
                                 F.coalesce("text", F.lit("")).alias("text")) \
         .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
@@ -438,8 +455,10 @@ def format_conversations(conversations: DataFrame, template: str = STANDARD) ->
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-    return _ordered(conversations).mapInArrow(run, "conv_id long, part long, content string, trained boolean")
+    turns = _ordered(conversations)
+    id_type = turns.schema["conv_id"].dataType.simpleString()
+    kinds = [ID_KINDS[id_type], pa.int64(), pa.string(), pa.bool_()]
+    return turns.mapInArrow(run, f"conv_id {id_type}, part long, content string, trained boolean")
 
 
 def digest(conversations: DataFrame, template: str = STANDARD) -> DataFrame:
@@ -464,14 +483,16 @@ def digest(conversations: DataFrame, template: str = STANDARD) -> DataFrame:
         if out:
             yield rows_of(out)
 
+    turns = _ordered(conversations)
+    id_type = turns.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    kinds = [ID_KINDS[id_type], pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def rows_of(out):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return _ordered(conversations).mapInArrow(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return turns.mapInArrow(
+        run, f"conv_id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 _SQL_TURNS = ("SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations "

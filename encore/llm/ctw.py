@@ -26,7 +26,8 @@ joined by shuffle.
 
 Cases: a null text is empty and has one token, the end; without training texts
 every decision is even and every count 0; rows are numbered, so repeated rows
-and ids stay apart; empty tables give empty results.
+and ids stay apart and ties do not arise; a very long text is a piece of its own;
+empty tables give empty results; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

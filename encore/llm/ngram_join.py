@@ -24,7 +24,9 @@ more per shingle). What passes is decided by the exact intersection.
 
 Cases: without words or text a set is empty and links with nothing; fewer than
 `n` words are one shingle; rows with equal ids are rows of their own; a null id
-counts only when no other is in the component; empty tables give empty results.
+counts only when no other is in the component; a very long text is a piece of its
+own; empty tables give empty results. `near_duplicates` reads no other column,
+`keep_one` keeps all of them, whatever their names.
 """
 
 from __future__ import annotations

@@ -18,8 +18,11 @@ Normal form: no scheme or fragment, host without a leading www. or m., path
 without a final / or /index.html, query without tracking parameters.
 
 Cases: a null url, or one without ://, has an empty host and path, no rule and
-no aliases, and is allowed; null html has no edges; every row is judged, repeated
-rows alike; empty tables give empty results. Built-in expressions only.
+no aliases, and is allowed; null html has no edges; a very long url or html is
+scanned like others; every row is judged, repeated rows alike; of rules that fit
+equally, the one of more characters and then the later one wins; empty tables give
+empty results; other columns are not read, whatever their names. Built-in
+expressions only.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from encore.llm import chat_template as C
 from encore.llm import queries
@@ -21,6 +22,9 @@ def test_language():
     assert whole("{% if x == 'y' and not z %}1{% elif x in 'abc' %}2{% else %}3{% endif %}", x="b") == "2"
     assert whole("{% for m in ms %}{% if loop.first %}<{% endif %}{{ m.k }}{{ loop.index0 }}{% endfor %}", ms=[{"k": "a"}, {"k": None}]) == "<a01"
     assert whole("{{ x.y }}{{ missing }}{{ (none or 'd') }}", x="text") == "d"
+    for b in (None, 7, {}, [], "xyz"):
+        assert whole("{% if a in b %}1{% else %}2{% endif %}", a=1, b=b) == whole("{% if 1 in missing %}1{% else %}2{% endif %}") == "2"
+    assert whole("{% if a in b %}1{% endif %}", a=1, b="x1") == whole("{% if a in b %}1{% endif %}", a=1, b=[1]) == "1"
     assert list(C.compile_template("u{% generation %}{{ a }}{% endgeneration %}v")(a="A")) == [("u", False), ("A", True), ("v", False)]
 
 
@@ -76,6 +80,17 @@ def test_matches_brute_force_and_reads_back(spark):
     assert [t[:2] for t in turns] == [("user", "hot")] * 5000 and reader.chars == got[99].formatted_chars
 
 
+@pytest.mark.parametrize("kind,want", [("string", ["-1", "a", "b"]), ("int", [-1, 1, 2]), ("decimal(5,1)", ["-1.0", "1.0", "2.0"])])
+def test_ids_of_other_types(spark, kind, want):
+    rows = [(i, t, "user", "x") for i in (1, 2) for t in range(2)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    conv = F.when(F.col("conv_id") == 1, "a").otherwise("b") if kind == "string" else F.col("conv_id").cast(kind)
+    df = df.withColumn("conv_id", conv).selectExpr("*", "1 as content", "2 as trained")
+    got = C.digest(C.with_probe(df)).collect()
+    assert sorted(r.conv_id for r in got) == want and {r.n_turns for r in got} == {2}
+    assert {r.conv_id for r in C.format_conversations(df).collect()} == set(want[1:])
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert C.digest(none).count() == 0 and C.format_conversations(none).count() == 0
