@@ -388,7 +388,8 @@ def keep_one(df: DataFrame, n: int = 5, similar: int = 80, plan: Plan = PLAN_80,
              doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`df` with one row of each component: one with its least id (null ids come
     last) and, of the sets that have that id, the least class. Where rows repeat
-    both id and set, one of them stays; rows without words all stay."""
+    both id and set, the one of the least text stays (then by a hash of the row, so
+    that reruns agree); rows without words all stay."""
     found = cut(_found(df, n, similar, plan, doc_id, text))
     stays = F.col("cls").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("cls") == F.col("component_cls"))
     found = found.select("doc_id", "cls", stays.alias("stays"))
@@ -410,8 +411,11 @@ def keep_one(df: DataFrame, n: int = 5, similar: int = 80, plan: Plan = PLAN_80,
     cls = free_name(df, "cls")
     rows = cut(_with_class(out.join(parted, own, "left_semi"), cls, n, text))
     left = found.filter("stays and cls is not null").distinct().select(F.col("doc_id").alias(name), F.col("cls").alias(f"{name}_cls"))
-    once = rows.filter(F.col(cls).isNotNull()).dropDuplicates([doc_id, cls]) \
-        .join(left, own & (F.col(cls) == F.col(f"{name}_cls")), "left_semi")
+    kept = free_name(df, "kept_row")
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    once = rows.filter(F.col(cls).isNotNull()).groupBy(f"`{doc_id}`", cls) \
+        .agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(F.col(f"`{text}`"), F.xxhash64(*hashed))).alias(kept)) \
+        .select(f"{kept}.*").join(left, own & (F.col(cls) == F.col(f"{name}_cls")), "left_semi")
     return out.join(parted, own, "left_anti").union(rows.filter(F.col(cls).isNull()).drop(cls)).union(once.drop(cls))
 
 

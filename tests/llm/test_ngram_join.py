@@ -119,10 +119,19 @@ def test_keep_one_tells_rows_of_one_id_apart(spark):
     got = sorted(((r.doc_id, r.text and r.text.lower()) for r in kept.collect()), key=str)
     assert got == sorted([(None, base[0]), (None, base[1]), (1, base[2] + " more"), (2, base[3]), (2, base[4]), (4, base[5]),
                           (1, base[6]), (None, None), (2, " ")], key=str)
+    assert [r.text for r in kept.collect() if r.text and r.doc_id == 2 and "e0" in r.text.lower()] == [base[4].upper()]
     plain = [(None, base[0]), (None, base[1])]
     assert J.keep_one(spark.createDataFrame(plain, "doc_id long, text string")).count() == 2
 
 
+def test_survivor_of_repeated_rows_does_not_depend_on_order(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text.title(), 3), (1, text, 1), (1, text.upper(), 2), (1, text.upper(), 5), (1, text.replace(" ", "  "), 4)]
+    schema = "doc_id long, text string, kept_row int"
+    one = {J.keep_one(spark.createDataFrame(r, schema).repartition(n)).collect()[0] for r, n in ((rows, 1), (rows[::-1], 1), (rows, 5))}
+    assert len(one) == 1 and one.pop().text == text.upper()
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 450)] + [(5, 5)]
