@@ -16,7 +16,9 @@
 Plays that arrive after a later play of the same account has been chained
 cannot be placed in its timeline any more: they are emitted as rows with
 kind = 'late' (one per play) instead of being chained, so a sink can route them
-to a rebuild list; sessions are the rows with kind = 'session'.
+to a rebuild list; sessions are the rows with kind = 'session'. Plays older than
+the watermark are dropped by Spark before the state sees them; the query's progress
+counts them (`numRowsDroppedByWatermark` of its state operators).
 """
 
 from __future__ import annotations
