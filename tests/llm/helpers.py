@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -25,3 +26,18 @@ def documents(spark, texts, langs=("en", "fr", None), sources=("s1", "s2", None)
 
 def save(df, sf_dir, name: str):
     df.write.mode("overwrite").parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shuffles(spark) -> set[int]:
+    """Ids of the shuffles that have files."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(i).getName() for i in range(files.size())]
+    return {int(x.split("_")[1]) for x in names if x.startswith("shuffle_")}
+
+
+def settled(holds, seconds: float = 20) -> bool:
+    """Whether `holds()` becomes true; Spark deletes files in the background."""
+    end = time.monotonic() + seconds
+    while not holds() and time.monotonic() < end:
+        time.sleep(0.1)
+    return holds()

@@ -7,7 +7,7 @@ import pytest
 from encore.llm import bbit_minhash as B
 from encore.llm.bytewords import LOWER, NOT_SPACE, pieces
 from encore.llm.ngram_join import shingles
-from tests.llm.helpers import ODD_TEXTS, documents, random_texts
+from tests.llm.helpers import ODD_TEXTS, documents, random_texts, settled, shuffles
 from tests.llm.test_ngram_join import brute, near_copies
 
 
@@ -43,6 +43,14 @@ def test_many_near_copies_share_buckets(spark):
     assert [got[i] for i in range(len(texts))] == [c for _, c in brute(texts, 3, 85)]
 
 
+def test_finished_steps_keep_no_shuffle_files(spark):
+    """Some fifty shuffles come before the last step; only those of small counts stay."""
+    before = shuffles(spark)
+    got = B.near_duplicates(documents(spark, near_copies(3)), 3, 85)
+    assert settled(lambda: len(shuffles(spark) - before) <= 8)
+    assert got.count() == len(near_copies(3))
+
+
 def test_estimate_is_corrected_for_collisions():
     rng = np.random.default_rng(2)
     for share in (0.0, 0.3, 0.85, 1.0):

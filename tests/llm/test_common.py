@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from encore.llm.common import bounded_sample
+from encore.llm.common import bounded_sample, cut, once
+from tests.llm.helpers import settled, shuffles
 
 
 def test_all_rows_where_they_are_few(spark):
@@ -30,3 +31,16 @@ def test_hot_null_and_repeated_ids(spark):
     kinds = F.when(F.col("doc_id").isNull(), "null").when(F.col("doc_id") == 7, "one").otherwise("many")
     got = {r.kind: r["count"] for r in bounded_sample(df, ["doc_id", "text"], 900, 1).groupBy(kinds.alias("kind")).count().collect()}
     assert set(got) == {"null", "one", "many"} and sum(got.values()) < 1200 and min(got.values()) > 100
+
+
+def test_a_finished_step_keeps_no_shuffle_files(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(key), shuffles(spark)
+    df = spark.range(2000).groupBy((F.col("id") % 700).alias("k")).count()
+    step = cut(df)
+    assert len(once(df).collect()) == 700
+    assert settled(lambda: shuffles(spark) <= before)
+    assert spark.conf.get(key) == setting
+    # what was cut can be read again, and so can the frame itself, whose files then stay
+    assert {step.count(), step.count(), len(df.collect()), len(df.collect())} == {700}
+    assert not shuffles(spark) <= before
